@@ -17,6 +17,12 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .id_blocks import id_block_digest
 
@@ -42,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
+    return {f.__name__: f for f in (op3_ngram_join, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
 
 
 OP9_SQL = """
