@@ -17,6 +17,22 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+# The rules (action, host, path) that op1 is asked to apply.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -60,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op4_quality_cnn, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_ngram_join, op4_quality_cnn, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
 
 
 OP9_SQL = """
