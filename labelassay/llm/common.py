@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """Rows with the locator ``at``: the file and the row in it that hold the content.
+
+    A DataFrame that isn't a plain scan of files is written to the shared folder first.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select("*", at.alias("at"))
+    except AnalysisException:
+        return saved(docs, "rows").select("*", at.alias("at"))
+
+
 # ---- Bloom bits -----------------------------------------------------------------
 
 BLOOM_MIN_BITS, BLOOM_MAX_BITS = 1 << 16, 1 << 27

@@ -33,6 +33,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -76,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_ngram_join, op4_quality_cnn, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_ngram_join, op4_quality_cnn, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing)}
 
 
 OP9_SQL = """

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_path, saved, scratch_path
+from .common import located, remove_path, saved, scratch_path
 
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,18 +44,6 @@ def _stream_state(arrivals: DataFrame, folder: str) -> DataFrame:
     return changes.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last")).select("digest", "last.keep", "last.group_size")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Rows with the locator ``at``: the file and the row in it that hold the content.
-
-    A DataFrame that isn't a plain scan of files is written to the shared folder first.
-    """
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.select("*", at.alias("at"))
-    except AnalysisException:
-        return saved(docs, "dedup-rows").select("*", at.alias("at"))
-
-
 def _odd_rows(rows: DataFrame, state: DataFrame, rows_per_salt: int) -> DataFrame:
     """Rows whose full bytes differ from those at their digest's locator (none, but for a collision)."""
     hits = state.where("group_size > 1").select("digest", F.col("keep.at").alias("kept_at"), F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"))
