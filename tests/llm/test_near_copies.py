@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from labelassay.llm.line_dedup import _lines, _spark_hash, block_count, line_dedup, normalise, simhashes
+from labelassay.llm.line_dedup import _lines, _spark_hash, edit_distance, block_count, line_dedup, normalise, simhashes
 from labelassay.llm.ngram_join import SKETCH, needed, ngram_join, prefix
 from labelassay.llm.shingles import shingle_sets
 
@@ -108,9 +108,18 @@ def distance(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark, word):
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcé", max_size=12), st.text(alphabet="abcé", max_size=12))
+def test_edit_distance(a, b):
+    assert edit_distance(a, b) == distance(a, b)
+
+
+@pytest.mark.parametrize("few", [32, 1])
+def test_line_dedup(spark, word, few, monkeypatch):
     import random
 
+    monkeypatch.setattr("labelassay.llm.line_dedup.FEW", few)
+
     dice = random.Random(2)
     lines = [" ".join(word(dice) for _ in range(dice.randint(12, 25))) for _ in range(12)]
     texts = []
