@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,32 @@ def _remove_all() -> None:
             return
 
 
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions inside; the former ones come back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
     This cuts the lineage, and a lost executor costs only the tasks it ran.
+    Whole texts go to Python in small Arrow batches.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, ARROW_LIMITS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,16 +93,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Rows with the locator ``at``: the file and the row in it that hold the content.
-
-    A DataFrame that isn't a plain scan of files is written to the shared folder first.
-    """
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def scan_of(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, else a scan of its rows, written to the shared folder."""
     try:
-        return docs.select("*", at.alias("at"))
+        docs.select("_metadata.file_path")
+        return docs
     except AnalysisException:
-        return saved(docs, "rows").select("*", at.alias("at"))
+        return saved(docs, "rows")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Rows of a scan with the locator ``at``: the file and the row in it that hold the content."""
+    return scan_of(docs).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
 
 
 # ---- Bloom bits -----------------------------------------------------------------

@@ -1,9 +1,9 @@
 """Token ids in files of patched frame-of-reference blocks.
 
-A file holds the ids of whole documents, in order:
+A file is a row of segments, each with the ids of whole documents, in order:
 
 * header: magic ``PFR1``, then unsigned little-endian ids in a block (u32),
-  documents (u64), ids (u64), blocks (u64);
+  bytes of the segment (u64), documents (u64), ids (u64), blocks (u64);
 * documents: a validity byte each, identifiers (i64), counts of ids (u64);
 * block index: where each block starts in the block area (u64, one more than blocks);
 * blocks: minimum (u32), width (u8), exceptions (u16), the exceptions'
@@ -18,7 +18,6 @@ The width is the bits that a percentile of the block's differences needs.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from .tokens import tokenizer
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 0.95
-HEAD = np.dtype([("magic", "S4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
+HEAD = np.dtype([("magic", "S4"), ("block", "<u4"), ("bytes", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +64,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1]
 
 
-def encode_file(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+def encode_segment(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     n_blocks = -(-len(ids) // block)
     padded = np.zeros(n_blocks * block, np.uint32)
     padded[: len(ids)] = ids
@@ -89,7 +88,7 @@ def encode_file(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, ids:
     base = starts[:-1].astype(np.int64)
 
     def put(where: np.ndarray, values: np.ndarray, kind: str) -> None:
-        raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
+        raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), values[:1].size * np.dtype(kind).itemsize)
         area[where[:, None] + np.arange(raw.shape[1])] = raw
 
     if n_blocks:
@@ -102,15 +101,24 @@ def encode_file(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, ids:
         for w in np.unique(width[width > 0]):
             these = np.flatnonzero(width == w)
             put(base[these] + 7 + 6 * n_odd[these], _pack(kept[these], int(w)), "<u8")
-    head = np.array([(MAGIC, block, len(counts), len(ids), n_blocks)], HEAD)
+    n_bytes = HEAD.itemsize + 17 * len(counts) + starts.nbytes + area.nbytes
+    head = np.array([(MAGIC, block, n_bytes, len(counts), len(ids), n_blocks)], HEAD)
     return b"".join([head.tobytes(), valid.astype(np.uint8).tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), area.tobytes()])
 
 
-def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Validity, identifiers, counts and ids of a file."""
+def segments(raw: memoryview) -> Iterator[memoryview]:
+    at = 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, HEAD, 1, at)[0]["bytes"])
+        yield raw[at : at + n]
+        at += n
+
+
+def decode_segment(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Validity, identifiers, counts and ids of a segment."""
     head = np.frombuffer(raw, HEAD, 1)[0]
     if head["magic"] != MAGIC:
-        raise ValueError("not a file of patched frame-of-reference blocks")
+        raise ValueError("not a segment of patched frame-of-reference blocks")
     block, docs, n_ids, n_blocks = (int(head[k]) for k in ("block", "docs", "ids", "blocks"))
     at = HEAD.itemsize
     valid = np.frombuffer(raw, np.uint8, docs, at)
@@ -141,68 +149,73 @@ def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return valid, doc_ids, counts, out.reshape(-1)[:n_ids]
 
 
-def _put_file(folder: str, name: str, raw: bytes) -> None:
-    """Under its last name only when whole, so that a task may run twice."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(part := f"{path}/.{name}.{uuid.uuid4().hex}") as f:
-        f.write(raw)
-    store.move(part, f"{path}/{name}")
-
-
-def _writer(folder: str, vocabulary: str, end: int, max_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(folder: str, vocabulary: str, end: int, segment_ids: int, file_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
         library, tail = tokenizer(vocabulary), np.array([end], "<u4").tobytes()
-        valid, doc_ids, counts, ids, held = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number, held
-            name = f"ids-{part:06d}-{number:06d}.pfr"
-            raw = b"".join(ids)
-            _put_file(folder, name, encode_file(np.array(valid), np.array(doc_ids), np.array(counts), np.frombuffer(raw, np.uint32)))
-            row = pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(counts)], "n_ids": [held]}, schema=pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-            for x in (valid, doc_ids, counts, ids):
-                x.clear()
-            number, held = number + 1, 0
+        schema = pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        number, out, done = 0, None, [0, 0]
+        held: list[tuple[bool, int, bytes]] = []
+        held_ids = 0
+
+        def flush() -> None:
+            nonlocal out, held_ids
+            part = f"{path}/.{TaskContext.get().partitionId():06d}.{uuid.uuid4().hex}"
+            out = out or (part, store.open_output_stream(part))
+            valid, doc_ids, ids = zip(*held)
+            counts = np.array([len(x) // 4 for x in ids])
+            out[1].write(encode_segment(np.array(valid), np.array(doc_ids), counts, np.frombuffer(b"".join(ids), np.uint32)))
+            done[0] += len(held)
+            done[1] += held_ids
+            held.clear()
+            held_ids = 0
+
+        def close() -> pa.RecordBatch:
+            """A file gets its last name when it is whole, so a task may run twice."""
+            nonlocal number, out
+            name = f"ids-{TaskContext.get().partitionId():06d}-{number:06d}.pfr"
+            out[1].close()
+            store.move(out[0], f"{path}/{name}")
+            row = pa.RecordBatch.from_pylist([{"file": name, "n_docs": done[0], "n_ids": done[1]}], schema=schema)
+            number, out, done[:] = number + 1, None, [0, 0]
             return row
 
         for batch in batches:
-            for some in by_size(batch, "text", 4 << 20):
+            for some in by_size(batch, "text"):
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(texts(some))):
-                    raw += tail
-                    valid.append(doc_id is not None)
-                    doc_ids.append(doc_id or 0)
-                    counts.append(len(raw) // 4)
-                    ids.append(raw)
-                    held += len(raw) // 4
-                    if held >= max_ids:
-                        yield flush()
-        if counts:
-            yield flush()
+                    held.append((doc_id is not None, doc_id or 0, raw + tail))
+                    held_ids += len(raw) // 4 + 1
+                    if held_ids >= segment_ids:
+                        flush()
+                        if done[1] >= file_ids:
+                            yield close()
+        if held:
+            flush()
+        if out:
+            yield close()
 
     return write
 
 
-def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0, max_ids: int = 4_000_000) -> DataFrame:
+def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0, segment_ids: int = 1_000_000, file_ids: int = 16_000_000) -> DataFrame:
     """Tokenize whole texts and write their ids in ascending order of ``doc_id``.
 
     Reads ``doc_id`` (long) and ``text``; other columns are left out. A null or
     empty text is the end id alone. Rows of a null ``doc_id`` come first, rows
     of one ``doc_id`` in the order of a hash of their texts; all are written.
-    An empty table writes no file. A file takes about ``max_ids`` ids (more only
-    if one document has more). Returns the manifest: file, n_docs, n_ids and
+    An empty table writes no file. A segment ends after ``segment_ids`` ids and a
+    file after ``file_ids`` (at the next document's end). Returns the manifest: file, n_docs, n_ids and
     start (ids in the files before it).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    files = saved(ordered.mapInArrow(_writer(folder, vocabulary, end, max_ids), "file string, n_docs long, n_ids long"), "id-files")
+    files = saved(ordered.mapInArrow(_writer(folder, vocabulary, end, segment_ids, file_ids), "file string, n_docs long, n_ids long"), "id-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -210,20 +223,21 @@ def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0,
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-            valid, doc_ids, counts, ids = decode_file(raw.as_buffer())
-            ends = np.cumsum(counts)
-            raw_ids, step = memoryview(ids.astype("<u4").tobytes()), 5000
-            for i in range(0, len(counts), step):
-                s, e = ends[i : i + step] - counts[i : i + step], ends[i : i + step]
+            before = 0
+            for segment in segments(memoryview(raw.as_buffer())):
+                valid, doc_ids, counts, ids = decode_segment(segment)
+                ends = np.cumsum(counts)
+                own = memoryview(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path.rsplit("/", 1)[-1]] * len(s), pa.string()),
-                        pa.array(doc_ids[i : i + step], pa.int64(), mask=valid[i : i + step] == 0),
-                        pa.array(s, pa.int64()),
-                        pa.array([raw_ids[4 * a : 4 * b] for a, b in zip(s.tolist(), e.tolist())], pa.binary()),
+                        pa.array([path.rsplit("/", 1)[-1]] * len(counts), pa.string()),
+                        pa.array(doc_ids, pa.int64(), mask=valid == 0),
+                        pa.array(before + ends - counts, pa.int64()),
+                        pa.array([own[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
                     ],
                     names=["file", "doc_id", "inside", "ids"],
                 )
+                before += int(ends[-1])
 
 
 def read_id_blocks(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from .shingles import word_hashes
 _NOT_WORD = re.compile(r"[\W_]+")
 DISTANCE = 3
 SIMILARITY = 0.75
+FEW = 32  # lines under a key that are paired at once
 
 
 def normalise(line: str) -> str:
@@ -27,8 +29,14 @@ def normalise(line: str) -> str:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """64-bit SimHash of each normalised line over its words; a tied bit is 0."""
+    """64-bit SimHash of each normalised line over its distinct words; a tied bit is 0."""
     hashes, counts = word_hashes(lines)
+    of = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    hashes, counts = np.ascontiguousarray(hashes[new]), np.bincount(of[new], minlength=len(lines))
     ends = np.cumsum(counts)
     out = np.zeros(len(lines), np.uint64)
     for i in range(0, len(lines), 512):
@@ -121,6 +129,39 @@ def _near(distance: int) -> Column:
     return F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance; a column of the table is two bit vectors."""
+    at, end = 0, min(len(a), len(b))
+    while at < end and a[at] == b[at]:
+        at += 1
+    a, b, tail = a[at:], b[at:], 0
+    end = min(len(a), len(b))
+    while tail < end and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, last, count = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # rows where the table grows, or falls, by one
+    for x in b:
+        hit = where.get(x, 0)
+        level = (((hit & up) + up) ^ up) | hit
+        grow, fall = (down | ~(level | up)) & full, up & level
+        count += (grow & last != 0) - (fall & last != 0)
+        grow, fall = grow << 1 | 1, fall << 1
+        up, down = (fall | ~(hit | down | grow)) & full, grow & (hit | down) & full
+    return count
+
+
+def similar(a: str, b: str, similarity: float) -> bool:
+    longer = max(len(a), len(b))
+    most = int((1 - similarity) * longer)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) with ``linked``: 1 - edit distance / longer length reaches ``similarity``."""
     spark = rows.sparkSession
@@ -129,11 +170,13 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     lines = rows.select("text").mapInArrow(_wanted(bits), "line long, words string").groupBy("line").agg(F.min("words").alias("words"))
     lines = saved(lines.join(ids.withColumnRenamed("id", "line"), "line", "left_semi"), "candidate-lines")
     both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("wa")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("wb")), "b")
-    longer, shorter = F.greatest(F.length("wa"), F.length("wb")), F.least(F.length("wa"), F.length("wb"))
-    most = F.floor((1 - similarity) * longer).cast("int")
-    edits = F.expr("levenshtein(wa, wb, most)")
-    checked = both.withColumn("most", most).withColumn("linked", F.when(longer - shorter > F.col("most"), F.lit(False)).otherwise(edits >= 0))
-    return saved(checked.select("a", "b", "linked"), "checked-lines")
+
+    @F.pandas_udf("boolean")
+    def linked(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            yield pd.Series([similar(x, y, similarity) for x, y in zip(left, right)], dtype=bool)
+
+    return saved(both.select("a", "b", linked("wa", "wb").alias("linked")), "checked-lines")
 
 
 def line_groups(rows: DataFrame, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -143,23 +186,29 @@ def line_groups(rows: DataFrame, distance: int, similarity: float) -> tuple[Data
     blocks = block_count(distinct.count(), distance)
     keyed = distinct.select("line", "simhash", F.explode(_keys(F.col("simhash"), blocks, distance)).alias("key"))
     head = "min(struct(line, simhash)) OVER (PARTITION BY key)"
-    shared = saved(keyed.selectExpr("key", "line", "simhash", f"{head} AS head", "count(*) OVER (PARTITION BY key) AS k").where("k > 1").drop("k"), "shared-keys")
-
-    star = shared.select(F.col("head.line").alias("a"), F.col("head.simhash").alias("ha"), F.col("line").alias("b"), F.col("simhash").alias("hb"))
-    star = saved(star.where((F.col("a") < F.col("b")) & _near(distance)).select("a", "b").distinct(), "line-stars")
-    tried = _similar(star, rows, similarity)
+    shared = saved(keyed.selectExpr("key", "line", "simhash", f"{head} AS head", "count(*) OVER (PARTITION BY key) AS k").where("k > 1"), "shared-keys")
+    side = lambda rows, c, x, h: rows.select("key", *([F.col("component").alias(c)] if c else []), F.col("line").alias(x), F.col("simhash").alias(h))
+    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # Under a key with few lines all pairs are looked at; under others first a star, then what is left.
+    few = shared.where(F.col("k") <= FEW)
+    pairs = ordered(side(few, "", "x", "ha").join(side(few, "", "y", "hb"), "key").where((F.col("x") < F.col("y")) & _near(distance)))
+    many = shared.where(F.col("k") > FEW)
+    star = many.select(F.col("head.line").alias("x"), F.col("head.simhash").alias("ha"), F.col("line").alias("y"), F.col("simhash").alias("hb"))
+    star = ordered(star.where((F.col("x") < F.col("y")) & _near(distance)))
+    tried = _similar(saved(pairs.union(star).distinct(), "line-pairs"), rows, similarity)
     found = saved(components(tried.where("linked").select("a", "b")), "line-components")
-    placed = saved(shared.drop("head").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
-    # What is left: pairs under a key whose lines aren't of one component yet.
+    placed = saved(many.drop("head").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
     parts = placed.select("key", "component").distinct()
     several = parts.groupBy("key").count().where("count > 1").select("key")
     parts = saved(parts.join(several, "key"), "mixed-keys")
     across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").where("ca < cb")
-    side = lambda c, x, h: placed.select("key", F.col("component").alias(c), F.col("line").alias(x), F.col("simhash").alias(h))
-    pairs = across.join(side("ca", "x", "ha"), ["key", "ca"]).join(side("cb", "y", "hb"), ["key", "cb"]).where(_near(distance))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = tried.unionByName(_similar(saved(pairs, "cross-lines"), rows, similarity))
-    return occurrences, components(tried.where("linked").select("a", "b"))
+    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb"), ["key", "cb"]).where(_near(distance)))
+    rest = saved(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-lines")
+    if not rest.isEmpty():
+        tried = tried.unionByName(_similar(rest, rows, similarity))
+        found = saved(components(tried.where("linked").select("a", "b")), "line-components")
+    return occurrences, found
 
 
 def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

@@ -16,8 +16,8 @@ from .components import components
 from .shingles import shingle_sets
 
 WORDS, PERCENT = 5, 75
-SKETCH = 1 << 20  # counters: 4 MB on the driver and in each worker
-CHUNK = 1 << 14
+SKETCH = 1 << 22  # counters: 32 MB on the driver, 16 MB in a worker
+CHUNK = 1 << 16
 MOST_MATCHES = 4
 SALT_ROWS = 4096
 NULL_ID = (1 << 63) - 1
@@ -35,11 +35,12 @@ def _sizes(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for some in by_size(batch, "text"):
                 sets = shingle_sets(texts(some), words)
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                at, times = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+                counts[at] += times.astype(np.uint32)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 none = [None] * len(sets)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
@@ -59,19 +60,24 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added in two steps; ``SKETCH`` of them reach the driver."""
+    """The counters of all tasks, added in two steps; ``SKETCH`` of them reach the driver.
+
+    From each the number that falls into it by chance is taken off, so that
+    what is left tells shingles that many documents have.
+    """
     kind = "chunk int, counts binary"
     some = parts.groupBy("chunk", "slice").applyInArrow(_summed, kind)
     out = np.zeros(SKETCH, np.int64)
     for row in some.groupBy("chunk").applyInArrow(_summed, kind).collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    return out
+    chance = out.sum() / SKETCH
+    return np.clip(out - int(chance + 3 * chance**0.5), 1, (1 << 32) - 1).astype(np.uint32)
 
 
 # ---- pass 2: prefixes --------------------------------------------------------------------
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, noise: int, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
+def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
     """The tokens to index, the documents expected at each, and how many must match.
 
     Tokens are ordered by the magnitude of their count, rare ones first, then
@@ -83,7 +89,7 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, noise: int, percent: int = PE
     that checking one compares.
     """
     n = len(tokens)
-    expected = np.maximum(counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] - 2 * noise, 1)
+    expected = counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
     level = np.frexp(expected.astype(np.float64))[1].astype(np.uint64)
     order = np.argsort((level << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")
     base, most = n - int(needed(n, percent)), min(most, int(needed(n, percent)))
@@ -97,14 +103,13 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, noise: int, percent: int = PE
 def _prefixes(words: int, percent: int, counts, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = counts.value, bits.value
-        noise = int(table.sum() // SKETCH)
         for batch in batches:
             batch = batch.filter(pa.array(bloom_has(first, batch.column("hash").to_numpy())))
             for some in by_size(batch, "text"):
                 rows: list[tuple] = []
                 for doc_id, s in zip(some.column("doc_id").to_pylist(), shingle_sets(texts(some), words)):
                     if len(s):
-                        own, expected, m = prefix(s, table, noise, percent)
+                        own, expected, m = prefix(s, table, percent)
                         salts = np.maximum(expected // SALT_ROWS, 1)
                         rows.append((own.view(np.int64), doc_id % salts, np.where(salts > 1, 1, 0), doc_id, len(s), m))
                 if rows:
@@ -146,9 +151,16 @@ def _may_link(percent: int):
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes fit and that meet at enough tokens."""
-    met = pairs.where(_may_link(percent)).groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("ma", "mb")).alias("m"))
-    return met.where("met >= m").select("a", "b")
+    """Pairs whose sizes fit and that meet at enough tokens of their prefixes.
+
+    That is the lesser of the matches asked for, and also what is left of the
+    overlap a link needs when all tokens after a prefix, ``needed(n) - m``, are
+    shared: a shared token that isn't met is after the prefix that ends first.
+    """
+    met = pairs.where(_may_link(percent)).groupBy("a", "b").agg(F.count("*").alias("met"), *(F.min(c).alias(c) for c in ("na", "ma", "nb", "mb")))
+    after = lambda n, m: F.floor((percent * F.col(n) + 99) / 100) - F.col(m)
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    return met.where((F.col("met") >= F.least("ma", "mb")) & (F.col("met") >= overlap - F.greatest(after("na", "ma"), after("nb", "mb")))).select("a", "b")
 
 
 def _of(x: str, head: str = ""):

@@ -33,15 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(texts: list[str], between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z lower-cased, and how many each text has.
 
-    A word is a run of bytes other than space and 0x09 to 0x0D. Its hash is a
-    polynomial over random values of its bytes, modulo 2**64, then mixed.
+    A word is a run of bytes that don't stand ``between`` words (white space:
+    space and 0x09 to 0x0D). Its hash is a polynomial over random values of
+    its bytes, modulo 2**64, then mixed.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    white = _WHITE[data]
+    white = between[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if not white[0]:
         edge = np.concatenate([[0], edge])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, remove_path, saved, scratch_path
+from .common import bloom_bits, bloom_has, located, remove_path, saved, scan_of, scratch_path, settings
 
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,23 +32,30 @@ def _stream_state(arrivals: DataFrame, folder: str) -> DataFrame:
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    session = {k: spark.conf.get(k, None) for k in STATE_ON_DISK}
-    for k, v in STATE_ON_DISK.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, STATE_ON_DISK):
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
-    finally:
-        for k, v in session.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema(state.schema.add("batch", "long")).parquet(f"{folder}/changes")
     return changes.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last")).select("digest", "last.keep", "last.group_size")
 
 
+def _hit_rows(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_has(bits.value, batch.column("hash").to_numpy())))
+
+    return run
+
+
 def _odd_rows(rows: DataFrame, state: DataFrame, rows_per_salt: int) -> DataFrame:
-    """Rows whose full bytes differ from those at their digest's locator (none, but for a collision)."""
+    """Rows whose full bytes differ from those at their digest's locator (none, but for a collision).
+
+    Texts whose digest surely came once are left out before anything is shuffled.
+    """
     hits = state.where("group_size > 1").select("digest", F.col("keep.at").alias("kept_at"), F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"))
-    copies = rows.join(hits, "digest")
+    bits = rows.sparkSession.sparkContext.broadcast(bloom_bits(hits.select(F.xxhash64("digest").alias("id")), hits.count()))
+    hashed = rows.select("digest", "doc_id", "at", "text", F.xxhash64(F.xxhash64("digest")).alias("hash"))
+    copies = saved(hashed.mapInArrow(_hit_rows(bits), hashed.schema).drop("hash").join(hits, "digest"), "dedup-copies")
     known = copies.where(F.col("at") == F.col("kept_at")).select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("known"))
     dealt = copies.where(F.col("at") != F.col("kept_at")).select("digest", "at", "doc_id", "text", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int").alias("salt"))
     return dealt.join(known, ["digest", "salt"]).where(F.col("text") != F.col("known")).select("digest", "at", "doc_id", "text")
@@ -93,6 +101,7 @@ def stream_dedup(docs: DataFrame, files_per_batch: int = 16, rows_per_salt: int
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = scan_of(docs)
     gone = stream_dedup(docs).where("NOT kept").select(F.col("at.file").alias("gone_file"), F.col("at.row").alias("gone_row"))
-    rows = located(docs)
-    return rows.join(gone, (rows["at.file"] == gone["gone_file"]) & (rows["at.row"] == gone["gone_row"]), "left_anti").select(*docs.columns)
+    rows = located(docs.select(F.struct("*").alias("doc")))
+    return rows.join(gone, (F.col("at.file") == F.col("gone_file")) & (F.col("at.row") == F.col("gone_row")), "left_anti").select("doc.*")

@@ -29,7 +29,7 @@ class PieceTokenizer:
     batch. Texts that hold a special token's string are encoded in one go.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,6 +41,7 @@ class PieceTokenizer:
         self.keep, self.longest = keep, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []  # in ``new`` for one call only
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -57,12 +58,9 @@ class PieceTokenizer:
             missing = [p for p in missing if p not in old]
         if not missing:
             return new
-        ids = self._encode_pieces(missing)
-        if all(len(p) <= self.longest for p in missing):
-            new.update(zip(missing, ids))
-            return new
-        new.update((p, x) for p, x in zip(missing, ids) if len(p) <= self.longest)
-        return new | dict(zip(missing, ids))
+        new.update(zip(missing, self._encode_pieces(missing)))
+        self.long = [p for p in missing if len(p) > self.longest]
+        return new
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The library encodes them as one text; a token that starts with a space opens a piece."""
@@ -97,6 +95,9 @@ class PieceTokenizer:
                 out.append(self.whole(text))
             else:
                 out.append(np.array(head.ids, np.uint32).tobytes() + b"".join(map(known.__getitem__, c[1:])))
+        for p in self.long:
+            del known[p]
+        self.long = []
         return out
 
 

@@ -12,8 +12,10 @@ from ..functions import extract as X
 from ..functions import text as T
 from ..functions.similarity import partial_ratio, token_sort_ratio
 from ..operators import compare as C
+from ..operators import documents as D
 from ..operators import layout as L
 from ..operators import match as M
+from ..operators import store as S
 from ..operators import verdict as V
 from .inputs import view, with_views
 
@@ -416,6 +418,60 @@ def q32_dedup_batch(spark, d):
     return M.first_of_each(events, F.col("brand"), ["event_id"], saved).select("event_id")
 
 
+# ---- documents, store, files -----------------------------------------------------------------
+
+FORM = """'BRAND NAME' || chr(10) || chr(10) || p_brand || ' (Front Label)' || chr(10) || '5. CLASS AND TYPE: ' || p_type || chr(10) || 'Net Contents (in metric) - 750 mL'
+ || chr(10) || '8. NAME AND ADDRESS OF APPLICANT AS SHOWN ON PERMIT' || chr(10) || p_name || ' Co' || chr(10) || '(if any)' || chr(10) || 'Napa, CA 94558' || chr(10) || 'Rev. 2024'"""
+
+
+def _forms(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(FORM).alias("text"))
+
+
+@query("SELECT p_partkey, trim(p_brand) AS brand_name, p_type AS class_type, '750 mL' AS net_contents, p_name || ' Co Napa, CA 94558' AS producer_info FROM part")
+def q18_document_fields(spark, d):
+    fields = D.document_fields(F.col("text"))
+    return _forms(spark, d).select("p_partkey", *(fields[k].alias(k) for k in ("brand_name", "class_type", "net_contents", "producer_info")))
+
+
+@query("SELECT p_partkey, '750 mL' AS net_contents FROM part")
+def q17_labeled_field(spark, d):
+    return _forms(spark, d).select("p_partkey", D.labeled_field(F.col("text"), D.LABELS["net_contents"]).alias("net_contents"))
+
+
+@query(with_views("SELECT label_id, CASE label_id % 6 WHEN 0 THEN 'Old River Distilling Co, Frankfort, KY 40601' WHEN 1 THEN 'Hill Cellars, 12 Main Street, Napa, California' WHEN 2 THEN 'Granite Brewing LLC, Portland, Maine 04101' WHEN 3 THEN 'North Import Inc, Edinburgh, Scotland' WHEN 4 THEN 'Maison Claire, Reims, France' ELSE 'Nobody ' || CASE WHEN label_id % 4 < 2 THEN '' ELSE 'Domestic' END END AS producer FROM label_text WHERE label_id % 6 < 5", "label_text"))
+def q12_producer_lines(spark, d):
+    return view(spark, d, "label_text").where("label_id % 6 < 5").select("label_id", D.extract_producer(F.col("raw_text")).alias("producer"))
+
+
+@query(with_views("", "photo_results") + SUMMARY + ", l AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'brand_name' ELSE 'net_contents' END AS field_key, run_id // 2 AS record FROM summary) SELECT record, coalesce(nullif(max(CASE WHEN field_key = 'brand_name' THEN value END), ''), max(CASE WHEN field_key = 'brand_name' THEN expected END)) AS brand_name, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall_status FROM l GROUP BY record")
+def q33_saved_header(spark, d):
+    fields = _summary(spark, d).withColumn("field_key", F.when(F.col("run_id") % 2 == 0, "brand_name").otherwise("net_contents")).withColumn("record", F.floor(F.col("run_id") / 2))
+    return S.saved_headers(fields, ["record"])
+
+
+@query(with_views("", "photo_results") + SUMMARY + " SELECT run_id, status, value, source_index FROM summary")
+def q34_json_roundtrip(spark, d):
+    text = S.encode_results(F.struct("status", "value", "source_index"))
+    back = S.decode_results(F.col("results_json"), "status string, value string, source_index int")
+    return _summary(spark, d).select("run_id", text.alias("results_json")).select("run_id", back.alias("r")).select("run_id", "r.*")
+
+
+EDIT = "CASE p_partkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'none' END"
+
+
+@query(with_views(f"SELECT id, name, CASE WHEN id % 5 = 1 THEN 'New ' || brand_name ELSE brand_name END AS brand_name, CASE WHEN id % 5 = 1 THEN NULL ELSE net_contents END AS net_contents, CASE WHEN id % 5 = 1 THEN '2024-02-02 00:00:00' ELSE '2024-01-01 00:00:00' END AS updated_at FROM library WHERE id % 5 <> 0 UNION ALL SELECT (SELECT max(id) FROM library) + s_suppkey - (SELECT min(s_suppkey) FROM supplier) + 1 AS id, s_name AS name, NULL AS brand_name, NULL AS net_contents, '2024-02-02 00:00:00' AS updated_at FROM supplier", "library"))
+def q35_library_upsert(spark, d):
+    first, later = "2024-01-01 00:00:00", "2024-02-02 00:00:00"
+    rows = view(spark, d, "library").select("id", "name", *REFERENCE_FIELDS, F.lit(first).alias("created_at"), F.lit(first).alias("updated_at"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"))
+    none = [F.lit(None).cast("string").alias(f) for f in REFERENCE_FIELDS[1:]]
+    edits = rows.where("id % 5 < 2").select(F.when(F.col("id") % 5 == 0, "delete").otherwise("update").alias("action"), F.col("id").alias("seq"), "id", "name", F.concat(F.lit("New "), "brand_name").alias("brand_name"), *none)
+    new = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("insert").alias("action"), F.col("s_suppkey").alias("seq"), F.lit(None).cast("long").alias("id"), F.col("s_name").alias("name"), F.lit(" ").alias("brand_name"), *none)
+    top = rows.agg(F.max("id")).first()[0] or 0
+    changed = S.next_versions(rows, edits.unionByName(new), 2, later, top)
+    return S.latest(rows.unionByName(changed)).select("id", "name", "brand_name", "net_contents", "updated_at")
+
+
 def queries() -> dict[str, Query]:
     return QUERIES
 
