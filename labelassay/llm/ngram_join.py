@@ -20,6 +20,8 @@ SKETCH = 1 << 22  # counters: 32 MB on the driver, 16 MB in a worker
 CHUNK = 1 << 16
 MOST_MATCHES = 4
 SALT_ROWS = 4096
+HEAVY = 8  # pairs for each row of an index entry from which stars are tried first
+TRIES = 8  # pairs that a component tries in a round of stars
 NULL_ID = (1 << 63) - 1
 
 
@@ -111,11 +113,11 @@ def _prefixes(words: int, percent: int, counts, bits) -> Callable[[Iterator[pa.R
                     if len(s):
                         own, expected, m = prefix(s, table, percent)
                         salts = np.maximum(expected // SALT_ROWS, 1)
-                        rows.append((own.view(np.int64), doc_id % salts, np.where(salts > 1, 1, 0), doc_id, len(s), m))
+                        rows.append((own.view(np.int64), doc_id % salts, np.where(salts > 1, 1, 0), doc_id, len(s), m, np.arange(len(own))))
                 if rows:
                     lengths = [len(r[0]) for r in rows]
                     each = [np.repeat([r[i] for r in rows], lengths) for i in (3, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))] + [pa.array(each[0], pa.int64()), pa.array(each[1], pa.int64()), pa.array(each[2], pa.int32())], names=["token", "salt", "salted", "doc", "n", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (6, pa.int32()))] + [pa.array(each[0], pa.int64()), pa.array(each[1], pa.int64()), pa.array(each[2], pa.int32())], names=["token", "salt", "salted", "place", "doc", "n", "m"])
 
     return run
 
@@ -151,23 +153,52 @@ def _may_link(percent: int):
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes fit and that meet at enough tokens of their prefixes.
+    """Pairs whose sizes fit and that meet often enough in their prefixes.
 
-    That is the lesser of the matches asked for, and also what is left of the
-    overlap a link needs when all tokens after a prefix, ``needed(n) - m``, are
-    shared: a shared token that isn't met is after the prefix that ends first.
+    The sizes of two sets tell the overlap that a link needs, so for this pair
+    shorter prefixes do: all but that overlap, and the matches asked for. Two
+    linked sets share as many tokens of these; a token at a later place isn't
+    counted.
     """
-    met = pairs.where(_may_link(percent)).groupBy("a", "b").agg(F.count("*").alias("met"), *(F.min(c).alias(c) for c in ("na", "ma", "nb", "mb")))
-    after = lambda n, m: F.floor((percent * F.col(n) + 99) / 100) - F.col(m)
+    matches = F.least("ma", "mb")
     overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return met.where((F.col("met") >= F.least("ma", "mb")) & (F.col("met") >= overlap - F.greatest(after("na", "ma"), after("nb", "mb")))).select("a", "b")
+    inside = lambda n, place: F.col(place) < F.col(n) - overlap + matches
+    met = pairs.where(_may_link(percent) & inside("na", "pa") & inside("nb", "pb")).groupBy("a", "b").agg(F.count("*").alias("met"), F.min(matches).alias("matches"))
+    return met.where("met >= matches").select("a", "b")
 
 
 def _of(x: str, head: str = ""):
-    return [F.col(f"{head}{k}").alias(f"{v}{x}") for k, v in (("doc", ""), ("n", "n"), ("m", "m"))]
+    return [F.col(f"{head}{k}").alias(f"{v}{x}") for k, v in (("doc", ""), ("n", "n"), ("m", "m"), ("place", "p"))]
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star_rounds: int = 3) -> DataFrame:
+def _reach(percent: int):
+    """The largest partner for which a row's place is still inside the pair's prefix (see ``_enough``)."""
+    return (F.col("n") - F.col("place") + F.col("m") - 1) * (100 + percent) / percent - F.col("n")
+
+
+def _members_and_parts(mixed: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``mixed`` (as x) with the other components of their entry that may hold a partner.
+
+    A row's place in its prefix bounds its partners' size (``reach``): a larger
+    one needs more overlap than is left behind that place. So a row goes with a
+    component only if the least size there is within its reach, and its own
+    size within the greatest reach there.
+    """
+    rows = mixed.withColumn("reach", _reach(percent))
+    parts = rows.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("reach").alias("reach"))
+    one, two = (parts.toDF("token", f"c{x}", f"least{x}", f"reach{x}") for x in "ab")
+    across = one.join(two, "token").where("ca < cb AND leasta <= reachb AND leastb <= reacha").drop("leasta", "reacha")
+    left = rows.select("token", F.col("component").alias("ca"), *_of("x"), F.col("reach").alias("reachx"))
+    return across.join(left, ["token", "ca"]).where("nx <= reachb AND leastb <= reachx").drop("leastb", "reachb")
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of rows of an entry in different components, each in the other's reach."""
+    right = mixed.select("token", F.col("component").alias("cb"), *_of("y"), _reach(percent).alias("reachy"))
+    return _members_and_parts(mixed, percent).join(right, ["token", "cb"]).where("ny <= reachx AND nx <= reachy")
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` % or more.
 
     Reads ``doc_id`` and ``text``; other columns are left out. A-Z are
@@ -180,9 +211,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
 
     Equal sets become one class first. Each class is indexed by its prefix.
     Instead of all pairs of an index entry, its first document is paired with
-    the others; what is linked becomes one component, and then only pairs
-    from different components of an entry are left, which are all tried. So
-    large groups cost a star and no link that joins two components is lost.
+    the others; what is linked becomes one component. Where many pairs from
+    different components of an entry are left, each component then tries a few
+    with members of the entry's largest component, drawn anew in each round;
+    at last all pairs from different components are tried. So large groups
+    cost some stars and no link that joins two components is lost.
 
     Returns a row for each row of ``docs``: doc_id, n_shingles, component_id,
     class_id (smallest doc_id with the same set).
@@ -197,29 +230,33 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
     leaders = classed.where("n > 0").select(F.col("class_id").alias("id")).distinct()
     counts = spark.sparkContext.broadcast(_sketch(first.where("chunk IS NOT NULL").select("chunk", "counts", "slice")))
     bits = spark.sparkContext.broadcast(bloom_bits(leaders, leaders.count()))
-    index = rows.mapInArrow(_prefixes(words, percent, counts, bits), "token long, salt int, salted int, doc long, n long, m int")
+    index = rows.mapInArrow(_prefixes(words, percent, counts, bits), "token long, salt int, salted int, place int, doc long, n long, m int")
 
     # Entries with one document are left out here; a salted entry may have others under other salts.
     entry = "PARTITION BY token, salt"
-    index = index.selectExpr("token", "salted", "doc", "n", "m", f"count(*) OVER ({entry}) AS entries", f"min(struct(doc, n, m)) OVER ({entry}) AS head")
+    index = index.selectExpr("token", "salted", "doc", "n", "m", "place", f"count(*) OVER ({entry}) AS entries", f"min(struct(doc, n, m, place)) OVER ({entry}) AS head")
     index = saved(index.where("entries > 1 OR salted > 0").drop("entries"), "shared-prefixes")
 
     copies = classed.where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     stars = index.where("doc > head.doc").select(*_of("a", "head."), *_of("b"))
     tried = _checked(rows, saved(_enough(_named(stars), percent), "star-pairs"), words, percent)
     index = index.drop("head", "salted")
-    for round_ in range(star_rounds):
+    for round_ in range(star_rounds + 1):
         found = saved(components(tried.where("linked").select("a", "b")), "components")
         entries = saved(index.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "prefix-components")
-        heads = entries.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct("doc", "n", "m")).alias("head"))
-        several = heads.groupBy("token").agg(F.count("*").alias("parts"), F.min(F.struct("component", "head")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1")
+        dice = F.xxhash64("doc", "token", F.lit(round_))
+        heads = entries.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
+        several = heads.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component", "head")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1")
         several = saved(several, "mixed-entries")
-        load = several.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if load[0] <= 8 * load[1] + 1000 or round_ == star_rounds - 1:
+        heavy = several.where((F.col("all") * F.col("all") - F.col("squares")) / 2 > HEAVY * F.col("all"))
+        if round_ == star_rounds or heavy.isEmpty():
             break
-        stars = heads.join(several.select("token", "top"), "token").where(F.col("component") != F.col("top.component"))
-        stars = stars.select(*_of("a", "top.head."), *_of("b", "head."))
-        new = _enough(_named(stars), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        # Of each component some entries: its member of the dice there with one of the largest component.
+        stars = heads.join(heavy.select("token", "top"), "token").where(F.col("component") != F.col("top.component"))
+        lot = F.xxhash64("token", "component", F.lit(round_))
+        stars = stars.groupBy("component", F.pmod(lot, F.lit(TRIES)).alias("lot")).agg(F.min(F.struct(lot.alias("by"), F.col("head").alias("x"), F.col("top.head").alias("y"))).alias("at"))
+        stars = stars.select(F.least("at.x.doc", "at.y.doc").alias("a"), F.greatest("at.x.doc", "at.y.doc").alias("b"), F.col("at.x.n").alias("na"), F.col("at.y.n").alias("nb"))
+        new = stars.where(_may_link(percent)).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = _checked(rows, saved(new, "star-pairs"), words, percent)
         tried = saved(tried.unionByName(more), "tried-pairs")
         if more.where("linked").isEmpty():
@@ -227,13 +264,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
 
     # What is left: all pairs from different components of an entry.
     mixed = saved(entries.join(several.select("token"), "token"), "mixed-prefixes")
-    parts = mixed.select("token", "component").distinct()
-    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "token").where("ca < cb")
-    left = mixed.select("token", F.col("component").alias("ca"), *_of("x"))
-    right = mixed.select("token", F.col("component").alias("cb"), *_of("y"))
-    pairs = across.join(left, ["token", "ca"]).join(right, ["token", "cb"])
+    pairs = _across(mixed, percent)
     turned = F.col("x") > F.col("y")
-    pairs = pairs.select(*(F.when(turned, F.col(f"{k}{p}")).otherwise(F.col(f"{k}{q}")).alias(f"{k}{out}") for k in ("", "n", "m") for p, q, out in (("y", "x", "a"), ("x", "y", "b"))))
+    pairs = pairs.select(*(F.when(turned, F.col(f"{k}{p}")).otherwise(F.col(f"{k}{q}")).alias(f"{k}{out}") for k in ("", "n", "m", "p") for p, q, out in (("y", "x", "a"), ("x", "y", "b"))))
     rest = saved(_enough(pairs, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
     tried = tried.unionByName(_checked(rows, rest, words, percent))
 
@@ -244,4 +277,4 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
 
 
 def _named(pairs: DataFrame) -> DataFrame:
-    return pairs.toDF("a", "na", "ma", "b", "nb", "mb")
+    return pairs.toDF("a", "na", "ma", "pa", "b", "nb", "mb", "pb")

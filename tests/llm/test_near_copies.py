@@ -194,3 +194,21 @@ def test_every_number_of_blocks_finds_the_same_pairs(spark, blocks):
     met = {(r["a"], r["b"]) for r in keyed.withColumnRenamed("line", "a").join(keyed.withColumnRenamed("line", "b"), "key").where("a < b").select("a", "b").collect()}
     near = {(a, b) for (a, x), (b, y) in combinations(rows, 2) if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 3}
     assert near and near <= met
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 60), st.integers(0, 15), st.integers(0, 15), st.randoms(use_true_random=False))
+def test_linked_sets_meet_inside_the_prefixes_of_their_pair(both, only_a, only_b, dice):
+    tokens = np.array([dice.getrandbits(64) for _ in range(both + only_a + only_b)], np.uint64)
+    if 100 * both < 75 * len(tokens) or len(set(tokens.tolist())) < len(tokens):
+        return
+    counts = np.ones(SKETCH, np.uint32)
+    counts[(tokens & np.uint64(SKETCH - 1)).astype(int)] = [dice.choice([1, 3, 900]) for _ in tokens]
+    a, b = np.sort(tokens[: both + only_a]), np.sort(np.concatenate([tokens[:both], tokens[both + only_a :]]))
+    (pa_, _, ma), (pb_, _, mb) = prefix(a, counts), prefix(b, counts)
+    overlap, m = -(-75 * (len(a) + len(b)) // 175), min(ma, mb)
+    at_a, at_b = ({t: i for i, t in enumerate(p.tolist())} for p in (pa_, pb_))
+    met = [t for t in at_a if t in at_b and at_a[t] < len(a) - overlap + m and at_b[t] < len(b) - overlap + m]
+    assert len(met) >= m
+    reach = lambda n, place, own: (n - place + own - 1) * 175 / 75 - n
+    assert all(len(b) <= reach(len(a), at_a[t], ma) + 1e-9 and len(a) <= reach(len(b), at_b[t], mb) + 1e-9 for t in met)
