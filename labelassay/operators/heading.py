@@ -29,7 +29,7 @@ def word_density(words: DataFrame, tiles: DataFrame) -> DataFrame:
     """``words`` with ``density``; ``tiles`` has photo_id, w, h and px (gray bytes, row by row)."""
 
     @F.pandas_udf("double")
-    def density(batches: Iterator[tuple]) -> Iterator[pd.Series]:
+    def density(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for px, w, h, left, top, width, height in batches:
             out = []
             for p, a, b, x, y, dx, dy in zip(px, w, h, left, top, width, height):

@@ -17,6 +17,8 @@ from ..operators import layout as L
 from ..operators import match as M
 from ..operators import store as S
 from ..operators import verdict as V
+from ..operators.heading import heading_bold, word_density
+from ..sources.files import docx_file, texts_of
 from .inputs import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,6 +474,27 @@ def q35_library_upsert(spark, d):
     return S.latest(rows.unionByName(changed)).select("id", "name", "brand_name", "net_contents", "updated_at")
 
 
+@query("SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || p_type AS text FROM part")
+def q36_docx_text(spark, d):
+    lines = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("lines"))
+    files = lines.select(F.col("p_partkey").cast("string").alias("path"), F.lit("docx").alias("kind"), docx_file(F.col("lines")).alias("content"))
+    return texts_of(files).select(F.col("path").cast("long").alias("p_partkey"), "text")
+
+
+@query()
+def q37_heading_bold(spark, d):
+    """A strip of a photo for each part: a heading of solid boxes, and body words with more or less ink."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("photo_id"), (F.col("p_size") % 3 + 1).cast("int").alias("gap"))
+    word = F.posexplode(F.array(F.lit("GOVERNMENT"), F.lit("WARNING:"), *(F.lit(f"body{k}") for k in range(6)))).alias("word_seq", "text")
+    words = parts.select("photo_id", word).select("*", (F.col("word_seq") * 16).alias("left"), F.lit(0).alias("top"), F.lit(16).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("block_num"))
+    dark, light = F.lit("00"), F.lit("FF")
+    solid = F.concat(F.repeat(dark, 8), F.repeat(light, 8))
+    thin = F.rpad(F.repeat(F.concat(dark, F.repeat(light, F.col("gap"))), 4), 32, "FF")
+    row = F.concat(F.repeat(solid, 2), F.repeat(thin, 6))
+    tiles = parts.select("photo_id", F.lit(128).alias("w"), F.lit(8).alias("h"), F.unhex(F.repeat(row, 8)).alias("px"))
+    return heading_bold(word_density(words, tiles))
+
+
 def queries() -> dict[str, Query]:
     return QUERIES
 

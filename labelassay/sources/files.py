@@ -6,9 +6,10 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -56,7 +57,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text and error of all files in a folder, by their extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", kind.alias("kind"), "content").mapInPandas(_texts, "path string, text string, error string")
+    return texts_of(files.select("path", kind.alias("kind"), "content"))
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """path, text and error of files that are rows: path, kind (their extension) and content."""
+    return files.select("path", "kind", "content").mapInPandas(_texts, "path string, text string, error string")
+
+
+def docx_file(lines: Column) -> Column:
+    """A DOCX file with a paragraph for each line of an array."""
+
+    def made(paragraphs) -> bytes:
+        body = "".join(f"<w:p><w:r><w:t>{escape(p or '')}</w:t></w:r></w:p>" for p in paragraphs)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    @F.pandas_udf("binary")
+    def files(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(made)
+
+    return files(lines)
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
