@@ -14,6 +14,7 @@ from .common import by_size, located, saved, scan_of, texts
 from .shingles import NOT_ALNUM, word_hashes
 
 BLOCK = 16  # words; a passage is two blocks in a row, so passages overlap by half
+RUN = 3  # words in a row that make a passage a candidate at any cosine
 RANK, MORE = 32, 8  # dimensions beside those of the items
 ITEM_BLOCK = 256  # items searched at a time
 FOUND = "doc_id long, file long, row long, item_id long, passage_start int, cosine double, lcs_share double, answer_share double"
@@ -222,6 +223,7 @@ class Benchmark:
     ids: list[int]
     codes: list[np.ndarray]
     points: np.ndarray  # unit vectors of the items in the latent space
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted keys of the items' word runs, item of each
 
 
 def unit(points: np.ndarray) -> np.ndarray:
@@ -233,11 +235,50 @@ def locate_items(latent: Latent, codes: list[np.ndarray]) -> np.ndarray:
     return unit(np.stack([weighted[c].sum(axis=0) for c in codes]))
 
 
+def run_keys(codes: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of ``length`` words, by its first word."""
+    n = max(0, len(codes) - length + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(length):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n].astype(np.uint64)
+    return key
+
+
+def runs_of(codes: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Runs of ``RUN`` words of each item (of all its words if it has fewer)."""
+    out = {}
+    for length in {min(RUN, len(c)) for c in codes}:
+        own = [(i, np.unique(run_keys(c, length))) for i, c in enumerate(codes) if min(RUN, len(c)) == length]
+        keys, of = np.concatenate([k for _, k in own]), np.repeat([i for i, _ in own], [len(k) for _, k in own])
+        order = np.argsort(keys, kind="stable")
+        out[length] = keys[order], of[order]
+    return out
+
+
+def with_runs(words: Words, items: Benchmark) -> list[np.ndarray]:
+    """For each item the blocks in which a run of its words begins, whatever its words weigh."""
+    which, blocks = [np.zeros(0, int)], [np.zeros(0, int)]
+    for length, (keys, of) in items.runs.items():
+        own = run_keys(words.flat, length)
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own)
+        doc = lambda x: np.searchsorted(words.first, words.block[x], "right")
+        at = at[doc(at) == doc(at + length - 1)]
+        low, high = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
+        many = high - low
+        which.append(of[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())])
+        blocks.append(np.repeat(words.block[at], many))
+    n = int(words.first[-1]) + 1
+    pairs = np.unique(np.concatenate(which) * n + np.concatenate(blocks))
+    return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, len(items.codes))))
+
+
 def _candidates(points: np.ndarray, words: Words, latent: Latent, items: Benchmark, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, first block and TF-IDF cosine of the passages that are near an item, in both spaces.
+    """Item, first block and TF-IDF cosine of the passages that are near an item, in both spaces, or hold a run of its words.
 
     The latent space proposes; what it proposes is compared in the space of all
-    terms, one item at a time, before anything is read word by word.
+    terms, one item at a time, before anything is read word by word. Words that
+    are common have no weight there, nor has a passage much of a long item; so
+    passages with a run of an item's words are candidates too.
     """
     squares = latent.idf**2
     padded = np.concatenate([words.flat, np.zeros(2 * BLOCK, np.uint32)])
@@ -250,7 +291,8 @@ def _candidates(points: np.ndarray, words: Words, latent: Latent, items: Benchma
     own = np.zeros(len(squares))
     out = []
     which, found = np.nonzero((points @ items.points.T).T >= cosine)
-    for i, near in enumerate(np.split(found, np.searchsorted(which, np.arange(1, len(items.codes))))):
+    for i, (near, run) in enumerate(zip(np.split(found, np.searchsorted(which, np.arange(1, len(items.codes)))), with_runs(words, items))):
+        near = np.union1d(near, run)
         if len(near):
             terms = np.unique(items.codes[i])
             own[terms] = squares[terms]
@@ -258,7 +300,8 @@ def _candidates(points: np.ndarray, words: Words, latent: Latent, items: Benchma
             shared = (own[padded[place]] * (place < stop[near, None])).sum(axis=1)
             true = shared / np.maximum(np.sqrt(weight[near] * own[terms].sum()), 1e-9)
             own[terms] = 0
-            near, true = near[true >= cosine], true[true >= cosine]
+            keep = (true >= cosine) | np.isin(near, run)
+            near, true = near[keep], true[keep]
             out.append((np.full(len(near), i), near, true))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -320,7 +363,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, sure:
     Reads ``doc_id`` and ``text`` of ``docs``, ``item_id`` and ``text`` of
     ``benchmark``; other columns are left out. Words are runs of letters and
     digits in lower case. Overlapping passages of two blocks of ``BLOCK`` words of every document are placed in
-    a latent space; those with a cosine of ``cosine`` or more to an item are candidates. An item is found where its longest common
+    a latent space; those with a cosine of ``cosine`` or more to an item, and those with ``RUN`` of its words in a row, are candidates. An item is found where its longest common
     subsequence with a stretch of words at a candidate, half as long again, is ``sure`` of its words or
     more, or ``likely`` with ``answer`` of its answer's words in order. Items
     are the query set, searched in blocks of ``ITEM_BLOCK`` against all rows.
@@ -354,7 +397,7 @@ def _found_in_block(rows: DataFrame, block: list[tuple[int, str]], cosine: float
     if not own:
         return rows.sparkSession.createDataFrame([], FOUND)
     latent = fit_latent(coded, term_weights(coded, len(vocabulary)), [c for _, c in own], rank)
-    bench = Benchmark([i for i, _ in own], [c for _, c in own], locate_items(latent, [c for _, c in own]))
+    bench = Benchmark([i for i, _ in own], [c for _, c in own], locate_items(latent, [c for _, c in own]), runs_of([c for _, c in own]))
     return saved(coded.mapInArrow(_search(share(latent), share(bench), cosine, sure, likely, answer), FOUND), "leaks")
 
 

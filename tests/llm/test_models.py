@@ -183,6 +183,24 @@ def test_leaks(spark, word, with_null_id, empty):
     assert drop_leaks(with_null_id, bench).count() == with_null_id.count()
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark, word):
+    dice = random.Random(12)
+    prose = lambda n: [word(dice) for _ in range(n)]
+    own = [[f"q{k}{w}" for w in prose(15 + 9 * k)] for k in range(3)]
+    rare = [f"r{i}" for i in range(40)]
+    docs = []
+    for i in range(300):
+        text = prose(45)
+        at = dice.randrange(45)
+        text[at:at] = own[i % 3] if i % 3 else [*dice.sample(rare, 9), *own[0], *dice.sample(rare, 9)]
+        docs.append((i, " ".join(text if i % 3 == 0 or i % 9 < 6 else prose(60))))
+    docs.append((300, "once " + " ".join(prose(20))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*((k, " ".join(w)) for k, w in enumerate(own)), (8, "once seen elsewhere"), (9, " ".join(rare))], "item_id long, text string")
+    got = {(g["doc_id"], g["item_id"]) for g in find_leaks(frame, bench).collect()}
+    assert got == {(i, i % 3) for i in range(300) if i % 3 == 0 or i % 9 < 6}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_lcs(a, b):
