@@ -201,6 +201,16 @@ def test_leaks_of_an_item_in_a_third_of_the_documents(spark, word):
     assert got == {(i, i % 3) for i in range(300) if i % 3 == 0 or i % 9 < 6}
 
 
+def test_leaks_of_a_long_item(spark, word):
+    dice = random.Random(13)
+    item = [f"l{i}" for i in range(1000)]
+    prose = lambda n: [word(dice) for _ in range(n)]
+    docs = [(i, " ".join([*prose(90), *(item if i == 3 else item[:400] if i == 4 else []), *prose(90)])) for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(g["doc_id"], g["item_id"], g["lcs_share"]) for g in find_leaks(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()]
+    assert got == [(3, 1, 1.0)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_lcs(a, b):
