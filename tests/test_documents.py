@@ -68,6 +68,13 @@ def test_producer_lines(spark, text, producer):
     assert spark.createDataFrame([(text,)], "t string").select(D.extract_producer(F.col("t")).alias("p")).first()["p"] == producer
 
 
+@pytest.mark.parametrize("country, producer", [("PRODUCT OF Scotland", "Nobody"), ("Domestic", "Nobody Domestic GOVERNMENT WARNING: drink less {box}")])
+@pytest.mark.parametrize("box", ["[ ] WINE  [X] DISTILLED  SPIRITS [ ] MALT BEVERAGE", "x: wine", "[] WINE"])
+def test_producer_without_an_address_end(spark, country, producer, box):
+    text = f"spring pale widget\nRed Wine\n80 PROOF\n750 mL\nProduced and Bottled By: Nobody\n{country}\nGOVERNMENT\nWARNING: drink less\n{box}"
+    assert spark.createDataFrame([(text,)], "t string").select(D.extract_producer(F.col("t")).alias("p")).first()["p"] == producer.format(box=box)
+
+
 def words(spark, rows):
     """(text, top, height, block) as words, one a line."""
     made = [(1, i, t, "90", 10, top, 50, h, b, 1, i) for i, (t, top, h, b) in enumerate(rows)]
