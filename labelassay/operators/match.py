@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REFERENCE_FIELDS, Thresholds
@@ -67,14 +67,15 @@ def match_kind(mode, product_id, matched_count):
 
 
 def first_of_each(rows: DataFrame, key, order: list, saved_keys: DataFrame | None = None) -> DataFrame:
-    """Of rows with one key (spaces trimmed, A-Z folded) the first by ``order``, unless the key is saved already.
+    """Of rows with one key (spaces trimmed, A-Z folded) the first by ``order`` (columns, least first), unless the key is saved already.
 
     A blank or null key is never a duplicate. ``saved_keys`` has a column ``key``.
     """
     folded = F.translate(F.trim(key), UPPER, LOWER)
     rows = rows.withColumn("_key", F.nullif(folded, F.lit("")))
     blank, named = rows.where("_key IS NULL"), rows.where("_key IS NOT NULL")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1").drop("_n")
+    # min_by aggregates before the shuffle, so a frequent key doesn't go whole to one task.
+    first = named.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
     if saved_keys is not None:
         known = saved_keys.select(F.translate(F.trim("key"), UPPER, LOWER).alias("_key"))
         first = first.join(known, "_key", "left_anti")

@@ -33,3 +33,8 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     got, want = got.astype(object).where(got.notna(), None), want.astype(object).where(want.notna(), None)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_first_of_each_key_is_aggregated_before_the_shuffle(spark):
+    plan = plans.QUERIES["q32_dedup_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan
