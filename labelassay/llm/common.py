@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +19,23 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-DEFAULT_SHARED_DIR = "file:///tmp/labelassay-shared"
+LOCAL_SHARED_DIR = "file:///tmp/labelassay-shared"  # only where one machine runs everything
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of saved tables
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = LOCAL_SHARED_DIR
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -76,7 +85,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with settings(spark, ARROW_LIMITS):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``saved`` returned and nothing will read again.
+
+    Spark removes the shuffle files of a plan after the driver's JVM has
+    collected the plan; with a large heap that may be long after, so it is
+    asked to collect now.
+    """
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path:
+            remove_path(t.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -93,6 +119,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_for(df: DataFrame, part_bytes: int = 16 << 20) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, more if Spark's estimate of its size asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part_bytes), 1 << 20))
+
+
 def scan_of(docs: DataFrame) -> DataFrame:
     """``docs`` if it is a plain scan of files, else a scan of its rows, written to the shared folder."""
     try:

@@ -8,14 +8,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, located, remove_path, saved, scan_of, scratch_path, settings
+from .common import bloom_bits, bloom_has, done_with, located, remove_path, saved, scan_of, scratch_path, settings
 
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Without this every state partition holds 4 MB of disk for its manifest, however little it has.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
+HOT_GROUPS = 4096  # groups with a larger share of all rows than 1 / this are dealt over salts
 
 
 def _stream_state(arrivals: DataFrame, folder: str) -> DataFrame:
@@ -47,32 +51,55 @@ def _hit_rows(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def _odd_rows(rows: DataFrame, state: DataFrame, rows_per_salt: int) -> DataFrame:
+def _hot(state: DataFrame, total: int, rows_per_salt: int) -> DataFrame:
+    """Digests with more than ``rows_per_salt`` rows and more than their share of all rows: ``HOT_GROUPS`` at most."""
+    most = max(rows_per_salt, -(-total // HOT_GROUPS))
+    return state.where(F.col("group_size") > most).select("digest", F.ceil(F.col("group_size") / most).cast("int").alias("salts"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` (with ``digest`` and ``at``) and a ``salt``, which isn't always 0 in hot groups."""
+    salt = F.pmod(F.xxhash64("at"), F.coalesce("salts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("salts")
+
+
+def _at_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` (one for each digest) at every salt of their digest."""
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(salts)).drop("salts")
+
+
+def _odd_rows(rows: DataFrame, state: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows whose full bytes differ from those at their digest's locator (none, but for a collision).
 
-    Texts whose digest surely came once are left out before anything is shuffled.
+    Texts whose digest surely came once are left out before anything is
+    shuffled; the one known text of a hot group goes to each of its salts.
     """
-    hits = state.where("group_size > 1").select("digest", F.col("keep.at").alias("kept_at"), F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"))
+    hits = state.where("group_size > 1").select("digest", F.col("keep.at").alias("kept_at"))
     bits = rows.sparkSession.sparkContext.broadcast(bloom_bits(hits.select(F.xxhash64("digest").alias("id")), hits.count()))
     hashed = rows.select("digest", "doc_id", "at", "text", F.xxhash64(F.xxhash64("digest")).alias("hash"))
-    copies = saved(hashed.mapInArrow(_hit_rows(bits), hashed.schema).drop("hash").join(hits, "digest"), "dedup-copies")
-    known = copies.where(F.col("at") == F.col("kept_at")).select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("known"))
-    dealt = copies.where(F.col("at") != F.col("kept_at")).select("digest", "at", "doc_id", "text", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int").alias("salt"))
-    return dealt.join(known, ["digest", "salt"]).where(F.col("text") != F.col("known")).select("digest", "at", "doc_id", "text")
+    copies = _dealt(hashed.mapInArrow(_hit_rows(bits), hashed.schema).drop("hash"), hot)
+    copies = saved(copies.join(_at_salts(hits, hot), ["digest", "salt"]), "dedup-copies")
+    known = _at_salts(copies.where(F.col("at") == F.col("kept_at")).select("digest", F.col("text").alias("known")), hot)
+    others = copies.where(F.col("at") != F.col("kept_at")).select("digest", "salt", "at", "doc_id", "text")
+    odd = saved(others.join(known, ["digest", "salt"]).where(F.col("text") != F.col("known")).select("digest", "at", "doc_id", "text"), "dedup-odd")
+    done_with(copies)
+    return odd
 
 
-def stream_dedup(docs: DataFrame, files_per_batch: int = 16, rows_per_salt: int = 500, digest: Callable[[Column], Column] | None = None) -> DataFrame:
+def stream_dedup(docs: DataFrame, batches: int = 2, rows_per_salt: int = 500, digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """Decide for every row whether it stays; of equal texts the largest doc_id stays.
 
     Reads ``doc_id`` and ``text``; other columns are left out. Null texts count
     as empty, and empty texts are copies of one another. Digests, identifiers
-    and content locators arrive as a stream of files and are kept in keyed
-    state on disk. On a hit the full bytes are compared with those at the kept
-    locator, in a join in which only texts of groups take part and a large
-    group is dealt over salts; a text that differs is grouped by its own bytes.
-    Of rows that repeat the largest doc_id, the last locator stays. A null
-    doc_id is below every other. An empty table gives no rows. ``digest`` makes
-    the key from the SHA-256 (tests use short ones, to meet collisions).
+    and content locators arrive as a stream of files, in about ``batches``
+    micro-batches, and are kept in keyed state on disk. On a hit the full bytes
+    are compared with those at the kept locator, in a join in which only texts
+    of groups take part and a large group is dealt over salts; a text that
+    differs is grouped by its own bytes. Of rows that repeat the largest
+    doc_id, the last locator stays. A null doc_id is below every other. An
+    empty table gives no rows. ``digest`` makes the key from the SHA-256 (tests
+    use short ones, to meet collisions).
 
     Returns at (locator), doc_id, keep_id, group_size, kept, text_sha256.
     """
@@ -84,12 +111,15 @@ def stream_dedup(docs: DataFrame, files_per_batch: int = 16, rows_per_salt: int
     arrivals = rows.select("digest", "doc_id", "at", "sha")
     arrivals.write.parquet(f"{folder}/arrivals")
     arrived = spark.read.schema(arrivals.schema).parquet(f"{folder}/arrivals")
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/arrivals")
+    files = len(arrived.inputFiles())
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{folder}/arrivals")
     state = saved(_stream_state(stream, folder), "dedup-state")
     remove_path(spark, f"{folder}/progress")
-    odd = saved(_odd_rows(rows, state, rows_per_salt), "dedup-odd")
+    remove_path(spark, f"{folder}/changes")
+    hot = saved(_hot(state, arrived.count(), rows_per_salt), "dedup-hot")
+    odd = _odd_rows(rows, state, hot)
 
-    out = arrived.join(state, "digest").select("at", "doc_id", "keep", "group_size", "sha", "digest")
+    out = _dealt(arrived, hot).join(_at_salts(state, hot), ["digest", "salt"]).select("at", "doc_id", "keep", "group_size", "sha", "digest")
     if not odd.isEmpty():
         own = odd.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "at")).alias("own_keep"), F.count("*").alias("own_size"))
         own = odd.join(own, ["digest", "text"]).select("at", "own_keep", "own_size")

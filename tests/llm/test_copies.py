@@ -21,7 +21,7 @@ def groups(rows):
 def test_stream_dedup(with_null_id, digest):
     rows = with_null_id.select("doc_id", "text").collect()
     of = groups(rows)
-    got = stream_dedup(with_null_id, files_per_batch=1, rows_per_salt=2, digest=digest).collect()
+    got = stream_dedup(with_null_id, batches=100, rows_per_salt=2, digest=digest).collect()
     assert len(got) == len(rows)
     text = {r["doc_id"]: r["text"] or "" for r in rows}
     for g in got:
