@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, saved, scratch_path, texts
-from .tokens import tokenizer
+from .common import by_size, parts_for, saved, scratch_path, texts
+from .tokens import TEXT_BYTES, tokenizer
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -185,7 +185,7 @@ def _writer(folder: str, vocabulary: str, end: int, segment_ids: int, file_ids:
             return row
 
         for batch in batches:
-            for some in by_size(batch, "text"):
+            for some in by_size(batch, "text", TEXT_BYTES):
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(texts(some))):
                     held.append((doc_id is not None, doc_id or 0, raw + tail))
                     held_ids += len(raw) // 4 + 1
@@ -201,7 +201,7 @@ def _writer(folder: str, vocabulary: str, end: int, segment_ids: int, file_ids:
     return write
 
 
-def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0, segment_ids: int = 1_000_000, file_ids: int = 16_000_000) -> DataFrame:
+def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0, segment_ids: int = 250_000, file_ids: int = 8_000_000) -> DataFrame:
     """Tokenize whole texts and write their ids in ascending order of ``doc_id``.
 
     Reads ``doc_id`` (long) and ``text``; other columns are left out. A null or
@@ -213,8 +213,7 @@ def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0,
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     files = saved(ordered.mapInArrow(_writer(folder, vocabulary, end, segment_ids, file_ids), "file string, n_docs long, n_ids long"), "id-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -259,4 +258,4 @@ def id_block_digest(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     ids = read_id_blocks(spark, folder, manifest)
-    return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return saved(ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "id-digests")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, texts
-from .tokens import tokenizer
+from .tokens import TEXT_BYTES, tokenizer
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, pack_group long"
 PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
@@ -49,7 +49,7 @@ def _cutter(vocabulary: str, end: int, capacity: int, groups: int) -> Callable[[
         # A generator of this task's own: the same groups if the task runs again.
         dice = np.random.default_rng([11, TaskContext.get().partitionId()])
         for batch in batches:
-            for some in by_size(batch, "text"):
+            for some in by_size(batch, "text", TEXT_BYTES):
                 rows = []
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(texts(some))):
                     raw += tail
