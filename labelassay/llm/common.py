@@ -139,6 +139,32 @@ def located(docs: DataFrame) -> DataFrame:
     return scan_of(docs).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
 
 
+# ---- joins on keys of which a few may be very frequent ------------------------------
+
+HOT_KEYS = 4096
+
+
+def hot_keys(counted: DataFrame, total: int, least: int = 500) -> DataFrame:
+    """Of ``counted`` (a key and its rows ``n``) the keys with over 1 / ``HOT_KEYS`` of all rows, and ``salts``.
+
+    There are ``HOT_KEYS`` of them at most, so they may be broadcast.
+    """
+    most = max(least, -(-total // HOT_KEYS))
+    return counted.where(F.col("n") > most).withColumn("salts", F.ceil(F.col("n") / most).cast("int")).drop("n")
+
+
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with ``salt``: 0, but for hot keys drawn by a hash of the column ``by``."""
+    salt = F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts")
+
+
+def at_all_salts(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``rows`` (one for each key) once for each salt of their key."""
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("salts")
+
+
 # ---- Bloom bits -----------------------------------------------------------------
 
 BLOOM_MIN_BITS, BLOOM_MAX_BITS = 1 << 16, 1 << 27
@@ -174,7 +200,7 @@ def bloom_has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 # ---- batches --------------------------------------------------------------------
 
 
-def by_size(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of the text column each (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size, dtype=np.int64)

@@ -7,11 +7,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, by_size, saved, texts
+from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, hot_keys, salted, saved, texts
 from .components import components
 from .shingles import shingle_sets
 
@@ -113,47 +114,73 @@ def _prefixes(words: int, percent: int, counts, bits) -> Callable[[Iterator[pa.R
                     if len(s):
                         own, expected, m = prefix(s, table, percent)
                         salts = np.maximum(expected // SALT_ROWS, 1)
-                        rows.append((own.view(np.int64), doc_id % salts, np.where(salts > 1, 1, 0), doc_id, len(s), m, np.arange(len(own))))
+                        place = np.arange(len(own)) << 3 | (m - 1) << 1 | (salts > 1)
+                        rows.append((own.view(np.int64), (doc_id % salts).astype(np.int32), np.full(len(own), doc_id), (len(s) << 34) + place))
                 if rows:
-                    lengths = [len(r[0]) for r in rows]
-                    each = [np.repeat([r[i] for r in rows], lengths) for i in (3, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (6, pa.int32()))] + [pa.array(each[0], pa.int64()), pa.array(each[1], pa.int64()), pa.array(each[2], pa.int32())], names=["token", "salt", "salted", "place", "doc", "n", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["token", "salt", "doc", "packed"])
 
     return run
 
 
-# ---- candidates, checking ------------------------------------------------------------------
+def _unpacked(packed: str) -> dict[str, Column]:
+    """n, place, m and salted of a row of the index; in one number while it is shuffled."""
+    x = F.col(packed)
+    return {"n": F.shiftright(x, 34), "place": F.shiftright(x, 3).bitwiseAND((1 << 31) - 1), "m": F.shiftright(x, 1).bitwiseAND(3) + 1, "salted": x.bitwiseAND(1)}
 
 
-def _sets(words: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
-        for batch in batches:
-            batch = batch.filter(pa.array(bloom_has(wanted, batch.column("hash").to_numpy())))
-            for some in by_size(batch, "text"):
-                sets = [s.view(np.int64) for s in shingle_sets(texts(some), words)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "tokens"])
+# ---- candidates, checking ------------------------------------------------------------------
 
-    return run
+
+def linked(a: list[str], b: list[str], words: int, percent: int) -> list[bool]:
+    """For each pair of texts whether their whole shingle sets are as similar; a text that repeats is cut up once."""
+    number = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    sets: list[np.ndarray] = []
+    held, size = [], 0
+    for t in number:
+        held.append(t)
+        size += len(t)
+        if size > 1 << 20:
+            sets += shingle_sets(held, words)
+            held, size = [], 0
+    sets += shingle_sets(held, words) if held else []
+    out = []
+    for x, y in zip(a, b):
+        one, two = sets[number[x]], sets[number[y]]
+        same = len(np.intersect1d(one, two, assume_unique=True))
+        out.append(100 * same >= percent * (len(one) + len(two) - same))
+    return out
 
 
 def _checked(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: the whole sets are compared."""
+    """``pairs`` (a, b) with ``linked``: the whole texts are compared.
+
+    Texts are moved and not their sets, which are larger and don't compress.
+    """
     spark = rows.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bits = spark.sparkContext.broadcast(bloom_bits(ids, ids.count()))
-    sets = saved(rows.mapInArrow(_sets(words, bits), "doc long, tokens array<long>").join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("of_b")), "b").join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("of_a")), "a")
-    same = F.size(F.array_intersect("of_a", "of_b"))
-    return saved(both.select("a", "b", (100 * same >= percent * (F.size("of_a") + F.size("of_b") - same)).alias("linked")), "checked-pairs")
+
+    @F.pandas_udf("boolean")
+    def wanted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(bloom_has(bits.value, hashes.to_numpy(np.int64)))
+
+    @F.pandas_udf("boolean")
+    def are_linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series(linked(a.tolist(), b.tolist(), words, percent), dtype=bool)
+
+    some = rows.where(wanted("hash")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pairs.join(some.toDF("b", "of_b"), "b").join(some.toDF("a", "of_a"), "a")
+    return saved(both.select("a", "b", are_linked("of_a", "of_b").alias("linked")), "checked-pairs")
 
 
 def _may_link(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes fit and that meet often enough in their prefixes.
+def _met(pairs: DataFrame, percent: int, *more: Column) -> DataFrame:
+    """Pairs whose sizes fit: how often they meet in their prefixes (``met``) and must meet (``matches``).
 
     The sizes of two sets tell the overlap that a link needs, so for this pair
     shorter prefixes do: all but that overlap, and the matches asked for. Two
@@ -163,16 +190,16 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     matches = F.least("ma", "mb")
     overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     inside = lambda n, place: F.col(place) < F.col(n) - overlap + matches
-    met = pairs.where(_may_link(percent) & inside("na", "pa") & inside("nb", "pb")).groupBy("a", "b").agg(F.count("*").alias("met"), F.min(matches).alias("matches"))
-    return met.where("met >= matches").select("a", "b")
+    return pairs.where(_may_link(percent) & inside("na", "pa") & inside("nb", "pb")).groupBy("a", "b").agg(F.count("*").alias("met"), F.min(matches).alias("matches"), *more)
 
 
 def _of(x: str, head: str = ""):
+    """Columns of one side of a pair: its document, and n, m and place under short names."""
     return [F.col(f"{head}{k}").alias(f"{v}{x}") for k, v in (("doc", ""), ("n", "n"), ("m", "m"), ("place", "p"))]
 
 
 def _reach(percent: int):
-    """The largest partner for which a row's place is still inside the pair's prefix (see ``_enough``)."""
+    """The largest partner for which a row's place is still inside the pair's prefix (see ``_met``)."""
     return (F.col("n") - F.col("place") + F.col("m") - 1) * (100 + percent) / percent - F.col("n")
 
 
@@ -224,34 +251,44 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id"))
     first = saved(rows.drop("hash").mapInArrow(_sizes(words), "doc_id long, n long, digest binary, chunk int, counts binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16))), "shingle-sizes")
-    sizes = first.where("chunk IS NULL").select("doc_id", "n", "digest")
-    classes = sizes.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classed = saved(sizes.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "shingle-classes")
+    classed = _classes(first.where("chunk IS NULL").select("doc_id", "n", "digest"))
     leaders = classed.where("n > 0").select(F.col("class_id").alias("id")).distinct()
     counts = spark.sparkContext.broadcast(_sketch(first.where("chunk IS NOT NULL").select("chunk", "counts", "slice")))
+    done_with(first)
     bits = spark.sparkContext.broadcast(bloom_bits(leaders, leaders.count()))
-    index = rows.mapInArrow(_prefixes(words, percent, counts, bits), "token long, salt int, salted int, place int, doc long, n long, m int")
+    index = rows.mapInArrow(_prefixes(words, percent, counts, bits), "token long, salt int, doc long, packed long")
 
     # Entries with one document are left out here; a salted entry may have others under other salts.
     entry = "PARTITION BY token, salt"
-    index = index.selectExpr("token", "salted", "doc", "n", "m", "place", f"count(*) OVER ({entry}) AS entries", f"min(struct(doc, n, m, place)) OVER ({entry}) AS head")
-    index = saved(index.where("entries > 1 OR salted > 0").drop("entries"), "shared-prefixes")
+    index = index.selectExpr("token", "doc", "packed", f"count(*) OVER ({entry}) AS entries", f"min(struct(doc, packed)) OVER ({entry}) AS head").where("entries > 1 OR packed & 1 = 1")
+    of_head = {f"head_{k}": v for k, v in {"doc": F.col("head.doc"), **_unpacked("head.packed")}.items() if k != "salted"}
+    index = saved(index.select("token", "doc", *(v.alias(k) for k, v in _unpacked("packed").items()), "entries", *(v.alias(k) for k, v in of_head.items())), "shared-prefixes")
 
     copies = classed.where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    stars = index.where("doc > head.doc").select(*_of("a", "head."), *_of("b"))
-    tried = _checked(rows, saved(_enough(_named(stars), percent), "star-pairs"), words, percent)
-    index = index.drop("head", "salted")
+    # Where two documents are alone at an entry, their star is all there is to it; how often
+    # they met there is added at the end to what is found at entries with more documents.
+    alone = (F.col("entries") == 2) & (F.col("salted") == 0)
+    stars = index.where("doc > head_doc").select(*_of("a", "head_"), *_of("b"), alone.alias("alone"))
+    stars = saved(_met(stars, percent, F.count_if("alone").alias("met_alone")).where("met >= matches OR met_alone > 0"), "star-pairs")
+    tried = _checked(rows, stars.where("met >= matches").select("a", "b"), words, percent)
+    begun = stars.where("met < matches").select("a", "b", F.col("met_alone").alias("met"), "matches")
+    left, own = index.where("entries > 2 OR salted > 0").select("token", "doc", "n", "m", "place"), [index]
     for round_ in range(star_rounds + 1):
         found = saved(components(tried.where("linked").select("a", "b")), "components")
-        entries = saved(index.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "prefix-components")
+        placed = saved(left.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "prefix-components")
         dice = F.xxhash64("doc", "token", F.lit(round_))
-        heads = entries.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
+        heads = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
         several = heads.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component", "head")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1")
         several = saved(several, "mixed-entries")
+        # From here on only entries with several components are read.
+        mixed = saved(placed.join(several.select("token"), "token"), "mixed-prefixes")
+        done_with(placed, found, *own)
+        left, own = mixed.drop("component"), [mixed, several]
         heavy = several.where((F.col("all") * F.col("all") - F.col("squares")) / 2 > HEAVY * F.col("all"))
         if round_ == star_rounds or heavy.isEmpty():
             break
         # Of each component some entries: its member of the dice there with one of the largest component.
+        heads = mixed.groupBy("token", "component").agg(F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
         stars = heads.join(heavy.select("token", "top"), "token").where(F.col("component") != F.col("top.component"))
         lot = F.xxhash64("token", "component", F.lit(round_))
         stars = stars.groupBy("component", F.pmod(lot, F.lit(TRIES)).alias("lot")).agg(F.min(F.struct(lot.alias("by"), F.col("head").alias("x"), F.col("top.head").alias("y"))).alias("at"))
@@ -263,12 +300,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
             break
 
     # What is left: all pairs from different components of an entry.
-    mixed = saved(entries.join(several.select("token"), "token"), "mixed-prefixes")
     pairs = _across(mixed, percent)
     turned = F.col("x") > F.col("y")
     pairs = pairs.select(*(F.when(turned, F.col(f"{k}{p}")).otherwise(F.col(f"{k}{q}")).alias(f"{k}{out}") for k in ("", "n", "m", "p") for p, q, out in (("y", "x", "a"), ("x", "y", "b"))))
-    rest = saved(_enough(pairs, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
-    tried = tried.unionByName(_checked(rows, rest, words, percent))
+    met = _met(pairs, percent).unionByName(begun).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("matches").alias("matches"))
+    rest = saved(met.where("met >= matches").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
+    done_with(*own)
+    if not rest.isEmpty():
+        tried = tried.unionByName(_checked(rows, rest, words, percent))
 
     found = components(tried.where("linked").select("a", "b").unionByName(copies))
     out = classed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -276,5 +315,12 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
     return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), null).alias("component_id"), F.nullif("class_id", null).alias("class_id"))
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    return pairs.toDF("a", "na", "ma", "pa", "b", "nb", "mb", "pb")
+def _classes(sizes: DataFrame) -> DataFrame:
+    """doc_id, n and class_id, the least doc_id with the same set; large classes are dealt over salts for the join."""
+    of = F.min(F.when(F.col("n") > 0, F.col("doc_id"))).alias("class_id")  # empty sets are no class, but may be many
+    classes = saved(sizes.groupBy("digest").agg(of, F.count("*").alias("k")).where("k > 1"), "shingle-copies")
+    hot = hot_keys(classes.select("digest", F.col("k").alias("n")), sizes.count())
+    classed = salted(sizes, hot, "digest", "doc_id").join(at_all_salts(classes.drop("k"), hot, "digest"), ["digest", "salt"], "left")
+    classed = saved(classed.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "shingle-classes")
+    done_with(classes)
+    return classed

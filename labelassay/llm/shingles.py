@@ -22,7 +22,7 @@ def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base, np.ones(1, np.uint64))
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    if len(have) <= 1 << 23:
+    if len(have) <= 1 << 20:
         _powers[base] = have
     return have[:n]
 
@@ -37,15 +37,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+PIECE = 1 << 18  # bytes hashed at a time (one word at least)
+
+
 def word_hashes(texts: list[str], between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z lower-cased, and how many each text has.
 
     A word is a run of bytes that don't stand ``between`` words (white space:
     space and 0x09 to 0x0D). Its hash is a polynomial over random values of
-    its bytes, modulo 2**64, then mixed.
+    its bytes, modulo 2**64, then mixed. Bytes are worked on in pieces that end
+    between words, so that long texts need little memory beside their hashes.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and not between[data[end - 1]]:
+            gap = np.flatnonzero(between[data[end : end + PIECE]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + PIECE, len(data))
+        own, first = _piece_hashes(data[at:end], between)
+        hashes.append(own)
+        starts.append(first + at)
+        at = end
+    limits = np.cumsum([len(r) + 1 for r in raw])
+    upto = np.searchsorted(np.concatenate(starts), limits)
+    return np.concatenate(hashes), np.diff(upto, prepend=0)
+
+
+def _piece_hashes(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a piece whose last byte is between words."""
     white = between[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if not white[0]:
@@ -53,10 +74,7 @@ def word_hashes(texts: list[str], between: np.ndarray = _WHITE) -> tuple[np.ndar
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * _power(_BASE, len(data)), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts])
-    limits = np.cumsum([len(r) + 1 for r in raw])
-    upto = np.searchsorted(starts, limits)
-    return hashes, np.diff(upto, prepend=0)
+    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]), starts
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:

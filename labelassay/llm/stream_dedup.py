@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, done_with, located, remove_path, saved, scan_of, scratch_path, settings
+from .common import at_all_salts, bloom_bits, bloom_has, done_with, hot_keys, located, remove_path, salted, saved, scan_of, scratch_path, settings
 
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -19,7 +19,6 @@ STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
-HOT_GROUPS = 4096  # groups with a larger share of all rows than 1 / this are dealt over salts
 
 
 def _stream_state(arrivals: DataFrame, folder: str) -> DataFrame:
@@ -51,24 +50,6 @@ def _hit_rows(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def _hot(state: DataFrame, total: int, rows_per_salt: int) -> DataFrame:
-    """Digests with more than ``rows_per_salt`` rows and more than their share of all rows: ``HOT_GROUPS`` at most."""
-    most = max(rows_per_salt, -(-total // HOT_GROUPS))
-    return state.where(F.col("group_size") > most).select("digest", F.ceil(F.col("group_size") / most).cast("int").alias("salts"))
-
-
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """``rows`` (with ``digest`` and ``at``) and a ``salt``, which isn't always 0 in hot groups."""
-    salt = F.pmod(F.xxhash64("at"), F.coalesce("salts", F.lit(1))).cast("int")
-    return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("salts")
-
-
-def _at_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """``rows`` (one for each digest) at every salt of their digest."""
-    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-    return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(salts)).drop("salts")
-
-
 def _odd_rows(rows: DataFrame, state: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows whose full bytes differ from those at their digest's locator (none, but for a collision).
 
@@ -78,9 +59,9 @@ def _odd_rows(rows: DataFrame, state: DataFrame, hot: DataFrame) -> DataFrame:
     hits = state.where("group_size > 1").select("digest", F.col("keep.at").alias("kept_at"))
     bits = rows.sparkSession.sparkContext.broadcast(bloom_bits(hits.select(F.xxhash64("digest").alias("id")), hits.count()))
     hashed = rows.select("digest", "doc_id", "at", "text", F.xxhash64(F.xxhash64("digest")).alias("hash"))
-    copies = _dealt(hashed.mapInArrow(_hit_rows(bits), hashed.schema).drop("hash"), hot)
-    copies = saved(copies.join(_at_salts(hits, hot), ["digest", "salt"]), "dedup-copies")
-    known = _at_salts(copies.where(F.col("at") == F.col("kept_at")).select("digest", F.col("text").alias("known")), hot)
+    copies = salted(hashed.mapInArrow(_hit_rows(bits), hashed.schema).drop("hash"), hot, "digest", "at")
+    copies = saved(copies.join(at_all_salts(hits, hot, "digest"), ["digest", "salt"]), "dedup-copies")
+    known = at_all_salts(copies.where(F.col("at") == F.col("kept_at")).select("digest", F.col("text").alias("known")), hot, "digest")
     others = copies.where(F.col("at") != F.col("kept_at")).select("digest", "salt", "at", "doc_id", "text")
     odd = saved(others.join(known, ["digest", "salt"]).where(F.col("text") != F.col("known")).select("digest", "at", "doc_id", "text"), "dedup-odd")
     done_with(copies)
@@ -116,10 +97,10 @@ def stream_dedup(docs: DataFrame, batches: int = 2, rows_per_salt: int = 500, di
     state = saved(_stream_state(stream, folder), "dedup-state")
     remove_path(spark, f"{folder}/progress")
     remove_path(spark, f"{folder}/changes")
-    hot = saved(_hot(state, arrived.count(), rows_per_salt), "dedup-hot")
+    hot = saved(hot_keys(state.select("digest", F.col("group_size").alias("n")), arrived.count(), rows_per_salt), "dedup-hot")
     odd = _odd_rows(rows, state, hot)
 
-    out = _dealt(arrived, hot).join(_at_salts(state, hot), ["digest", "salt"]).select("at", "doc_id", "keep", "group_size", "sha", "digest")
+    out = salted(arrived, hot, "digest", "at").join(at_all_salts(state, hot, "digest"), ["digest", "salt"]).select("at", "doc_id", "keep", "group_size", "sha", "digest")
     if not odd.isEmpty():
         own = odd.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "at")).alias("own_keep"), F.count("*").alias("own_size"))
         own = odd.join(own, ["digest", "text"]).select("at", "own_keep", "own_size")
