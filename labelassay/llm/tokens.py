@@ -65,8 +65,9 @@ class PieceTokenizer:
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The library encodes them as one text; a token that starts with a space opens a piece."""
-        if not any(" " in p or p[-1:].isspace() or p[:1].isspace() for p in pieces):
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        joined = " ".join(pieces)
+        if not _odd_space(joined) or not any(" " in p or p[-1:].isspace() or p[:1].isspace() for p in pieces):
+            ids = np.array(self.library.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, np.uint32)
             starts = np.flatnonzero(self.opens[ids]) * 4
             if len(starts) == len(pieces):
                 raw = ids.tobytes()
