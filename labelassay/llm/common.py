@@ -83,7 +83,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with settings(spark, ARROW_LIMITS):
+    with settings(spark, ARROW_LIMITS | {"spark.sql.parquet.compression.codec": "zstd"}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

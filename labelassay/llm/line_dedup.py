@@ -13,12 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_bits, bloom_has, by_size, located, saved, texts
+from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, hot_keys, located, salted, saved, texts
 from .components import components
 from .shingles import word_hashes
 
 _NOT_WORD = re.compile(r"[\W_]+")
-DISTANCE = 3
+DISTANCE = 4  # bits; the blocks find every pair within this
+REACH = 10  # bits; pairs that meet under a key are compared up to this
 SIMILARITY = 0.75
 FEW = 32  # lines under a key that are paired at once
 
@@ -60,7 +61,7 @@ def _ids(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) for n in lines], np.uint64).view(np.int64)
 
 
-_LINE = "doc_id long, file long, row long, number int, line long, simhash long"
+_LINE = "doc_id long, file long, row long, number int, line long, simhash long, words string"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,44 +73,28 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of = np.repeat(np.arange(len(found)), [len(own) for own in found])
                 rows = [some.column(c).take(pa.array(of)) for c in ("doc_id", "file", "row")]
                 numbers = pa.array([k for own in found for k, _ in own], pa.int32())
-                yield pa.RecordBatch.from_arrays([*rows, numbers, pa.array(_ids(lines)), pa.array(simhashes(lines).view(np.int64))], names=["doc_id", "file", "row", "number", "line", "simhash"])
+                yield pa.RecordBatch.from_arrays([*rows, numbers, pa.array(_ids(lines)), pa.array(simhashes(lines).view(np.int64)), pa.array(lines, pa.string())], names=["doc_id", "file", "row", "number", "line", "simhash", "words"])
 
 
-def _wanted(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        for batch in batches:
-            for some in by_size(batch, "text"):
-                lines = list({n for text in texts(some) for _, n in _lines(text)})
-                if lines:
-                    ids = _ids(lines)
-                    keep = np.flatnonzero(bloom_has(table, _spark_hash(ids)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([lines[i] for i in keep], pa.string())], names=["line", "words"])
-
-    return run
+def _maybe_in(bits) -> Callable[[Column], Column]:
+    """A filter that lets a hash pass if it may be among those of Bloom ``bits``."""
 
+    @F.pandas_udf("boolean")
+    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(bloom_has(bits.value, hashes.to_numpy(np.int64)))
 
-def _spark_hash(ids: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 (seed 42) of longs."""
-    with np.errstate(over="ignore"):
-        p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-        turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-        h = np.uint64(42 + 8) + p5
-        h = h ^ (turn(ids.view(np.uint64) * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return (h ^ (h >> np.uint64(32))).view(np.int64)
+    return has
 
 
 def block_count(lines: int, distance: int = DISTANCE, bits: int = 64) -> int:
     """The least number of blocks that leaves few lines to a key.
 
     With ``distance + g`` blocks, two hashes at most ``distance`` bits apart agree
-    in ``g`` whole blocks at least; a key is ``g`` blocks. The pairs found are
-    the same for every number of blocks.
+    in ``g`` whole blocks at least; a key is ``g`` blocks, 2 or more. Pairs
+    within ``distance`` are found with every number of blocks.
     """
-    blocks = distance + 1
+    blocks = distance + 2
     while lines > 1 << (bits * (blocks - distance) // blocks + 1) and blocks < 2 * distance + 3:
         blocks += 1
     return blocks
@@ -125,66 +110,30 @@ def _keys(simhash: Column, blocks: int, distance: int, bits: int = 64) -> Column
     return F.array(*keys)
 
 
-def _near(distance: int) -> Column:
-    return F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance; a column of the table is two bit vectors."""
-    at, end = 0, min(len(a), len(b))
-    while at < end and a[at] == b[at]:
-        at += 1
-    a, b, tail = a[at:], b[at:], 0
-    end = min(len(a), len(b))
-    while tail < end and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return len(a) + len(b)
-    where: dict[str, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full, last, count = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = full, 0  # rows where the table grows, or falls, by one
-    for x in b:
-        hit = where.get(x, 0)
-        level = (((hit & up) + up) ^ up) | hit
-        grow, fall = (down | ~(level | up)) & full, up & level
-        count += (grow & last != 0) - (fall & last != 0)
-        grow, fall = grow << 1 | 1, fall << 1
-        up, down = (fall | ~(hit | down | grow)) & full, grow & (hit | down) & full
-    return count
-
-
-def similar(a: str, b: str, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
-
-
-def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def _near(reach: int) -> Column:
+    return F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= reach
+
+
+def _similar(pairs: DataFrame, occurrences: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) with ``linked``: 1 - edit distance / longer length reaches ``similarity``."""
-    spark = rows.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bits = spark.sparkContext.broadcast(bloom_bits(ids, ids.count()))
-    lines = rows.select("text").mapInArrow(_wanted(bits), "line long, words string").groupBy("line").agg(F.min("words").alias("words"))
+    wanted = _maybe_in(pairs.sparkSession.sparkContext.broadcast(bloom_bits(ids, ids.count())))
+    lines = occurrences.select("line", "words").where(wanted(F.xxhash64("line"))).groupBy("line").agg(F.first("words").alias("words"))
     lines = saved(lines.join(ids.withColumnRenamed("id", "line"), "line", "left_semi"), "candidate-lines")
-    both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("wa")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("wb")), "b")
-
-    @F.pandas_udf("boolean")
-    def linked(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in pairs:
-            yield pd.Series([similar(x, y, similarity) for x, y in zip(left, right)], dtype=bool)
-
-    return saved(both.select("a", "b", linked("wa", "wb").alias("linked")), "checked-lines")
+    both = pairs.join(lines.toDF("a", "wa"), "a").join(lines.toDF("b", "wb"), "b")
+    longer, shorter = F.greatest(F.length("wa"), F.length("wb")), F.least(F.length("wa"), F.length("wb"))
+    both = both.withColumn("most", F.floor(F.lit(1 - similarity) * longer).cast("int")).withColumn("gap", longer - shorter)
+    # With a limit the distance is worked out in a band; beyond it it's -1.
+    linked = F.when(F.col("gap") > F.col("most"), False).otherwise(F.expr("levenshtein(wa, wb, most) >= 0"))
+    out = saved(both.select("a", "b", linked.alias("linked")), "checked-lines")
+    done_with(lines)
+    return out
 
 
-def line_groups(rows: DataFrame, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """All lines and the group of each line that has a near copy (node, component)."""
-    occurrences = saved(rows.mapInArrow(_hashed, _LINE), "lines")
-    distinct = saved(occurrences.groupBy("line").agg(F.first("simhash").alias("simhash")), "distinct-lines")
-    blocks = block_count(distinct.count(), distance)
-    keyed = distinct.select("line", "simhash", F.explode(_keys(F.col("simhash"), blocks, distance)).alias("key"))
+def line_groups(occurrences: DataFrame, per_line: DataFrame, distance: int, reach: int, similarity: float) -> DataFrame:
+    """The group of each line that has a near copy (node, component)."""
+    blocks = block_count(per_line.count(), distance)
+    keyed = per_line.select("line", "simhash", F.explode(_keys(F.col("simhash"), blocks, distance)).alias("key"))
     head = "min(struct(line, simhash)) OVER (PARTITION BY key)"
     shared = saved(keyed.selectExpr("key", "line", "simhash", f"{head} AS head", "count(*) OVER (PARTITION BY key) AS k").where("k > 1"), "shared-keys")
     side = lambda rows, c, x, h: rows.select("key", *([F.col("component").alias(c)] if c else []), F.col("line").alias(x), F.col("simhash").alias(h))
@@ -192,36 +141,52 @@ def line_groups(rows: DataFrame, distance: int, similarity: float) -> tuple[Data
 
     # Under a key with few lines all pairs are looked at; under others first a star, then what is left.
     few = shared.where(F.col("k") <= FEW)
-    pairs = ordered(side(few, "", "x", "ha").join(side(few, "", "y", "hb"), "key").where((F.col("x") < F.col("y")) & _near(distance)))
+    pairs = ordered(side(few, "", "x", "ha").join(side(few, "", "y", "hb"), "key").where((F.col("x") < F.col("y")) & _near(reach)))
     many = shared.where(F.col("k") > FEW)
     star = many.select(F.col("head.line").alias("x"), F.col("head.simhash").alias("ha"), F.col("line").alias("y"), F.col("simhash").alias("hb"))
-    star = ordered(star.where((F.col("x") < F.col("y")) & _near(distance)))
-    tried = _similar(saved(pairs.union(star).distinct(), "line-pairs"), rows, similarity)
+    star = ordered(star.where((F.col("x") < F.col("y")) & _near(reach)))
+    pairs = saved(pairs.union(star).distinct(), "line-pairs")
+    many = saved(many.drop("head"), "crowded-keys")
+    done_with(shared)
+    tried = _similar(pairs, occurrences, similarity)
     found = saved(components(tried.where("linked").select("a", "b")), "line-components")
-    placed = saved(many.drop("head").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
+    placed = saved(many.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
     parts = placed.select("key", "component").distinct()
     several = parts.groupBy("key").count().where("count > 1").select("key")
     parts = saved(parts.join(several, "key"), "mixed-keys")
     across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").where("ca < cb")
-    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb"), ["key", "cb"]).where(_near(distance)))
+    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb"), ["key", "cb"]).where(_near(reach)))
     rest = saved(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-lines")
+    done_with(many, placed, parts)
     if not rest.isEmpty():
-        tried = tried.unionByName(_similar(rest, rows, similarity))
+        tried = tried.unionByName(_similar(rest, occurrences, similarity))
         found = saved(components(tried.where("linked").select("a", "b")), "line-components")
-    return occurrences, found
+    return found
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def _kept_places(per_line: DataFrame, groups: DataFrame) -> DataFrame:
+    """line and first: of each line that occurs, or whose group occurs, more than once, the place that stays."""
+    lines = per_line.select("line", "k", "first").join(groups.withColumnRenamed("node", "line"), "line", "left")
+    lines = lines.withColumn("component", F.coalesce("component", "line"))
+    kept = saved(lines.groupBy("component").agg(F.min("first").alias("kept"), F.sum("k").alias("all"), F.count("*").alias("n")).where("all > 1"), "line-kept")
+    hot = hot_keys(kept.select("component", "n"), per_line.count())
+    out = salted(lines, hot, "component", "line").join(at_all_salts(kept.select("component", "kept"), hot, "component"), ["component", "salt"])
+    return saved(out.select("line", "k", F.col("kept").alias("first")), "line-places")
+
+
+def line_dedup(docs: DataFrame, distance: int = DISTANCE, reach: int = REACH, similarity: float = SIMILARITY) -> DataFrame:
     """Keep one occurrence of every group of equal or nearly equal lines.
 
     Reads ``doc_id`` and ``text``; other columns are left out. Lines end at a
-    line feed. Normalised, two lines link when their SimHashes are at most
-    ``distance`` bits apart and their edit similarity (1 - edit distance /
-    longer length, in characters) is ``similarity`` or more; groups are
-    connected by links. Of a group the first occurrence stays: least doc_id
-    (null last), then the row's place, then the line's number. Lines without a
-    letter or digit always stay. Null texts count as empty. Rows that share a
-    doc_id are rows of their own; an empty table gives no rows.
+    line feed. Normalised, two lines are compared when their SimHashes agree in
+    the blocks of a key and differ in at most ``reach`` bits; that holds for
+    all pairs within ``distance`` bits, and for many beyond. They link when
+    their edit similarity (1 - edit distance / longer length, in characters)
+    is ``similarity`` or more; groups are connected by links. Of a group the
+    first occurrence stays: least doc_id (null last), then the row's place,
+    then the line's number. Lines without a letter or digit always stay. Null
+    texts count as empty. Rows that share a doc_id are rows of their own; an
+    empty table gives no rows.
 
     Returns a row for each row of ``docs``: doc_id, n_lines, n_dropped, dropped
     (numbers of the lines dropped, from 0) and text (the lines kept).
@@ -233,14 +198,24 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         F.xxhash64("at.file").alias("file"),
         F.col("at.row").alias("row"),
     )
-    lines, groups = line_groups(rows, distance, similarity)
+    occurrences = saved(rows.mapInArrow(_hashed, _LINE), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "file", "row", "number")
-    lines = saved(lines.join(groups.withColumnRenamed("node", "line"), "line", "left").select(F.coalesce("component", "line").alias("group"), place.alias("place")), "grouped-lines")
-    first = lines.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = lines.join(first, "group").where("place != first")
-    dropped = later.groupBy("place.file", "place.row").agg(F.array_sort(F.collect_list("place.number")).alias("dropped"))
+    per_line = saved(occurrences.groupBy("line").agg(F.first("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("k")), "distinct-lines")
+    places = _kept_places(per_line, line_groups(occurrences, per_line, distance, reach, similarity))
+
+    hot = hot_keys(places.select("line", F.col("k").alias("n")), occurrences.count())
+    numbered = salted(occurrences.select("line", place.alias("place")), hot, "line", "place")
+    later = numbered.join(at_all_salts(places.select("line", "first"), hot, "line"), ["line", "salt"]).where("place != first")
+    dropped = saved(later.groupBy("place.file", "place.row").agg(F.array_sort(F.collect_list("place.number")).alias("dropped")), "dropped-lines")
+    done_with(occurrences, per_line, places)
+
+    # Rows that surely lose no line needn't be shuffled.
+    ids = dropped.select(F.xxhash64("file", "row").alias("id"))
+    maybe = _maybe_in(rows.sparkSession.sparkContext.broadcast(bloom_bits(ids, ids.count())))
+    marked = rows.withColumn("maybe", maybe(F.xxhash64(F.xxhash64("file", "row"))))
+    whole = marked.where("NOT maybe").withColumn("dropped", F.array().cast("array<int>"))
+    cut = marked.where("maybe").join(dropped, ["file", "row"], "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    out = whole.unionByName(cut)
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
-    out = rows.withColumn("n_lines", n_lines.cast("long")).join(saved(dropped, "dropped-lines"), ["file", "row"], "left")
-    out = out.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("dropped", i))
-    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.array_join(kept, "\n").alias("text"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("dropped", i)), "\n")
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.when(F.size("dropped") == 0, F.col("text")).otherwise(kept).alias("text"))

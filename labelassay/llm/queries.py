@@ -36,7 +36,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents")).drop("text")
+    return line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

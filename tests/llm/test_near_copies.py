@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from labelassay.llm.line_dedup import _lines, _spark_hash, edit_distance, block_count, line_dedup, normalise, simhashes
+from labelassay.llm.line_dedup import DISTANCE, REACH, _lines, block_count, line_dedup, normalise, simhashes
 from labelassay.llm.ngram_join import SKETCH, needed, ngram_join, prefix
 from labelassay.llm.shingles import shingle_sets
 
@@ -108,10 +108,17 @@ def distance(a, b):
     return row[-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abcé", max_size=12), st.text(alphabet="abcé", max_size=12))
-def test_edit_distance(a, b):
-    assert edit_distance(a, b) == distance(a, b)
+def meet(x, y, blocks):
+    """Whether two SimHashes agree in a key's blocks and are within reach."""
+    limits = [64 * i // blocks for i in range(blocks + 1)]
+    diff = int(x ^ y)
+    same = sum(not diff >> lo & ((1 << (hi - lo)) - 1) for lo, hi in zip(limits, limits[1:]))
+    return same >= blocks - DISTANCE and diff.bit_count() <= REACH
+
+
+def alike(a, b):
+    most = int(0.25 * max(len(a), len(b)))
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
 
 
 @pytest.mark.parametrize("few", [32, 1])
@@ -137,7 +144,7 @@ def test_line_dedup(spark, word, few, monkeypatch):
     places = [(i, n, k, s) for n, (i, t) in enumerate(rows) for k, s in _lines(t or "")]
     forms = sorted({s for *_, s in places})
     hashes = simhashes(forms)
-    links = [(a, b) for a, b in combinations(range(len(forms)), 2) if int(hashes[a] ^ hashes[b]).bit_count() <= 3 and distance(forms[a], forms[b]) <= int(0.25 * max(len(forms[a]), len(forms[b])))]
+    links = [(a, b) for a, b in combinations(range(len(forms)), 2) if meet(hashes[a], hashes[b], block_count(len(forms))) and alike(forms[a], forms[b])]
     assert links
     component = joined(range(len(forms)), links)
     at = {s: component[i] for i, s in enumerate(forms)}
@@ -162,14 +169,35 @@ def test_line_dedup_of_no_rows(empty, with_null_id):
     assert line_dedup(with_null_id).count() == with_null_id.count()
 
 
-def test_normalise_and_blocks(spark):
+def test_line_dedup_of_a_very_long_line(spark, word):
+    long = " ".join(word() for _ in range(6000))
+    rows = [(1, long + "\nshort one"), (2, long[:-9] + "x\nother text"), (3, long)]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}
+
+
+def test_share_of_alike_lines_found(spark, word):
+    """Against all pairs by edit similarity alone: one word in 20 to 60 replaced."""
+    import random
+
+    dice = random.Random(8)
+    rows, pairs = [], 120
+    for i in range(pairs):
+        own = [word(dice) for _ in range(dice.randint(20, 60))]
+        rows.append((2 * i, " ".join(own)))
+        own[dice.randrange(len(own))] = word(dice)
+        rows.append((2 * i + 1, " ".join(own)))
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    found = sum(r["n_dropped"] for r in got if r["doc_id"] % 2)
+    print("found", found, "of", pairs)
+    assert found >= 0.7 * pairs
+    assert not any(r["n_dropped"] for r in got if r["doc_id"] % 2 == 0)
+
+
+def test_normalise_and_blocks():
     assert normalise("  The--QUICK, fox_1! ") == "the quick fox 1"
     assert normalise("--- !") == ""
-    assert block_count(1000) == 4 and block_count(2_000_000) == 5
-    ids = np.array([0, 7, -3, 2**62], np.int64)
-    from pyspark.sql import functions as F
-
-    assert spark.createDataFrame([(int(i),) for i in ids], "id long").select(F.xxhash64("id").alias("h")).toPandas()["h"].tolist() == _spark_hash(ids).tolist()
+    assert block_count(1000) == 6 and block_count(2_000_000) == 6 and block_count(20_000_000) == 7
 
 
 @pytest.mark.parametrize("blocks", [4, 5, 6])
