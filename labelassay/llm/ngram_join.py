@@ -209,12 +209,13 @@ def _members_and_parts(mixed: DataFrame, percent: int) -> DataFrame:
     A row's place in its prefix bounds its partners' size (``reach``): a larger
     one needs more overlap than is left behind that place. So a row goes with a
     component only if the least size there is within its reach, and its own
-    size within the greatest reach there.
+    size within the greatest reach there. Of two components the one with fewer
+    rows at the entry gives the rows.
     """
     rows = mixed.withColumn("reach", _reach(percent))
-    parts = rows.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("reach").alias("reach"))
-    one, two = (parts.toDF("token", f"c{x}", f"least{x}", f"reach{x}") for x in "ab")
-    across = one.join(two, "token").where("ca < cb AND leasta <= reachb AND leastb <= reacha").drop("leasta", "reacha")
+    parts = rows.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("reach").alias("reach"), F.count("*").alias("k"))
+    one, two = (parts.toDF("token", f"c{x}", f"least{x}", f"reach{x}", f"k{x}") for x in "ab")
+    across = one.join(two, "token").where("(ka < kb OR ka = kb AND ca < cb) AND leasta <= reachb AND leastb <= reacha").select("token", "ca", "cb", "leastb", "reachb")
     left = rows.select("token", F.col("component").alias("ca"), *_of("x"), F.col("reach").alias("reachx"))
     return across.join(left, ["token", "ca"]).where("nx <= reachb AND leastb <= reachx").drop("leastb", "reachb")
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, texts
+from .common import by_size, located, parts_for, texts
+from .shingles import mix
 from .tokens import TEXT_BYTES, tokenizer
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, pack_group long"
@@ -43,19 +44,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def _cutter(vocabulary: str, end: int, capacity: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         library, tail = tokenizer(vocabulary), np.array([end], "<u4").tobytes()
-        # A generator of this task's own: the same groups if the task runs again.
-        dice = np.random.default_rng([11, TaskContext.get().partitionId()])
         for batch in batches:
             for some in by_size(batch, "text", TEXT_BYTES):
-                rows = []
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(texts(some))):
+                rows, seeds = [], []
+                for doc_id, seed, raw in zip(*(some.column(c).to_pylist() for c in ("doc_id", "seed")), library.encode(texts(some))):
                     raw += tail
                     n = len(raw) // 4
                     rows += [(doc_id, s, min(capacity, n - s), n, raw[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
-                columns = [*zip(*rows), dice.integers(0, groups, len(rows))]
+                    seeds += [seed] * -(-n // capacity)
+                columns = [*zip(*rows)]
+                # A hash of the row's place and the piece's: the same in whatever order a task meets its rows.
+                dice = mix(np.array(seeds, np.int64).view(np.uint64) ^ mix(np.array(columns[1], np.uint64)))
+                columns.append((dice % np.uint64(groups)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "start", "length", "doc_tokens", "ids", "pack_group"])
 
     return cut
@@ -71,26 +72,29 @@ def _placer(capacity: int, stride: int) -> Callable[[pa.Table], pa.Table]:
     return place
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 2048, group_docs: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 2048, group_docs: int = 2048) -> DataFrame:
     """Pack whole documents into sequences of at most ``capacity`` ids.
 
     Reads ``doc_id`` and ``text``; other columns are left out. A document is the
     ids of its text (null: empty) and the end id; it is cut after every
-    ``capacity`` ids, so only its last piece is short. The pieces are dealt at
-    random into groups of about ``group_docs`` documents, and each group is
+    ``capacity`` ids, so only its last piece is short. The pieces are dealt
+    by a hash of
+    their row's place into groups of about ``group_docs`` documents, and each group is
     packed alone by first-fit decreasing. Rows that repeat or share a doc_id
     are packed each; a null doc_id stays null; an empty table gives no rows.
     Returns a row for each piece: doc_id, start, length, doc_tokens, ids
     (little-endian unsigned 32-bit), sequence_id, offset.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = located(docs.select("doc_id", "text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("at.file", "at.row").alias("seed"))
     groups = max(1, -(-rows.count() // group_docs))
     pieces = rows.mapInArrow(_cutter(vocabulary, end, capacity, groups), PIECES)
     stride = 1 << 32  # more than a group has pieces
+    pieces = pieces.repartition(parts_for(docs, 8 << 20), "pack_group")
     return pieces.groupBy("pack_group").applyInArrow(_placer(capacity, stride), PACKED)
 
 
-def pack_digest(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 2048, group_docs: int = 4096) -> DataFrame:
+def pack_digest(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 2048, group_docs: int = 2048) -> DataFrame:
     """``pack`` with the ids of each piece as their crc32."""
     packed = pack(docs, vocabulary, end, capacity, group_docs)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
