@@ -27,64 +27,87 @@ WARNING = (
     "operate machinery, and may cause health problems."
 )
 
-# Class and type designations by broad category.
+# Class and type designations; of equally long ones the earlier wins.
+CLASS_TYPES = (
+    "bourbon", "scotch", "whiskey", "whisky", "rye", "vodka", "gin", "rum", "tequila", "mezcal", "brandy", "cognac",
+    "liqueur", "cordial", "wine", "champagne", "sparkling wine", "cider", "beer", "ale", "lager", "stout", "porter",
+    "malt beverage", "vermouth", "sake", "red wine", "white wine", "rosé wine", "rose wine", "blush wine",
+    "dessert wine", "fortified wine", "table wine", "kentucky straight bourbon", "straight bourbon", "straight rye",
+    "tennessee whiskey", "single malt scotch", "blended whiskey", "irish whiskey", "canadian whisky",
+    "london dry gin", "silver tequila", "blanco tequila", "reposado tequila", "reposado", "añejo tequila",
+    "anejo tequila", "añejo", "anejo", "spiced rum", "white rum", "dark rum", "armagnac", "cabernet sauvignon",
+    "cabernet franc", "sauvignon blanc", "pinot grigio", "pinot gris", "pinot noir", "chenin blanc", "chardonnay",
+    "merlot", "riesling", "zinfandel", "malbec", "syrah", "shiraz", "moscato", "viognier", "grenache", "tempranillo",
+    "sangiovese", "nebbiolo",
+)
+
+# The same by broad category, and the names of the categories; again the earlier of equally long ones wins.
 SPIRITS = (
-    "bourbon, scotch, whiskey, whisky, rye, vodka, gin, rum, tequila, mezcal, brandy, cognac, liqueur, cordial, "
-    "kentucky straight bourbon, straight bourbon, straight rye, tennessee whiskey, single malt scotch, "
-    "blended whiskey, irish whiskey, canadian whisky, london dry gin, silver tequila, blanco tequila, "
-    "reposado tequila, reposado, añejo tequila, anejo tequila, añejo, anejo, spiced rum, white rum, dark rum, armagnac"
-).split(", ")
+    "bourbon", "scotch", "whiskey", "whisky", "rye", "vodka", "gin", "rum", "tequila", "mezcal", "brandy", "cognac",
+    "liqueur", "cordial", "armagnac", "kentucky straight bourbon", "straight bourbon", "straight rye",
+    "tennessee whiskey", "single malt scotch", "blended whiskey", "irish whiskey", "canadian whisky",
+    "london dry gin", "silver tequila", "blanco tequila", "reposado tequila", "reposado", "añejo tequila",
+    "anejo tequila", "añejo", "anejo", "spiced rum", "white rum", "dark rum", "distilled spirits",
+)
 WINES = (
-    "wine, champagne, sparkling wine, cider, vermouth, sake, red wine, white wine, rosé wine, rose wine, blush wine, "
-    "dessert wine, fortified wine, table wine, cabernet sauvignon, cabernet franc, sauvignon blanc, pinot grigio, "
-    "pinot gris, pinot noir, chenin blanc, chardonnay, merlot, riesling, zinfandel, malbec, syrah, shiraz, moscato, "
-    "viognier, grenache, tempranillo, sangiovese, nebbiolo"
-).split(", ")
-MALTS = "beer, ale, lager, stout, porter, malt beverage".split(", ")
-CATEGORY = {**{k: "distilled spirits" for k in [*SPIRITS, "distilled spirits"]}, **{k: "wine" for k in WINES}, **{k: "malt beverage" for k in MALTS}}
-CLASS_KEYWORDS = sorted([*SPIRITS, *WINES, *MALTS], key=lambda k: (-len(k), k))
-CATEGORY_KEYWORDS = sorted(CATEGORY, key=lambda k: (-len(k), k))
+    "wine", "champagne", "sparkling wine", "cider", "vermouth", "sake", "red wine", "white wine", "rosé wine",
+    "rose wine", "blush wine", "dessert wine", "fortified wine", "table wine", "cabernet sauvignon", "cabernet franc",
+    "sauvignon blanc", "pinot grigio", "pinot gris", "pinot noir", "chenin blanc", "chardonnay", "merlot", "riesling",
+    "zinfandel", "malbec", "syrah", "shiraz", "moscato", "viognier", "grenache", "tempranillo", "sangiovese",
+    "nebbiolo",
+)
+MALTS = (
+    "beer", "ale", "lager", "stout", "porter", "malt beverage",
+)
+CATEGORY = {k: c for own, c in ((SPIRITS, "distilled spirits"), (WINES, "wine"), (MALTS, "malt beverage")) for k in own}
+CLASS_KEYWORDS = sorted(CLASS_TYPES, key=lambda k: -len(k))
+CATEGORY_KEYWORDS = sorted(CATEGORY, key=lambda k: -len(k))
 
 # Base words that may follow a more specific designation.
-CLASS_SUFFIXES = "whiskey whisky wine rum gin vodka tequila brandy liqueur cordial beer ale lager cider mezcal".split()
+CLASS_SUFFIXES = (
+    "whiskey", "whisky", "wine", "rum", "gin", "vodka", "tequila", "brandy", "liqueur", "cordial", "beer", "ale",
+    "lager", "cider", "mezcal",
+)
 
 # Phrases that open the producer's name and address.
 PRODUCER_ANCHORS = (
-    "PRODUCED BY, PRODUCED AND BOTTLED BY, DISTILLED BY, DISTILLED AND BOTTLED BY, BOTTLED BY, "
-    "BOTTLED AND CANNED BY, CANNED BY, PACKED BY, IMPORTED BY, VINTED BY, BREWED BY"
-).split(", ")
-PRODUCER_VERBS = "PRODUCED BOTTLED DISTILLED IMPORTED VINTED BREWED CANNED PACKED".split()
+    "PRODUCED BY", "PRODUCED AND BOTTLED BY", "DISTILLED BY", "DISTILLED AND BOTTLED BY", "BOTTLED BY",
+    "BOTTLED AND CANNED BY", "CANNED BY", "PACKED BY", "IMPORTED BY", "VINTED BY", "BREWED BY",
+)
+PRODUCER_VERBS = (
+    "PRODUCED", "BOTTLED", "DISTILLED", "IMPORTED", "VINTED", "BREWED", "CANNED", "PACKED",
+)
 
 # Words of addresses that don't tell producers apart.
 NOISE_WORDS = (
-    "street st avenue ave road rd lane ln drive dr boulevard blvd suite ste unit floor fl way highway hwy "
-    "llc inc co company corp ltd"
-).split()
+    "street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "dr", "boulevard", "blvd", "suite", "ste",
+    "unit", "floor", "fl", "way", "highway", "hwy", "llc", "inc", "co", "company", "corp", "ltd",
+)
 
 # States of the USA and their postal abbreviations.
-STATES = dict(
-    pair.split("=")
-    for pair in (
-        "ALABAMA=AL, ALASKA=AK, ARIZONA=AZ, ARKANSAS=AR, CALIFORNIA=CA, COLORADO=CO, CONNECTICUT=CT, DELAWARE=DE, "
-        "FLORIDA=FL, GEORGIA=GA, HAWAII=HI, IDAHO=ID, ILLINOIS=IL, INDIANA=IN, IOWA=IA, KANSAS=KS, KENTUCKY=KY, "
-        "LOUISIANA=LA, MAINE=ME, MARYLAND=MD, MASSACHUSETTS=MA, MICHIGAN=MI, MINNESOTA=MN, MISSISSIPPI=MS, "
-        "MISSOURI=MO, MONTANA=MT, NEBRASKA=NE, NEVADA=NV, NEW HAMPSHIRE=NH, NEW JERSEY=NJ, NEW MEXICO=NM, "
-        "NEW YORK=NY, NORTH CAROLINA=NC, NORTH DAKOTA=ND, OHIO=OH, OKLAHOMA=OK, OREGON=OR, PENNSYLVANIA=PA, "
-        "RHODE ISLAND=RI, SOUTH CAROLINA=SC, SOUTH DAKOTA=SD, TENNESSEE=TN, TEXAS=TX, UTAH=UT, VERMONT=VT, "
-        "VIRGINIA=VA, WASHINGTON=WA, WEST VIRGINIA=WV, WISCONSIN=WI, WYOMING=WY, DISTRICT OF COLUMBIA=DC"
-    ).split(", ")
-)
+STATES = {
+    "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO",
+    "CONNECTICUT": "CT", "DELAWARE": "DE", "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID",
+    "ILLINOIS": "IL", "INDIANA": "IN", "IOWA": "IA", "KANSAS": "KS", "KENTUCKY": "KY", "LOUISIANA": "LA",
+    "MAINE": "ME", "MARYLAND": "MD", "MASSACHUSETTS": "MA", "MICHIGAN": "MI", "MINNESOTA": "MN", "MISSISSIPPI": "MS",
+    "MISSOURI": "MO", "MONTANA": "MT", "NEBRASKA": "NE", "NEVADA": "NV", "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ",
+    "NEW MEXICO": "NM", "NEW YORK": "NY", "NORTH CAROLINA": "NC", "NORTH DAKOTA": "ND", "OHIO": "OH",
+    "OKLAHOMA": "OK", "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI", "SOUTH CAROLINA": "SC",
+    "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA",
+    "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY", "DISTRICT OF COLUMBIA": "DC",
+}
 
 # Countries that end an address (Georgia is a state and a country).
 COUNTRIES = (
-    "UNITED STATES OF AMERICA, UNITED STATES, USA, CANADA, MEXICO, FRANCE, ITALY, SPAIN, GERMANY, SCOTLAND, IRELAND, "
-    "ENGLAND, WALES, UNITED KINGDOM, AUSTRALIA, CHILE, ARGENTINA, NEW ZEALAND, PORTUGAL, GREECE, AUSTRIA, "
-    "SOUTH AFRICA, JAPAN, BRAZIL, PERU, URUGUAY, CHINA, INDIA, POLAND, HUNGARY, CROATIA, SLOVENIA, ROMANIA, BULGARIA, "
-    "GEORGIA, ISRAEL, LEBANON, MOROCCO, TUNISIA, NETHERLANDS, BELGIUM, SWITZERLAND, SWEDEN, NORWAY, DENMARK, FINLAND, "
-    "RUSSIA, UKRAINE, TURKEY, SOUTH KOREA, TAIWAN, THAILAND, VIETNAM, PHILIPPINES, JAMAICA, BARBADOS, CUBA, "
-    "DOMINICAN REPUBLIC, GUATEMALA, COLOMBIA, VENEZUELA, ECUADOR, BOLIVIA, PARAGUAY, CZECH REPUBLIC, SLOVAKIA, SERBIA, "
-    "LUXEMBOURG, MALTA, CYPRUS, ICELAND"
-).split(", ")
+    "UNITED STATES OF AMERICA", "UNITED STATES", "USA", "CANADA", "MEXICO", "FRANCE", "ITALY", "SPAIN", "GERMANY",
+    "SCOTLAND", "IRELAND", "ENGLAND", "WALES", "UNITED KINGDOM", "AUSTRALIA", "CHILE", "ARGENTINA", "NEW ZEALAND",
+    "PORTUGAL", "GREECE", "AUSTRIA", "SOUTH AFRICA", "JAPAN", "BRAZIL", "PERU", "URUGUAY", "CHINA", "INDIA", "POLAND",
+    "HUNGARY", "CROATIA", "SLOVENIA", "ROMANIA", "BULGARIA", "GEORGIA", "ISRAEL", "LEBANON", "MOROCCO", "TUNISIA",
+    "NETHERLANDS", "BELGIUM", "SWITZERLAND", "SWEDEN", "NORWAY", "DENMARK", "FINLAND", "RUSSIA", "UKRAINE", "TURKEY",
+    "SOUTH KOREA", "TAIWAN", "THAILAND", "VIETNAM", "PHILIPPINES", "JAMAICA", "BARBADOS", "CUBA",
+    "DOMINICAN REPUBLIC", "GUATEMALA", "COLOMBIA", "VENEZUELA", "ECUADOR", "BOLIVIA", "PARAGUAY", "CZECH REPUBLIC",
+    "SLOVAKIA", "SERBIA", "LUXEMBOURG", "MALTA", "CYPRUS", "ICELAND",
+)
 
 
 def spaced(name: str) -> str:

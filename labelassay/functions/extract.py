@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CLASS_KEYWORDS, CLASS_SUFFIXES
 from .text import found, stripped
 
+# Patterns that decide what is found.
 ABV_AFTER = r"(?iuU)(\d{1,3}(?:\.\d+)?)\s*%\s*ALC(?:OHOL)?\.?\s*(?:BY|/)\s*VOL\.?"
 ABV_BEFORE = r"(?iuU)ALC(?:OHOL)?\.?(?:\s*(?:BY\s*)?/?\s*VOL(?:UME)?\.?)?\s*[:\-]?\s*(\d{1,3}(?:\.\d+)?)\s*%"
 ABV_PROOF = r"(?iuU)(\d{2,3}(?:\.\d+)?)\s*PROOF"
@@ -57,19 +58,28 @@ def strip_trailing_noise(text: Column) -> Column:
     return stripped(F.regexp_replace(text, TRAILING, ""))
 
 
-def keyword_pattern(keyword: str) -> str:
-    return r"\s{1,20}".join(keyword.split())
-
-
 def extract_class_type(text: Column) -> Column:
-    """The longest designation that occurs anywhere, with a base word right after it."""
+    """The longest designation that occurs anywhere, with a base word right after it.
+
+    Up to 20 white-space characters may part the words of a designation.
+    """
+    plain = F.lower(F.translate(F.regexp_replace(text, r"(?U)\s{1,20}", " "), "\u017f", "s"))
+    keyword = F.get(F.filter(F.array(*map(F.lit, CLASS_KEYWORDS)), lambda k: F.contains(plain, k)), F.lit(0))
+    words = F.replace(keyword, F.lit(" "), F.lit(r"\s{1,20}"))
     suffixes = "|".join(CLASS_SUFFIXES)
-    out = F.lit(None).cast("string")
-    for keyword in reversed(CLASS_KEYWORDS):
-        pattern = keyword_pattern(keyword)
-        with_next = found(text, rf"(?iuU)({pattern}(?:\s+(?:{suffixes})(?![A-Za-z]))?)", 1)
-        out = F.when(text.rlike(rf"(?iuU){pattern}"), F.coalesce(F.nullif(strip_trailing_noise(strip_class_label(collapsed(with_next))), F.lit("")), F.lit(keyword.title()))).otherwise(out)
-    return out
+    hit = F.regexp_substr(text, F.concat(F.lit("(?iuU)"), words, F.lit(rf"(?:\s+(?:{suffixes})(?![A-Za-z]))?")))
+    return F.coalesce(F.nullif(strip_trailing_noise(strip_class_label(collapsed(hit))), F.lit("")), F.initcap(keyword))
+
+
+def extract_fields(text: Column) -> dict[str, Column]:
+    """The fields that are read from a label's text alone."""
+    return {
+        "class_type": extract_class_type(text),
+        "alcohol_content": extract_abv(text),
+        "net_contents": extract_net_contents(text),
+        "country_of_origin": extract_country(text),
+        "health_warning_text": extract_warning(text),
+    }
 
 
 def extract_checkbox_class(text: Column) -> Column:

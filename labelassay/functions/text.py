@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORY, CATEGORY_KEYWORDS, COUNTRY_NAMES, NOISE_WORDS, PRODUCER_VERBS, STATE_CODES, STATE_NAMES, STATES
 
+# Patterns that decide what is found.
 VOLUME = r"(?iU)(\d+(?:\.\d+)?)\s*(m\.?l\.?|liters?|litres?|l|fl\.?\s?oz\.?)"
 PERCENT = r"(?U)(\d{1,3}(?:\.\d+)?)\s*%"
 PROOF = r"(?iU)(\d{2,3}(?:\.\d+)?)\s*PROOF"
@@ -92,10 +93,10 @@ def state_of(text: Column) -> Column:
 
 def normalize_states(text: Column) -> Column:
     """Full state names replaced by abbreviations, longer names first."""
-    for name in sorted(STATES, key=lambda n: -len(n)):
-        pattern = r"\s+".join(name.split())
-        text = F.regexp_replace(text, rf"(?iuU)\b{pattern}\b", STATES[name])
-    return text
+    names = "|".join(r"\s+".join(n.split()) for n in sorted(STATES, key=lambda n: -len(n)))
+    pattern = F.lit(rf"(?iuU)\b(?:{names})\b")
+    between, hits = F.split(text, rf"(?iuU)\b(?:{names})\b", -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.array_join(F.zip_with(between, hits, lambda x, hit: F.concat(x, F.coalesce(normalize_state(hit), F.lit("")))), "")
 
 
 def looks_like_address_end(line: Column) -> Column:
@@ -124,9 +125,15 @@ def producer_keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~F.array_contains(noise, w) & ~w.rlike(r"(?U)^\d+$") & (F.length(w) > 1)))
 
 
+EDGE = "\x02"  # stands where a word begins or ends
+
+
+def edged(text: str) -> str:
+    return " ".join(EDGE + word + EDGE for word in text.split(" "))
+
+
 def broad_category(text: Column) -> Column:
     """Broad category of the longest designation that stands in the text as whole words."""
-    plain, out = normalize_text(text), F.lit(None).cast("string")
-    for keyword in reversed(CATEGORY_KEYWORDS):
-        out = F.when(plain.rlike(rf"(?U)\b{keyword}\b"), CATEGORY[keyword]).otherwise(out)
-    return out
+    marked = F.regexp_replace(normalize_text(text), r"(?U)\b", EDGE)
+    known = F.array(*(F.struct(F.lit(edged(k)).alias("word"), F.lit(CATEGORY[k]).alias("category")) for k in CATEGORY_KEYWORDS))
+    return F.get(F.filter(known, lambda k: F.contains(marked, k["word"])), F.lit(0))["category"]

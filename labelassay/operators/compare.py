@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import REFERENCE_FIELDS, Thresholds
-from ..functions.similarity import token_sort_ratio
+from ..config import FIELDS, REFERENCE_FIELDS, Thresholds
+from ..functions.similarity import partial_ratio, token_sort_ratio
 from ..functions.text import abv_percent, broad_category, is_blank, normalize_text, producer_keywords, state_of, volume_ml
 
 MATCH, MISMATCH, NOT_FOUND = "match", "mismatch", "not_found"
@@ -24,6 +24,11 @@ def text_ratio(x: Column, e: Column) -> Column:
     return token_sort_ratio(normalize_text(x), normalize_text(e))
 
 
+def field_ratio(field: str, x: Column, e: Column) -> Column:
+    """The ratio that a field is compared by: for the warning that of the best stretch."""
+    return partial_ratio(normalize_text(x), normalize_text(e)) if field == "health_warning_text" else text_ratio(x, e)
+
+
 def producer_broad_match(x: Column, e: Column) -> Column:
     """Same state, and enough producer words in common."""
     a, b = producer_keywords(x), producer_keywords(e)
@@ -79,16 +84,50 @@ def compare_field(field: str, x: Column, e: Column, ratio: Column, limits: Thres
         return compare_abv(x, e, ratio, limits)
     if field == "net_contents":
         return compare_volume(x, e, ratio, limits)
+    if field == "health_warning_text":
+        return compare_warning(x, e, ratio, limits)
     rescue = producer_broad_match(x, e) if field == "producer_info" else same_category(x, e) if field == "class_type" and broad_class else None
     return compare_text(x, e, ratio, limits.text, rescue)
 
 
 def scored_pairs(pairs: DataFrame, field: str, limits: Thresholds = Thresholds(), broad_class: bool = False) -> DataFrame:
     """Distinct (x, e) with their comparison ``c``; the ratio is worked out once for each pair."""
-    ratio = pairs.select("x", "e").distinct().withColumn("ratio", text_ratio(F.col("x"), F.col("e")))
+    ratio = pairs.select("x", "e").distinct().withColumn("ratio", field_ratio(field, F.col("x"), F.col("e")))
     return ratio.select("x", "e", compare_field(field, F.col("x"), F.col("e"), F.col("ratio"), limits, broad_class).alias("c"))
 
 
+def compare_product(rows: DataFrame, keys: list[str], limits: Thresholds = Thresholds(), broad_class: Column | None = None) -> DataFrame:
+    """A row for each row of ``rows`` and field: keys, field_key, extracted, expected, status, score.
+
+    ``rows`` has the keys, a column for each field and ``expected_<field>``.
+    Where ``broad_class`` holds, broad categories of class and type may agree:
+    for references that come from applications. Comparisons are made once for
+    each distinct pair of values and joined back.
+    """
+    broad = F.coalesce(broad_class, F.lit(False)) if broad_class is not None else F.lit(False)
+    fields = [F.struct(F.lit(f).alias("field_key"), F.col(f).alias("extracted"), F.col(f"expected_{f}").alias("expected")) for f in FIELDS]
+    long = rows.select(*keys, broad.alias("broad"), F.explode(F.array(*fields)).alias("f")).select(*keys, "broad", "f.*")
+    x, e = F.col("x"), F.col("e")
+    pairs = long.select(F.col("field_key").alias("of"), F.col("extracted").alias("x"), F.col("expected").alias("e"), F.col("broad").alias("wide")).distinct()
+    pairs = pairs.withColumn("warning", F.col("of") == "health_warning_text")
+    partial = field_ratio("health_warning_text", F.when(F.col("warning"), x), F.when(F.col("warning"), e))
+    pairs = pairs.withColumn("ratio", F.when(F.col("warning"), partial).otherwise(text_ratio(x, e)))
+    ratio, compared = F.col("ratio"), F.lit(None)
+    for f in FIELDS:
+        one = compare_field(f, x, e, ratio, limits)
+        if f == "class_type":
+            one = F.when(F.col("wide"), compare_field(f, x, e, ratio, limits, broad_class=True)).otherwise(one)
+        compared = F.when(F.col("of") == f, one).otherwise(compared)
+    scored = pairs.select("of", "x", "e", "wide", compared.alias("c"))
+    same = (F.col("field_key") == F.col("of")) & (F.col("broad") == F.col("wide")) & F.col("extracted").eqNullSafe(x) & F.col("expected").eqNullSafe(e)
+    return long.join(scored, same).select(*keys, "field_key", "extracted", "expected", "c.status", "c.score")
+
+
+def score_shown(score: Column) -> Column:
+    """A score as a whole percent, halves to the even number; null stays null."""
+    return F.concat(F.bround(score, 0).cast("int").cast("string"), F.lit("%"))
+
+
 def values_agree(field: str, a: Column, b: Column, ratio: Column, limits: Thresholds = Thresholds()) -> Column:
     """Whether two readings of a field agree: no rescue, and the volume's tolerance is of ``b``."""
     close = ratio >= (limits.warning if field == "health_warning_text" else limits.text)

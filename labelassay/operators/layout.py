@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PRODUCER_ANCHORS, Thresholds
+from ..config import FIELDS, PRODUCER_ANCHORS, Thresholds
 from ..functions.text import finalize_producer, looks_like_address_end, stripped
 
 NOT_BRAND = r"(?iu)GOVERNMENT WARNING|PRODUCED|BOTTLED|IMPORTED|DISTILLED|VINTED|BREWED|PRODUCT OF|PROOF|ALC|VOL|%"
@@ -81,3 +81,21 @@ def producers(lines: DataFrame) -> DataFrame:
     ended = F.coalesce(F.max(looks_like_address_end(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     kept = near.withColumn("stopped", F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ended", ended).where("NOT stopped AND NOT ended")
     return _joined(kept, F.col("step")).select("photo_id", finalize_producer(F.col("value")).alias("producer_info"))
+
+
+def label_fields(words: DataFrame, texts: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """All seven fields of each photo: photo_id and a column for each field.
+
+    ``words`` are word boxes and ``texts`` has photo_id and raw_text. The
+    producer comes from the words' places, from the plain text where they give
+    none (or an empty one).
+    """
+    from ..functions.extract import extract_fields
+    from .documents import extract_producer
+
+    lines = group_lines(confident_words(words, limits))
+    text = F.col("raw_text")
+    out = texts.select("photo_id", extract_producer(text).alias("plain_producer"), *(c.alias(k) for k, c in extract_fields(text).items()))
+    out = out.join(brand_names(lines), "photo_id", "left").join(producers(lines), "photo_id", "left")
+    out = out.withColumn("producer_info", F.coalesce(F.nullif("producer_info", F.lit("")), "plain_producer"))
+    return out.select("photo_id", *FIELDS)

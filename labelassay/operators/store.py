@@ -24,6 +24,19 @@ def blank_to_null(value: Column) -> Column:
     return F.when(value.rlike(r"(?U)^\s*$"), None).otherwise(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
 
 
+def numbered(rows: DataFrame, high_water: int, by: str = "seq") -> DataFrame:
+    """``rows`` with new ids after ``high_water`` in the order of ``by``, no partition sorted in one task.
+
+    Rows are range-partitioned and numbered in their partition; the partitions' counts, a row for each, give where each begins.
+    """
+    spread = rows.repartitionByRange(F.col(by)).withColumn("part", F.spark_partition_id())
+    placed = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(by)))
+    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("before"))
+    return placed.join(F.broadcast(starts), "part").withColumn("id", (F.col("place") + F.col("before") + high_water).cast("long")).drop("part", "place", "before")
+
+
 def next_versions(current: DataFrame, changes: DataFrame, version: int, now: str, high_water: int) -> DataFrame:
     """New version rows for ``changes`` (action insert, update or delete; seq; id; name and fields).
 
@@ -34,11 +47,11 @@ def next_versions(current: DataFrame, changes: DataFrame, version: int, now: str
     """
     fields = ["name", *REFERENCE_FIELDS]
     changes = changes.select("action", "seq", "id", *(blank_to_null(F.col(f)).alias(f) for f in fields))
-    made = changes.where("action = 'insert' AND name IS NOT NULL").select("seq", *fields)
-    place = F.row_number().over(Window.orderBy("seq"))  # a batch of edits, not the library
-    made = made.select((place + high_water).cast("long").alias("id"), *fields, F.lit(now).alias("created_at"))
+    made = numbered(changes.where("action = 'insert' AND name IS NOT NULL").select("seq", *fields), high_water)
+    made = made.select("id", *fields, F.lit(now).alias("created_at"))
     known = latest(current).select("id", F.col("created_at"), *(F.col(f).alias(f"old_{f}") for f in fields))
-    edited = changes.where("action IN ('update', 'delete')").drop("seq").join(known, "id")
+    # Of several edits of one id in a batch the last counts.
+    edited = changes.where("action IN ('update', 'delete')").groupBy("id").agg(F.max_by(F.struct("action", *fields), "seq").alias("e")).select("id", "e.*").join(known, "id")
     gone = F.col("action") == "delete"
     edited = edited.select("id", *(F.when(gone, F.col(f"old_{f}")).otherwise(F.coalesce(F.col(f), F.col("old_name")) if f == "name" else F.col(f)).alias(f) for f in fields), "created_at", gone.alias("deleted"))
     rows = made.withColumn("deleted", F.lit(False)).unionByName(edited)
@@ -64,6 +77,16 @@ def decode_results(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
+#: What a saved verification's JSON text holds.
+RESULTS = (
+    "field_summary map<string, struct<status: string, value: string, source_index: int, values: array<struct<value: string, source_index: int>>, "
+    "expected: string, computed_status: string, manual_override: boolean>>, warning_caps_ok boolean, warning_bold_ok boolean, "
+    "photos array<struct<index: int, raw_text: string, extracted: map<string, string>, expected: map<string, string>, "
+    "comparisons_by_field: map<string, struct<status: string, extracted_value: string, expected_value: string, score: double>>, "
+    "warning_caps_ok: boolean, warning_bold_ok: boolean>>"
+)
+
+
 def saved_headers(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """A header for each group from its fields (field_key, status, value, expected)."""
     brand = F.col("field_key") == "brand_name"
@@ -71,5 +94,46 @@ def saved_headers(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return summaries.groupBy(*keys).agg(shown.alias("brand_name"), F.when(F.bool_and(F.col("status") == "match"), "pass").otherwise("needs_review").alias("overall_status"))
 
 
+def results_of(summaries: DataFrame, keys: list[str], marks: DataFrame, photos: DataFrame) -> DataFrame:
+    """keys and ``results_json``: the fields' summary, both marks of the warning and the photos of each group.
+
+    ``marks`` has the keys, caps_ok and bold_ok; ``photos`` the keys and a
+    struct ``photo`` as in ``RESULTS``.
+    """
+    values = F.transform("readings", lambda r: F.struct(r["extracted"].alias("value"), r["index"].cast("int").alias("source_index")))
+    field = F.struct("status", "value", F.col("source_index").cast("int").alias("source_index"), values.alias("values"), "expected", "computed_status", "manual_override")
+    fields = summaries.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_key", field.alias("field"))), lambda a, b: F.when(a["field_key"] < b["field_key"], -1).otherwise(1))).alias("field_summary"))
+    shown = photos.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("photo.index").alias("index"), F.to_json("photo", {"ignoreNullFields": "false"}).alias("json")))).alias("photos"))
+    photo = RESULTS[RESULTS.index("photos array<") + len("photos array<") : -1]
+    out = fields.join(marks, keys, "left").join(shown, keys, "left")
+    listed = F.coalesce(F.transform("photos", lambda p: F.from_json(p["json"], photo)), F.array().cast(f"array<{photo}>"))
+    whole = F.struct("field_summary", F.col("caps_ok").alias("warning_caps_ok"), F.col("bold_ok").alias("warning_bold_ok"), listed.alias("photos"))
+    return out.select(*keys, encode_results(whole).alias("results_json"))
+
+
+def next_verifications(current: DataFrame, changes: DataFrame, version: int, now: str, high_water: int) -> DataFrame:
+    """New version rows of saved verifications for ``changes``.
+
+    ``changes`` has action (insert, update or delete), seq, id,
+    source_filename, brand_name, overall_status and results_json. An update
+    keeps the file's name and created_at; a change of an id that isn't there
+    does nothing. New ids follow ``high_water`` in order of ``seq``.
+    """
+    written = ["brand_name", "overall_status", "results_json"]
+    made = numbered(changes.where("action = 'insert'").select("seq", "source_filename", *written), high_water).drop("seq")
+    made = made.select("id", "source_filename", *written, F.lit(now).alias("created_at"), F.lit(False).alias("deleted"))
+    known = latest(current).select("id", "source_filename", "created_at", *(F.col(c).alias(f"old_{c}") for c in written))
+    edited = changes.where("action IN ('update', 'delete')").groupBy("id").agg(F.max_by(F.struct("action", *written), "seq").alias("e")).select("id", "e.*").join(known, "id")
+    gone = F.col("action") == "delete"
+    edited = edited.select("id", "source_filename", *(F.when(gone, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in written), "created_at", gone.alias("deleted"))
+    rows = made.unionByName(edited)
+    return rows.select("id", "source_filename", *written, "created_at", F.lit(now).alias("updated_at"), F.lit(version).cast("long").alias("version"), "deleted")
+
+
+def by_id(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The newest versions of the ids in ``wanted`` (a column id); versions of others are left out first."""
+    return latest(versions.join(wanted.select("id").distinct(), "id", "left_semi"))
+
+
 def newest_first(saved: DataFrame) -> DataFrame:
     return saved.select(*HEADER).orderBy(F.desc("created_at"), F.desc("id"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Thresholds
+from ..config import FIELDS, Thresholds
 from ..functions.text import is_blank
-from .compare import MATCH, MISMATCH, NOT_FOUND, text_ratio, values_agree
+from .compare import MATCH, MISMATCH, NOT_FOUND, field_ratio, values_agree
 
 DISAGREEMENT = "disagreement"
 
@@ -18,14 +18,21 @@ def group_key(product_id: Column, mode: Column, index: Column) -> Column:
 
 
 def aggregate_field(comparisons: DataFrame, field: str, keys: list[str], limits: Thresholds = Thresholds()) -> DataFrame:
-    """One row for each group from its photos' readings of a field.
+    """``group_summary`` of one field, whose rows alone are in ``comparisons``; without ``field_key``."""
+    return group_summary(comparisons.withColumn("field_key", F.lit(field)), keys, limits, (field,)).drop("field_key")
 
-    ``comparisons`` has the keys, index, extracted, expected and status. A
-    match of any photo wins, with the first such photo's value. Without any
-    reading it is ``not_found``; if all readings agree with the first one,
-    ``mismatch`` with that value, else ``disagreement`` with all readings.
-    Returns the keys, status, value, source_index, n_values and expected.
+
+def group_summary(comparisons: DataFrame, keys: list[str], limits: Thresholds = Thresholds(), fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row for each group and ``field_key`` from its photos' readings.
+
+    ``comparisons`` has the keys, field_key, index, extracted, expected and
+    status. A match of any photo wins, with the first such photo's value.
+    Without any reading it is ``not_found``; if all readings agree with the
+    first one, ``mismatch`` with that value, else ``disagreement`` with all
+    readings. Returns the keys, field_key, status, value, source_index,
+    n_values, expected and ``readings`` (those of a disagreement, in order of index).
     """
+    keys = [*keys, "field_key"]
     read = F.filter(F.array_sort(F.collect_list(F.struct("index", "extracted"))), lambda r: ~is_blank(r["extracted"]))
     groups = comparisons.groupBy(*keys).agg(
         F.min_by(F.struct("extracted", "index"), F.when(F.col("status") == MATCH, F.col("index"))).alias("hit"),
@@ -35,13 +42,56 @@ def aggregate_field(comparisons: DataFrame, field: str, keys: list[str], limits:
     )
     first = F.get("read", F.lit(0))["extracted"]
     others = groups.select(*keys, first.alias("x"), F.explode(F.slice("read", 2, F.greatest(F.size("read") - 1, F.lit(1)))).alias("r")).select(*keys, "x", F.col("r.extracted").alias("e"))
-    pairs = others.select("x", "e").distinct().withColumn("agree", values_agree(field, F.col("x"), F.col("e"), text_ratio(F.col("x"), F.col("e")), limits))
-    agreed = others.join(pairs, ["x", "e"]).groupBy(*keys).agg(F.bool_and("agree").alias("agree"))
+    x, e, agree = F.col("x"), F.col("e"), F.lit(None)
+    pairs = others.select("field_key", "x", "e").distinct().withColumn("ratio", _ratio_of_any(x, e, fields))
+    for f in fields:
+        agree = F.when(F.col("field_key") == f, values_agree(f, x, e, F.col("ratio"), limits)).otherwise(agree)
+    agreed = others.join(pairs.select("field_key", "x", "e", agree.alias("agree")), ["field_key", "x", "e"]).groupBy(*keys).agg(F.bool_and("agree").alias("agree"))
     out = groups.join(agreed, keys, "left")
     status = F.when(F.col("hit_index").isNotNull(), MATCH).when(F.size("read") == 0, NOT_FOUND).when(F.coalesce("agree", F.lit(True)), MISMATCH).otherwise(DISAGREEMENT)
     value = F.when(F.col("hit_index").isNotNull(), F.col("hit.extracted")).when(F.coalesce("agree", F.lit(True)), first)
     index = F.when(F.col("hit_index").isNotNull(), F.col("hit_index")).when(F.coalesce("agree", F.lit(True)), F.get("read", F.lit(0))["index"])
-    return out.select(*keys, status.alias("status"), value.alias("value"), index.alias("source_index"), F.when(status == DISAGREEMENT, F.size("read")).otherwise(0).cast("int").alias("n_values"), "expected")
+    return out.select(*keys, status.alias("status"), value.alias("value"), index.alias("source_index"), F.when(status == DISAGREEMENT, F.size("read")).otherwise(0).cast("int").alias("n_values"), "expected", F.when(status == DISAGREEMENT, F.col("read")).alias("readings"))
+
+
+def _ratio_of_any(x: Column, e: Column, fields: tuple[str, ...]) -> Column:
+    """The ratio by ``field_key``; the warning's is worked out only for its rows."""
+    plain = field_ratio("brand_name", x, e)
+    if "health_warning_text" not in fields:
+        return plain
+    warning = F.col("field_key") == "health_warning_text"
+    return F.when(warning, field_ratio("health_warning_text", F.when(warning, x), F.when(warning, e))).otherwise(plain)
+
+
+def group_headers(photos: DataFrame) -> DataFrame:
+    """One row for each group of a run's photos: label, place in the run, photos and both tri-states.
+
+    ``photos`` has run_id, index, mode, product_id, product_name, caps_ok and
+    bold_ok. Groups stand in the order of their first photos.
+    """
+    keyed = photos.withColumn("group_key", group_key(F.col("product_id"), F.col("mode"), F.col("index")))
+    groups = keyed.groupBy("run_id", "group_key").agg(
+        F.min("index").alias("first"),
+        F.min_by("product_name", "index").alias("name"),
+        F.count("*").alias("photos"),
+        aggregate_tristate(F.col("caps_ok")).alias("caps_ok"),
+        aggregate_tristate(F.col("bold_ok")).alias("bold_ok"),
+    )
+    label = (
+        F.when(F.col("group_key").startswith("product:"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Saved Product")))
+        .when(F.col("group_key") == "cola", "COLA Application")
+        .otherwise(F.concat(F.lit("Label "), (F.col("first") + 1).cast("string")))
+    )
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("first"))  # a run is one batch of photos
+    return groups.select("run_id", "group_key", place.alias("place"), label.alias("label"), "photos", "caps_ok", "bold_ok")
+
+
+def encode_tristate(value: Column) -> Column:
+    return F.when(value, "true").when(~value, "false").otherwise("")
+
+
+def decode_tristate(text: Column) -> Column:
+    return F.when(text == "true", True).when(text == "false", False)
 
 
 def aggregate_tristate(value: Column) -> Column:

@@ -47,6 +47,17 @@ SELECT l_orderkey AS photo_id, row_number() OVER (PARTITION BY l_orderkey ORDER
        CAST(l_partkey % 500 AS INT) AS "left", CAST(l_linenumber * 45 + l_suppkey % 3 AS INT) AS top, CAST(50 AS INT) AS width,
        CAST(20 + 10 * (l_suppkey % 3) AS INT) AS height, CAST(1 + l_linenumber % 2 AS INT) AS block_num, CAST(1 AS INT) AS par_num, CAST(l_linenumber AS INT) AS line_num
 FROM lineitem""",
+    "photos": """
+SELECT s_suppkey AS photo_id, s_nationkey AS run_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS index,
+       CASE s_suppkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'product' WHEN 2 THEN 'cola' ELSE 'adhoc' END AS mode, s_suppkey * 3 AS chosen_id,
+       CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS caps_ok, CASE s_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS bold_ok,
+       ' Brand#' || CAST(11 + s_suppkey % 45 AS STRING) || ' ' AS typed_brand_name, 'RED WINE' AS typed_class_type, '  ' AS typed_alcohol_content, '750 mL' AS typed_net_contents,
+       '' AS typed_producer_info, CAST(NULL AS STRING) AS typed_country_of_origin
+FROM supplier""",
+    "applications": """
+SELECT n_nationkey AS run_id, 'Brand#' || CAST(11 + n_nationkey AS STRING) AS brand_name, 'Wine' AS class_type, '40% ALC/VOL' AS alcohol_content, '750 mL' AS net_contents,
+       CASE n_nationkey % 2 WHEN 0 THEN 'Hill Cellars, Napa, CA' ELSE NULL END AS producer_info, CASE n_nationkey % 3 WHEN 0 THEN 'France' ELSE NULL END AS country_of_origin
+FROM nation""",
     "photo_results": """
 SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS INT) AS index,
        CASE l_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN '750 mL' WHEN 3 THEN '0.75 L' WHEN 4 THEN '700 ML' ELSE '1 L' END AS extracted,
@@ -59,7 +70,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input over whole tables."""
     ship_package(spark)
     sql = VIEWS[name].replace('"left"', "`left`")
-    for table in ("part", "supplier", "lineitem"):
+    for table in ("part", "supplier", "lineitem", "nation"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(sql)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORY, CATEGORY_KEYWORDS, CLASS_KEYWORDS, CLASS_SUFFIXES, COUNTRY_NAMES, FIELDS, NOISE_WORDS, PRODUCER_VERBS, REFERENCE_FIELDS, STATE_CODES, STATE_NAMES, STATES
+from ..config import CATEGORY, CATEGORY_KEYWORDS, CLASS_KEYWORDS, CLASS_SUFFIXES, COUNTRY_NAMES, FIELDS, NOISE_WORDS, PRODUCER_VERBS, REFERENCE_FIELDS, STATE_CODES, STATE_NAMES, STATES, WARNING
 from ..functions import extract as X
 from ..functions import text as T
 from ..functions.similarity import partial_ratio, token_sort_ratio
@@ -18,7 +18,7 @@ from ..operators import match as M
 from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
-from ..sources.files import docx_file, texts_of
+from ..sources.files import docx_file, images_of, texts_of
 from .inputs import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,16 +284,10 @@ def q19_token_sort_ratio(spark, d):
 
 @query()
 def q20_partial_ratio(spark, d):
-    x, e = X.extract_warning(F.col("raw_text")), F.lit(_warning())
+    x, e = X.extract_warning(F.col("raw_text")), F.lit(WARNING)
     return view(spark, d, "label_text").select("label_id", partial_ratio(T.normalize_text(x), T.normalize_text(e)).alias("ratio"))
 
 
-def _warning() -> str:
-    from ..config import WARNING
-
-    return WARNING
-
-
 def _compared(spark, d, field, broad=False):
     return C.scored_pairs(_pairs(spark, d, field), field, broad_class=broad).select("x", "e", F.col("c.status").alias("status"), F.round("c.score", 6).alias("score"))
 
@@ -393,7 +387,7 @@ summary AS (SELECT run_id, CASE WHEN hit_index IS NOT NULL THEN 'match' WHEN k =
 
 @query(with_views("", "photo_results") + SUMMARY + " SELECT * FROM summary")
 def q29_group_summary(spark, d):
-    return _summary(spark, d)
+    return _summary(spark, d).drop("readings")
 
 
 @query(with_views("", "photo_results") + SUMMARY + " SELECT run_id % 97 AS batch, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall, count(*) AS fields, count(*) FILTER (WHERE status = 'match') AS matched FROM summary GROUP BY 1")
@@ -422,7 +416,7 @@ def q32_dedup_batch(spark, d):
 
 # ---- documents, store, files -----------------------------------------------------------------
 
-FORM = """'BRAND NAME' || chr(10) || chr(10) || p_brand || ' (Front Label)' || chr(10) || '5. CLASS AND TYPE: ' || p_type || chr(10) || 'Net Contents (in metric) - 750 mL'
+FORM = """'BRAND NAME' || chr(10) || chr(10) || CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE replace(p_brand, 'Brand#', 'Mfr ') END || ' (Front Label)' || chr(10) || '5. CLASS AND TYPE: ' || p_type || chr(10) || 'Net Contents (in metric) - 750 mL'
  || chr(10) || '8. NAME AND ADDRESS OF APPLICANT AS SHOWN ON PERMIT' || chr(10) || p_name || ' Co' || chr(10) || '(if any)' || chr(10) || 'Napa, CA 94558' || chr(10) || 'Rev. 2024'"""
 
 
@@ -430,7 +424,8 @@ def _forms(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(FORM).alias("text"))
 
 
-@query("SELECT p_partkey, trim(p_brand) AS brand_name, p_type AS class_type, '750 mL' AS net_contents, p_name || ' Co Napa, CA 94558' AS producer_info FROM part")
+# A value with the word BRAND in it is read as the next heading, so the brand stays null.
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN replace(p_brand, 'Brand#', 'Mfr ') END AS brand_name, p_type AS class_type, '750 mL' AS net_contents, p_name || ' Co Napa, CA 94558' AS producer_info FROM part")
 def q18_document_fields(spark, d):
     fields = D.document_fields(F.col("text"))
     return _forms(spark, d).select("p_partkey", *(fields[k].alias(k) for k in ("brand_name", "class_type", "net_contents", "producer_info")))
@@ -441,9 +436,11 @@ def q17_labeled_field(spark, d):
     return _forms(spark, d).select("p_partkey", D.labeled_field(F.col("text"), D.LABELS["net_contents"]).alias("net_contents"))
 
 
-@query(with_views("SELECT label_id, CASE label_id % 6 WHEN 0 THEN 'Old River Distilling Co, Frankfort, KY 40601' WHEN 1 THEN 'Hill Cellars, 12 Main Street, Napa, California' WHEN 2 THEN 'Granite Brewing LLC, Portland, Maine 04101' WHEN 3 THEN 'North Import Inc, Edinburgh, Scotland' WHEN 4 THEN 'Maison Claire, Reims, France' ELSE 'Nobody ' || CASE WHEN label_id % 4 < 2 THEN '' ELSE 'Domestic' END END AS producer FROM label_text WHERE label_id % 6 < 5", "label_text"))
+@query(with_views("SELECT label_id, CASE label_id % 6 WHEN 0 THEN 'Old River Distilling Co, Frankfort, KY 40601' WHEN 1 THEN 'Hill Cellars, 12 Main Street, Napa, California' WHEN 2 THEN 'Granite Brewing LLC, Portland, Maine 04101' WHEN 3 THEN 'North Import Inc, Edinburgh, Scotland' WHEN 4 THEN 'Maison Claire, Reims, France'"
+       # Nobody has no address end: lines are taken up to the next field, or five of them.
+       " ELSE 'Nobody' || CASE label_id % 4 WHEN 3 THEN ' Domestic GOVERNMENT WARNING: drink less ' || regexp_extract(raw_text, '[^\\n]*$') ELSE '' END END AS producer FROM label_text", "label_text"))
 def q12_producer_lines(spark, d):
-    return view(spark, d, "label_text").where("label_id % 6 < 5").select("label_id", D.extract_producer(F.col("raw_text")).alias("producer"))
+    return view(spark, d, "label_text").select("label_id", D.extract_producer(F.col("raw_text")).alias("producer"))
 
 
 @query(with_views("", "photo_results") + SUMMARY + ", l AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'brand_name' ELSE 'net_contents' END AS field_key, run_id // 2 AS record FROM summary) SELECT record, coalesce(nullif(max(CASE WHEN field_key = 'brand_name' THEN value END), ''), max(CASE WHEN field_key = 'brand_name' THEN expected END)) AS brand_name, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall_status FROM l GROUP BY record")
@@ -495,6 +492,162 @@ def q37_heading_bold(spark, d):
     return heading_bold(word_density(words, tiles))
 
 
+# ---- whole runs ---------------------------------------------------------------------------------
+
+
+MADE_WARNING = f"CASE p_size % 4 WHEN 0 THEN '{WARNING}' WHEN 1 THEN NULL WHEN 2 THEN substr('{WARNING}', 21, 60) ELSE '0000' END"
+LABELS = f"""labels7 AS (SELECT l.id, r.*, l.brand_name AS expected_brand_name, l.class_type AS expected_class_type, l.alcohol_content AS expected_alcohol_content,
+ l.net_contents AS expected_net_contents, l.producer_info AS expected_producer_info, l.country_of_origin AS expected_country_of_origin,
+ {MADE_WARNING} AS health_warning_text, '{WARNING}' AS expected_health_warning_text
+ FROM library l JOIN part ON p_partkey = l.id JOIN readings r ON r.photo_id = l.id % (SELECT count(*) FROM readings) + 1)"""
+
+
+def _field_sql(field: str) -> str:
+    """Rows of labels7 for a field: the comparison is joined by its two values."""
+    if field == "health_warning_text":
+        plain, whole = norm("health_warning_text"), norm("expected_health_warning_text")
+        score = f"CASE WHEN contains({whole}, {plain}) THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+        return f"SELECT id, '{field}' AS field_key, health_warning_text AS extracted, expected_health_warning_text AS expected, CASE WHEN {blank('health_warning_text')} THEN 'not_found' WHEN {score} >= 80 THEN 'match' ELSE 'mismatch' END AS status, CASE WHEN {blank('health_warning_text')} THEN NULL ELSE {score} END AS score FROM labels7"
+    void = f"({blank('x')} OR {blank('e')})"
+    return f"SELECT id, '{field}' AS field_key, {field} AS extracted, expected_{field} AS expected, c.status, CASE WHEN {void} THEN NULL ELSE round(c.score, 6) END AS score FROM labels7 JOIN {field}_c c ON c.x IS NOT DISTINCT FROM {field} AND c.e IS NOT DISTINCT FROM expected_{field}"
+
+
+@query(with_views("", "library", "readings") + ", " + LABELS + ", " + ", ".join(map(_field_cte, REFERENCE_FIELDS)) + " " + " UNION ALL ".join(map(_field_sql, FIELDS)))
+def q38_compare_product(spark, d):
+    """All seven fields of every label, a row for each field."""
+    library = view(spark, d, "library").select("id", *(F.col(f).alias(f"expected_{f}") for f in REFERENCE_FIELDS))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(MADE_WARNING).alias("health_warning_text"), F.lit(WARNING).alias("expected_health_warning_text"))
+    readings = view(spark, d, "readings")
+    rows = library.join(parts, "id").withColumn("photo_id", F.col("id") % readings.count() + 1).join(readings, "photo_id")
+    return C.compare_product(rows, ["id"]).withColumn("score", F.round("score", 6))
+
+
+def _expected(spark, d):
+    best = M.best_matches(view(spark, d, "readings"), view(spark, d, "library"))
+    return M.expected_values(view(spark, d, "photos"), best, view(spark, d, "library"), view(spark, d, "applications"))
+
+
+def expected_sql(select: str) -> str:
+    picks = ", ".join(f"CASE WHEN mode IN ('auto', 'product') THEN l.{f} WHEN mode = 'cola' THEN a.{f} ELSE nullif(trim(typed_{f}), '') END AS expected_{f}" for f in REFERENCE_FIELDS)
+    made = f"expected AS (SELECT p.*, l.id AS product_id, l.name AS product_name, {picks}, '{WARNING}' AS expected_health_warning_text FROM photos p LEFT JOIN best b ON b.photo_id = p.photo_id LEFT JOIN library l ON l.id = CASE mode WHEN 'auto' THEN b.product_id WHEN 'product' THEN chosen_id END LEFT JOIN applications a ON a.run_id = p.run_id)"
+    views = with_views("", "photos", "applications").removeprefix("WITH ").rstrip()
+    return best_sql("*").removesuffix(" SELECT * FROM best") + f", {views}, {made} SELECT {select} FROM expected"
+
+
+@query(expected_sql("photo_id, product_id, product_name, " + ", ".join(f"expected_{f}" for f in FIELDS)))
+def q39_expected_values(spark, d):
+    return _expected(spark, d).select("photo_id", "product_id", "product_name", *(f"expected_{f}" for f in FIELDS))
+
+
+GROUPED = "CASE WHEN product_id IS NOT NULL THEN 'product:' || CAST(product_id AS STRING) WHEN mode = 'cola' THEN 'cola' ELSE 'standalone:' || CAST(index AS STRING) END"
+
+
+@query(expected_sql(f"run_id, {GROUPED} AS group_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY min(index)) AS INT) AS place, CASE WHEN min(product_id) IS NOT NULL THEN min_by(product_name, index) WHEN min(mode) = 'cola' THEN 'COLA Application' ELSE 'Label ' || CAST(min(index) + 1 AS STRING) END AS label, count(*) AS photos, CASE bool_or(caps_ok) WHEN true THEN 'true' WHEN false THEN 'false' ELSE '' END AS caps_ok, CASE bool_or(bold_ok) WHEN true THEN 'true' WHEN false THEN 'false' ELSE '' END AS bold_ok") + f" GROUP BY run_id, {GROUPED}")
+def q40_group_headers(spark, d):
+    headers = V.group_headers(_expected(spark, d))
+    return headers.select("run_id", "group_key", "place", "label", "photos", V.encode_tristate(F.col("caps_ok")).alias("caps_ok"), V.encode_tristate(F.col("bold_ok")).alias("bold_ok"))
+
+
+def _compared_run(spark, d):
+    """Every photo of every run against its reference, in long form, with its group."""
+    readings = view(spark, d, "readings").drop("run_id").withColumn("health_warning_text", F.when(F.col("photo_id") % 3 > 0, WARNING))
+    photos = _expected(spark, d).join(readings, "photo_id").withColumn("group_key", V.group_key(F.col("product_id"), F.col("mode"), F.col("index")))
+    # The references are read twice below; without this all products would be matched anew each time.
+    return C.compare_product(photos.persist(), ["run_id", "group_key", "index"], broad_class=F.col("mode") == "cola").persist()
+
+
+@query()
+def q41_run_summary(spark, d):
+    """Each group's seven fields; tests hold it against a plain version."""
+    fields = V.group_summary(_compared_run(spark, d), ["run_id", "group_key"])
+    return fields.drop("readings")
+
+
+def _saved(spark, d):
+    """Version rows of saved verifications: a record for each group of photo results, its fields by the run's parity."""
+    fields = _summary(spark, d).withColumn("field_key", F.when(F.col("run_id") % 2 == 0, "brand_name").otherwise("net_contents")).withColumn("record", F.floor(F.col("run_id") / 2))
+    fields = fields.withColumn("computed_status", F.lit(None).cast("string")).withColumn("manual_override", F.lit(False))
+    marks = fields.select("record").distinct().select("record", (F.col("record") % 2 == 0).alias("caps_ok"), F.lit(None).cast("boolean").alias("bold_ok"))
+    none = F.lit(None).cast("map<string,string>")
+    compared = F.lit(None).cast("map<string,struct<status:string,extracted_value:string,expected_value:string,score:double>>")
+    photo = F.struct(F.lit(0).alias("index"), F.concat(F.lit("text "), F.col("record").cast("string")).alias("raw_text"), none.alias("extracted"), none.alias("expected"), compared.alias("comparisons_by_field"), F.col("caps_ok").alias("warning_caps_ok"), F.col("bold_ok").alias("warning_bold_ok"))
+    results = S.results_of(fields, ["record"], marks, marks.select("record", photo.alias("photo")))
+    return S.saved_headers(fields, ["record"]).join(results, "record")
+
+
+@query(with_views("", "photo_results") + SUMMARY + """, l AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'brand_name' ELSE 'net_contents' END AS field_key, run_id // 2 AS record FROM summary),
+hh AS (SELECT record, coalesce(nullif(max(CASE WHEN field_key = 'brand_name' THEN value END), ''), max(CASE WHEN field_key = 'brand_name' THEN expected END)) AS brand_name, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall_status, max(CASE WHEN field_key = 'net_contents' THEN status END) AS net_status FROM l GROUP BY record)
+SELECT record AS id, 'file ' || CAST(record AS STRING) || '.docx' AS source_filename, CASE WHEN record % 3 = 1 THEN 'Corrected' ELSE brand_name END AS brand_name, CASE WHEN record % 3 = 1 THEN 'pass' ELSE overall_status END AS overall_status, '2024-01-01 00:00:00' AS created_at, CASE WHEN record % 3 = 1 THEN '2024-02-02 00:00:00' ELSE '2024-01-01 00:00:00' END AS updated_at,
+ net_status, record % 2 = 0 AS caps_ok, 'text ' || CAST(record AS STRING) AS raw_text FROM hh WHERE record % 3 <> 0""")
+def q42_saved_verifications(spark, d):
+    """Saved, corrected and deleted verifications, read back by id with their payload."""
+    first, later = "2024-01-01 00:00:00", "2024-02-02 00:00:00"
+    saved = _saved(spark, d)
+    none = F.lit(None).cast("string")
+    stored = saved.select(F.col("record").alias("id"), F.concat(F.lit("file "), F.col("record").cast("string"), F.lit(".docx")).alias("source_filename"), "brand_name", "overall_status", "results_json", F.lit(first).alias("created_at"), F.lit(first).alias("updated_at"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"))
+    edits = stored.select(F.when(F.col("id") % 3 == 0, "delete").otherwise("update").alias("action"), F.col("id").alias("seq"), "id", none.alias("source_filename"), F.lit("Corrected").alias("brand_name"), F.lit("pass").alias("overall_status"), "results_json").where("id % 3 < 2")
+    changed = S.next_verifications(stored, edits, 2, later, 0)
+    found = S.by_id(stored.unionByName(changed), stored.select("id"))
+    read = S.decode_results(F.col("results_json"), S.RESULTS)
+    return found.select("id", "source_filename", "brand_name", "overall_status", "created_at", "updated_at", read["field_summary"]["net_contents"]["status"].alias("net_status"), read["warning_caps_ok"].alias("caps_ok"), F.get(read["photos"], F.lit(0))["raw_text"].alias("raw_text"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id % 50 AS batch_id, 'f' || CAST(event_id AS STRING) AS filename, {FOLD.format(KEY)} AS k, event_type = 'click' AS bad FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, bad ORDER BY event_id) AS n FROM e), g AS (SELECT *, NOT bad AND NOT (k = '' OR (n = 1 AND k NOT IN (SELECT {FOLD.format('c_name')} FROM customer))) AS twice FROM f)
+SELECT batch_id, count(*) FILTER (WHERE NOT bad AND NOT twice) AS saved, count(*) FILTER (WHERE twice) AS duplicates, count(*) FILTER (WHERE bad) AS failed, coalesce(array_to_string(list(filename ORDER BY filename) FILTER (WHERE twice), ','), '') AS duplicate_names FROM g GROUP BY batch_id""")
+def q43_batch_counts(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    docs = events.select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 50).alias("batch_id"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("filename"), F.expr(KEY).alias("brand"), F.when(F.col("event_type") == "click", "unreadable").alias("error"))
+    known = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("key"))
+    kept = M.first_of_each(docs.where("error IS NULL"), F.col("brand"), ["doc_id"], known)
+    return M.batch_counts(docs, kept).select("batch_id", "saved", "duplicates", "failed", F.array_join("duplicate_names", ",").alias("duplicate_names"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS shown, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS back, CAST(CAST(round_even(p_retailprice / 10, 0) AS INT) AS STRING) || '%' AS score FROM part")
+def q44_tristate_and_score(spark, d):
+    mark = F.expr("CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", V.encode_tristate(mark).alias("shown"), C.score_shown(F.col("p_retailprice") / 10).alias("score"))
+    return rows.select("p_partkey", "shown", V.decode_tristate(F.col("shown")).alias("back"), "score")
+
+
+@query("SELECT CAST(p_partkey AS STRING) AS path, CAST(0 AS INT) AS number, CAST(100 + p_size * 5 AS INT) AS width, CAST(160 AS INT) AS height FROM part WHERE p_partkey % 3 > 0 AND least(100 + p_size * 5, 160) >= 150 UNION ALL SELECT CAST(p_partkey AS STRING), CAST(1 AS INT), CAST(200 AS INT), CAST(150 AS INT) FROM part WHERE p_partkey % 3 > 0")
+def q45_document_images(spark, d):
+    """Photos inside documents: by relationships, large enough; a third of the files are broken."""
+    png = lambda w, h: F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(w), 8, "0")), F.unhex(F.lpad(F.hex(h), 8, "0")))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), F.array(png(100 + F.col("p_size") * 5, F.lit(160)), png(F.lit(200), F.lit(150)), png(F.lit(149), F.lit(900))).alias("photos"), (F.col("p_partkey") % 3 > 0).alias("sound"))
+    files = parts.select("path", F.lit("docx").alias("kind"), F.when(F.col("sound"), docx_file(F.array(F.lit("x")), F.col("photos"))).otherwise(F.lit(b"no file")).alias("content"))
+    return images_of(files).select("path", "number", "width", "height")
+
+
+@query()
+def q46_label_fields(spark, d):
+    """All seven fields of every photo, from its words' places and its text."""
+    texts = view(spark, d, "label_text").select(F.col("label_id").alias("photo_id"), "raw_text")
+    return L.label_fields(view(spark, d, "ocr_words"), texts)
+
+
+@query(with_views("SELECT id AS product_id, name, row_number() OVER (ORDER BY translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id) AS place FROM library", "library"))
+def q47_product_scan(spark, d):
+    """Products with their places in the order of names."""
+    rows = view(spark, d, "library").select(F.col("id").alias("product_id"), "name", F.struct(M.candidate_order(F.col("name")).alias("name_key"), "id").alias("key"))
+    return S.numbered(rows, 0, "key").select("product_id", "name", F.col("id").alias("place"))
+
+
+@query("SELECT o_orderkey AS id, 'f' AS source_filename, 'b' AS brand_name, CAST(o_orderstatus AS STRING) AS overall_status, CAST(o_totalprice AS STRING) AS created_at, '' AS updated_at FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0)".replace("CAST(o_totalprice AS STRING)", "'2024-01-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0')"))
+def q48_saved_list(spark, d):
+    """Headers of all saved records that weren't deleted, newest first."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("o_orderkey") % 28 + 1).cast("string"), 2, "0"))
+    stored = orders.select(F.col("o_orderkey").alias("id"), F.lit("f").alias("source_filename"), F.lit("b").alias("brand_name"), F.col("o_orderstatus").alias("overall_status"), F.lit("{}").alias("results_json"), day.alias("created_at"), F.lit("").alias("updated_at"), F.lit(1).alias("version"), (F.col("o_orderkey") % 2 == 1).alias("deleted"))
+    return S.newest_first(S.latest(stored))
+
+
+@query("SELECT s_suppkey AS id, coalesce(CASE s_suppkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULLIF('', '') END, s_name) AS name FROM supplier")
+def q49_merge_extracted(spark, d):
+    extracted = F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN '' END")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), S.merge_extracted(F.col("s_name"), extracted).alias("name"))
+
+
 def queries() -> dict[str, Query]:
     return QUERIES
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import posixpath
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -33,13 +35,56 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out)
 
 
-def docx_images(content: bytes) -> list[bytes]:
-    """Embedded images; one that can't be read is left out."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return [z.read(n) for n in sorted(z.namelist()) if n.startswith("word/media/")]
+RELATIONSHIP = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
 
 
-def pdf_text(content: bytes) -> str:
+def docx_images(content: bytes) -> list[bytes]:
+    """What the document's image relationships point to inside the file, in their order; one that isn't there is left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        try:
+            relations = ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))
+        except KeyError:
+            return []
+        out = []
+        for r in relations.findall(RELATIONSHIP):
+            if "image" in r.get("Type", "") and r.get("TargetMode") != "External":
+                name = posixpath.normpath(posixpath.join("word", r.get("Target", ""))).lstrip("/")
+                try:
+                    out.append(z.read(name))
+                except KeyError:
+                    continue
+        return out
+
+
+def pdf_images(content: bytes) -> list[bytes]:
+    """Images of all pages; a page or image that can't be read is left out."""
+    out = []
+    for page in _pdf_reader(content).pages:
+        try:
+            images = list(page.images)
+        except Exception:  # readers raise errors of many kinds on broken pages
+            continue
+        out += [i.data for i in images]
+    return out
+
+
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a PNG, GIF or JPEG file, else null."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return struct.unpack(">II", content[16:24])
+    if content[:6] in (b"GIF87a", b"GIF89a") and len(content) >= 10:
+        return struct.unpack("<HH", content[6:10])
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(content) and content[at] == 0xFF:
+            if 0xC0 <= content[at + 1] <= 0xCF and content[at + 1] not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", content[at + 5 : at + 9])
+                return width, height
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def _pdf_reader(content: bytes):
     try:
         from pypdf import PdfReader
     except ImportError:
@@ -47,10 +92,15 @@ def pdf_text(content: bytes) -> str:
     reader = PdfReader(io.BytesIO(content))
     if reader.is_encrypted and not reader.decrypt(""):
         raise ValueError("The PDF is locked")
-    return "\n".join(page.extract_text() or "" for page in reader.pages)
+    return reader
+
+
+def pdf_text(content: bytes) -> str:
+    return "\n".join(page.extract_text() or "" for page in _pdf_reader(content).pages)
 
 
 READERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "pdf": pdf_text}
+IMAGES: dict[str, Callable[[bytes], list[bytes]]] = {"docx": docx_images, "pdf": pdf_images}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -65,22 +115,41 @@ def texts_of(files: DataFrame) -> DataFrame:
     return files.select("path", "kind", "content").mapInPandas(_texts, "path string, text string, error string")
 
 
-def docx_file(lines: Column) -> Column:
-    """A DOCX file with a paragraph for each line of an array."""
+def images_of(files: DataFrame, side: int = 150) -> DataFrame:
+    """path, number (from 0), width, height and image of the photos inside files that are rows.
+
+    Other kinds, broken or locked files and unreadable images give none, nor
+    do images with a side shorter than ``side``.
+    """
+    found = files.select("path", "kind", "content").mapInPandas(_images, "path string, number int, width int, height int, image binary")
+    return found.where(large_enough(F.col("width"), F.col("height"), side))
 
-    def made(paragraphs) -> bytes:
+
+PACKAGE = RELATIONSHIP[1 : RELATIONSHIP.index("}")]
+IMAGE_TYPE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
+
+
+def docx_file(lines: Column, photos: Column | None = None) -> Column:
+    """A DOCX file with a paragraph for each line of an array, and a related image for each of ``photos``."""
+
+    def made(paragraphs, images) -> bytes:
         body = "".join(f"<w:p><w:r><w:t>{escape(p or '')}</w:t></w:r></w:p>" for p in paragraphs)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+            if len(images):
+                links = "".join(f'<Relationship Id="r{i}" Type="{IMAGE_TYPE}" Target="media/i{i}.png"/>' for i in range(len(images)))
+                z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{PACKAGE}">{links}</Relationships>')
+                for i, image in enumerate(images):
+                    z.writestr(f"word/media/i{i}.png", bytes(image))
         return out.getvalue()
 
     @F.pandas_udf("binary")
-    def files(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(made)
+    def files(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for paragraphs, images in batches:
+            yield pd.Series([made(p, i) for p, i in zip(paragraphs, images)])
 
-    return files(lines)
+    return files(lines, photos if photos is not None else F.array().cast("array<binary>"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +160,21 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind not in READERS:
                     raise ValueError(f"Unsupported document type: .{kind}")
                 rows.append((path, READERS[kind](content), None))
-            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+            except Exception as e:  # a broken file costs its own row only
                 rows.append((path, None, str(e)))
         yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
 
+def _images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, kind, content in batch.itertuples(index=False):
+            try:
+                found = IMAGES[kind](content) if kind in IMAGES else []
+            except Exception:  # photos are an addition to the text, which reports the error
+                found = []
+            sized = [(path, i, *size, x) for i, x in enumerate(found) if (size := image_size(x))]
+            yield pd.DataFrame(sized, columns=["path", "number", "width", "height", "image"])
+
+
 def large_enough(width, height, side: int = 150):
     return F.least(width, height) >= side
