@@ -6,11 +6,12 @@ import atexit
 import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -197,6 +198,17 @@ def bloom_has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 != 0
 
 
+def maybe_in(bits) -> Callable[[Column], Column]:
+    """A filter that lets an xxhash64 pass if it may be among those of broadcast ``bloom_bits``."""
+
+    @F.pandas_udf("boolean")
+    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(bloom_has(bits.value, hashes.to_numpy(np.int64)))
+
+    return has
+
+
 # ---- batches --------------------------------------------------------------------
 
 

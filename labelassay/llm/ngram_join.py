@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, hot_keys, salted, saved, texts
+from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, hot_keys, maybe_in, salted, saved, texts
 from .components import components
 from .shingles import shingle_sets
 
@@ -160,17 +160,12 @@ def _checked(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bits = spark.sparkContext.broadcast(bloom_bits(ids, ids.count()))
 
-    @F.pandas_udf("boolean")
-    def wanted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashes in batches:
-            yield pd.Series(bloom_has(bits.value, hashes.to_numpy(np.int64)))
-
     @F.pandas_udf("boolean")
     def are_linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series(linked(a.tolist(), b.tolist(), words, percent), dtype=bool)
 
-    some = rows.where(wanted("hash")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    some = rows.where(maybe_in(bits)("hash")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = pairs.join(some.toDF("b", "of_b"), "b").join(some.toDF("a", "of_a"), "a")
     return saved(both.select("a", "b", are_linked("of_a", "of_b").alias("linked")), "checked-pairs")
 

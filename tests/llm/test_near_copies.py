@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from labelassay.llm.line_dedup import DISTANCE, REACH, _lines, block_count, line_dedup, normalise, simhashes
+from labelassay.llm.line_dedup import DISTANCE, REACH, _lines, block_count, edit_distance, line_dedup, normalise, similar, simhashes
 from labelassay.llm.ngram_join import SKETCH, needed, ngram_join, prefix
 from labelassay.llm.shingles import shingle_sets
 
@@ -108,6 +108,34 @@ def distance(a, b):
     return row[-1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcé", max_size=12), st.text(alphabet="abcé", max_size=12))
+def test_edit_distance(a, b):
+    assert edit_distance(a, b) == distance(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab ", max_size=14), st.text(alphabet="ab ", max_size=14))
+def test_similar_is_the_edit_similarity(a, b):
+    assert similar(a, b, 0.75) == (distance(a, b) <= int(0.25 * max(len(a), len(b))))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB1_- .\té\u00a0\u201c\u0130\n", max_size=14))
+def test_normalise_is_the_plain_one(line):
+    assert normalise(line) == re.sub(r"[\W_]+", " ", line.lower()).strip()
+
+
+def test_simhash_counts_bits(word):
+    lines = ["", "one", " ".join(word() for _ in range(40)), " ".join(f"w{i}" for i in range(700)), "two two two one"]
+    from labelassay.llm.shingles import word_hashes
+
+    for line, got in zip(lines, simhashes(lines)):
+        own = sorted(set(word_hashes([line])[0].tolist()))
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+        assert int(got) == want
+
+
 def meet(x, y, blocks):
     """Whether two SimHashes agree in a key's blocks and are within reach."""
     limits = [64 * i // blocks for i in range(blocks + 1)]
