@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +63,28 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean @ self.out + self.shift, -30, 30)))
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 5) -> QualityModel:
-    """Adam on the log loss. ``samples``: the chunks of each document that it is learned from."""
+def slopes_of(model: QualityModel, cut: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Slopes of the mean log loss over documents (their chunks), by tables, bias, out and shift."""
+    sizes = np.array([len(c) for c in cut])
+    x = np.concatenate(cut).astype(np.int64)
+    best, top = np.empty((len(x), len(model.bias)), np.int64), np.empty((len(x), len(model.bias)), np.float32)
+    for i in range(0, len(x), 512):
+        raw = model.responses(x[i : i + 512])
+        at = raw.argmax(axis=1)  # chunks, filters
+        best[i : i + 512], top[i : i + 512] = at, np.take_along_axis(raw, at[:, None, :], 1)[:, 0] + model.bias
+    act = np.maximum(top, 0)
+    mean = np.add.reduceat(act, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+    p = 1 / (1 + np.exp(-np.clip(mean @ model.out + model.shift, -30, 30)))
+    d = ((p - labels) / len(cut)).astype(np.float32)
+    d_top = np.repeat(d / sizes, sizes)[:, None] * model.out * (top > 0)
+    seen = x[np.arange(len(x))[:, None, None], (best * STRIDE)[:, :, None] + np.arange(WIDTH)]  # chunks, filters, places
+    cell = (np.arange(WIDTH) * (PAD + 1) + seen) * FILTERS + np.arange(FILTERS)[:, None]
+    d_tables = np.bincount(cell.ravel(), np.repeat(d_top.ravel(), WIDTH), model.tables.size).reshape(model.tables.shape)
+    return [d_tables, d_top.sum(axis=0), mean.T @ d, np.array([d.sum()])]
+
+
+def fit(samples: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 5) -> QualityModel:
+    """Adam on the log loss over whole texts, all their chunks."""
     prior = float(np.clip(labels.mean(), 0.02, 0.98)) if len(labels) else 0.5
     model = QualityModel.start(prior, seed)
     if len(set(labels.tolist())) < 2:
@@ -78,22 +97,10 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
         order = dice.permutation(len(samples))
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
-            cut = [samples[r] for r in rows]
-            sizes = np.array([len(c) for c in cut])
-            x, y = np.concatenate(cut).astype(np.int64), labels[rows]
             model.shift = float(values[3][0])
-            raw = model.responses(x)
-            best = raw.argmax(axis=1)  # chunks, filters
-            top = np.take_along_axis(raw, best[:, None, :], 1)[:, 0] + model.bias
-            act = np.maximum(top, 0)
-            mean = np.add.reduceat(act, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            p = 1 / (1 + np.exp(-np.clip(mean @ model.out + model.shift, -30, 30)))
-            d = ((p - y) / len(rows)).astype(np.float32)
-            d_top = np.repeat(d / sizes, sizes)[:, None] * model.out * (top > 0)
-            seen = x[np.arange(len(x))[:, None, None], (best * STRIDE)[:, :, None] + np.arange(WIDTH)]  # chunks, filters, places
-            cell = (np.arange(WIDTH) * (PAD + 1) + seen) * FILTERS + np.arange(FILTERS)[:, None]
-            d_tables = np.bincount(cell.ravel(), np.repeat(d_top.ravel(), WIDTH), model.tables.size).reshape(model.tables.shape)
-            slopes = [d_tables + 1e-5 * model.tables, d_top.sum(axis=0), mean.T @ d + 1e-4 * model.out, np.array([d.sum()])]
+            slopes = slopes_of(model, [chunks(samples[r]) for r in rows], labels[rows])
+            slopes[0] = slopes[0] + 1e-5 * model.tables
+            slopes[2] = slopes[2] + 1e-4 * model.out
             t += 1
             pace = rate * (0.5 if epoch >= epochs * 2 // 3 else 1) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for v, g, m, s in zip(values, slopes, first, second):
@@ -104,33 +111,21 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
     return model
 
 
-def _chunk_sample(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
-                c = chunks(text or "")
-                if len(c) > most:
-                    c = c[np.linspace(0, len(c) - 1, most).astype(int)]
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "x": [np.ascontiguousarray(c).tobytes()], "label": [label]}, schema=pa.schema([("doc_id", pa.int64()), ("x", pa.binary()), ("label", pa.float64())]))
-
-    return run
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 3000, chunks_per_row: int = 24, folds: int = 5) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = 3000, folds: int = 5) -> QualityModel:
     """Learn from a bounded sample of labelled documents.
 
     Only labels of documents whose crc32(doc_id) isn't divisible by ``folds``
-    are used: the ``rows`` with the least hash of doc_id, of each up to
-    ``chunks_per_row`` chunks spread over its whole text. Labels that repeat
+    are used: the ``rows`` with the least hash of doc_id, with their whole
+    texts, which is all that the driver gathers. Labels that repeat
     for a doc_id count with their mean; null ones don't count.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).where(~held_out(F.col("doc_id"), folds) & F.col("label").isNotNull())
     chosen = usable.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.mapInArrow(_chunk_sample(chunks_per_row), "doc_id long, x binary, label double").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["x"])))
-    samples = [np.frombuffer(r["x"], np.uint16).reshape(-1, CHUNK) for r in found]
-    return fit(samples, np.array([r["label"] for r in found], np.float32))
+    # Rows that share a doc_id are one sample each, up to as many as there are labels.
+    found = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).collect()
+    found = sorted(found, key=lambda r: (r["doc_id"], r["text"]))
+    return fit([r["text"] for r in found], np.array([r["label"] for r in found], np.float32))
 
 
 def quality_of(text: Column, model: QualityModel) -> Column:
