@@ -1,22 +1,25 @@
-"""URL filter: allow and block rules, else naive Bayes over segmented host and path words."""
+"""URL filter: allow and block rules, else naive Bayes over segmented host and path words.
+
+Words are counted over all pages, names are split by those counts, and naive
+Bayes learns from the urls that the rules judge. All of it is tables on Spark:
+no vocabulary is gathered on the driver or cut to its commonest words.
+"""
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, saved
+from .common import at_all_salts, bloom_bits, done_with, hot_keys, lower_ascii, maybe_in, salted, saved
 
 ALLOW, BLOCK = "allow", "block"
 
-# Words that mark unwanted sites; naive Bayes starts from them.
+# Words that mark unwanted sites; each counts once, a small prior.
 SEED_WORDS = (
     "adult ads advert affiliate bet bets betting bingo bonus casino cheap clickbait coupon crack "
     "dating download escort fake farm free gambling gamble hack hentai jackpot keygen loan loans "
@@ -25,7 +28,6 @@ SEED_WORDS = (
     "webcam win winner xxx"
 ).split()
 NUMBER = "<num>"
-_RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def parse_url(url: Column) -> tuple[Column, Column]:
@@ -56,130 +58,155 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["action"].alias("action")))
 
 
-class Segmenter:
-    """The most probable split of a name into words, by unigram counts (Viterbi).
+def best_split(name: str, cost: dict[str, float], unknown: float, longest: int) -> list[str]:
+    """The split of a name into words with the least cost (Viterbi): the most probable one by unigrams.
 
-    An unknown word of n letters counts as ``10 / (total * 10**n)``, so it is
-    cut up only where the parts are known words.
+    An unknown word of n letters counts as ``10 / (total * 10**n)``, with
+    ``unknown`` = log(total / 10), so a name is cut up only where its parts are
+    known words. ``longest`` is the length of the longest known word.
     """
-
-    def __init__(self, counts: dict[str, int], longest: int = 24):
-        self.total = max(1, sum(counts.values()))
-        self.cost = {w: math.log(self.total / c) for w, c in counts.items()}
-        self.longest = longest
-        self.split = lru_cache(1 << 16)(self._split)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        n, known = len(name), self.cost.get
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        unknown = math.log(self.total / 10)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                word = name[start:end]
-                cost = best[start] + known(word, unknown + 2.302585 * len(word))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        out, end = [], n
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return tuple(reversed(out))
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels (``h:``) and of the path (``p:``); a number is one token."""
-        out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            for run in _RUN.findall(text):
-                out += [mark + NUMBER] if run[0].isdigit() else [mark + w for w in self.split(run)]
-        return out
-
-
-def word_counts(html: Column, df: DataFrame, most_words: int = 100_000, least: int = 2) -> dict[str, int]:
-    """Counts of words (2 to 24 letters) in the visible text of all pages; the ``most_words`` commonest."""
-    text = F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where("length(word) BETWEEN 2 AND 24")
-    counted = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most_words)
-    return {r["word"]: r["count"] for r in counted.collect()}
+    n, known = len(name), cost.get
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    letter = 2.302585
+    low, at = 0.0, 0  # where an unknown word had best begin: each of its letters costs the same
+    for end in range(1, n + 1):
+        best[end], back[end] = low + unknown + letter * end, at
+        for start in range(max(0, end - longest), end):
+            price = known(name[start:end])
+            if price is not None and best[start] + price < best[end]:
+                best[end], back[end] = best[start] + price, start
+        if best[end] - letter * end < low:
+            low, at = best[end] - letter * end, end
+    out, end = [], n
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word and n of all words in the visible text of all pages; seed words count once more."""
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where("word != ''")
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in SEED_WORDS], "word string")
+    return words.unionByName(seeds).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def segment(names: DataFrame, words: DataFrame) -> DataFrame:
+    """name and parts: each of ``names`` (letters) split by the counts ``words`` (word, n).
+
+    Of every name all parts that may be words (by a Bloom filter) are looked up
+    in the table of counts, so no vocabulary is held anywhere and none is cut.
+    """
+    total, longest = words.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total, longest = total or 1, longest or 1
+    ids = words.select(F.xxhash64("word").alias("id"))
+    bits = names.sparkSession.sparkContext.broadcast(bloom_bits(ids, words.count()))
+
+    @F.pandas_udf("array<string>")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda x: [*{x[i : i + k] for i in range(len(x)) for k in range(1, min(longest, len(x) - i) + 1)}])
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for name, known, cost in batches:
+            yield pd.Series([best_split(x, {} if k is None else dict(zip(k, c)), math.log(total / 10), longest) for x, k, c in zip(name, known, cost)])
+
+    parts = names.select("name", F.explode(inside("name")).alias("word"))
+    parts = saved(parts.where(maybe_in(bits)(F.xxhash64(F.xxhash64("word")))), "url-name-parts")
+    hot = hot_keys(parts.groupBy("word").agg(F.count("*").alias("n")), parts.count())
+    known = salted(parts, hot, "word", "name").join(at_all_salts(words, hot, "word"), ["word", "salt"])
+    known = known.groupBy("name").agg(F.collect_list("word").alias("known"), F.collect_list(F.log(F.lit(float(total)) / F.col("n"))).alias("cost"))
+    out = saved(names.join(known, "name", "left").select("name", split("name", "known", "cost").alias("parts")), "url-names")
+    done_with(parts)
+    return out
+
+
+URL = ["url1", "url2"]  # two hashes that stand for a host and path
+
+
+def with_url_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("url1", F.xxhash64("host", "path")).withColumn("url2", F.xxhash64("path", F.lit(1), "host"))
+
+
+def url_tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """url1, url2 and token of each url: words of the host's labels (``h:``) and of the path (``p:``); a number is one token."""
+    runs = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+|\p{L}+"), F.lit(0)), lambda r: F.struct(F.lit(mark).alias("mark"), r.alias("name")))
+    found = urls.select(*URL, F.explode(F.concat(runs(F.col("host"), "h:"), runs(F.lower("path"), "p:"))).alias("r")).select(*URL, "r.*")
+    numbers = F.col("name").rlike("^[0-9]")
+    named = saved(found.where(~numbers), "url-runs")
+    counted = saved(named.groupBy("name").agg(F.count("*").alias("n")), "url-run-counts")
+    parts = segment(counted.select("name"), words)
+    hot = hot_keys(counted, named.count())
+    cut = salted(named, hot, "name", "url1").join(at_all_salts(parts, hot, "name"), ["name", "salt"]).select(*URL, "mark", F.explode("parts").alias("word"))
+    out = cut.select(*URL, F.concat("mark", "word").alias("token")).unionByName(found.where(numbers).select(*URL, F.concat("mark", F.lit(NUMBER)).alias("token")))
+    out = saved(out, "url-tokens")
+    done_with(named, counted, parts)
+    return out
 
 
 @dataclass
 class UrlModel:
-    """Log of the odds for block: of each token, of an unseen token, and before any."""
+    """Log of the odds for block: a table of all tokens seen (token, odds), and before any token."""
 
-    counts: dict[str, int]
-    odds: dict[str, float]
+    odds: DataFrame
     prior: float
 
-    def scorer(self) -> Callable[[str, str], float]:
-        segment = Segmenter(self.counts)
-
-        @lru_cache(1 << 16)
-        def of_host(host: str) -> float:
-            return sum(self.odds.get(t, 0.0) for t in segment.tokens(host, ""))
-
-        def score(host: str, path: str) -> float:
-            x = self.prior + of_host(host) + sum(self.odds.get(t, 0.0) for t in segment.tokens("", path))
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-
-        return score
 
+def fit_url_model(tokens: DataFrame, labels: DataFrame, smooth: float = 0.5) -> UrlModel:
+    """Multinomial naive Bayes from urls that are judged already.
 
-def fit_url_model(pages: DataFrame, most_words: int = 100_000, most_tokens: int = 200_000, smooth: float = 0.5) -> UrlModel:
-    """Word counts from the text of all pages, token counts from all urls.
-
-    A url with a seed word among its host's or path's words stands for block,
-    the others for allow; multinomial naive Bayes with add-``smooth`` counts
-    then weighs every token, so words that go along with seed words count too.
-    The vocabularies are bounded by parameters; counts are over all rows.
+    ``tokens`` is of ``url_tokens``; ``labels`` has url1, url2, n (pages) and
+    bad. All tokens of all labelled urls count. A seed word counts as if it
+    had stood once in a blocked url.
     """
-    counts = word_counts(F.col("html"), pages, most_words)
-    common = max(counts.values(), default=1)
-    counts |= {w: max(counts.get(w, 0), common // 100 + 1) for w in SEED_WORDS}
-    seeds = set(SEED_WORDS)
-
-    @F.pandas_udf("struct<tokens: array<string>, bad: boolean>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        segment = Segmenter(counts)
-        for hosts, paths in batches:
-            tokens = [segment.tokens(h, p) for h, p in zip(hosts, paths)]
-            yield pd.DataFrame({"tokens": tokens, "bad": [any(t[2:] in seeds for t in own) for own in tokens]})
-
-    host, path = parse_url(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
-    seen = saved(urls.where("host != '' OR path != ''").select("n", cut("host", "path").alias("cut")).select("n", "cut.*"), "url-tokens")
-    bad = F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("block")
-    good = F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("allow")
-    sums = seen.agg(bad, good).first()
-    by_token = seen.select("n", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(bad, good)
-    all_tokens = by_token.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.count("*").alias("kinds")).first()
-    taken = by_token.orderBy((F.col("block") + F.col("allow")).desc(), "token").limit(most_tokens).collect()
-    size = smooth * (all_tokens["kinds"] + 2 * len(seeds))
-    weigh = lambda b, a: math.log((b + smooth) / (all_tokens["block"] + size)) - math.log((a + smooth) / (all_tokens["allow"] + size))
-    odds = {m + w: weigh(1, 0) for w in SEED_WORDS for m in ("h:", "p:")}
-    odds |= {r["token"]: weigh(r["block"], r["allow"]) for r in taken}
-    return UrlModel(counts, odds, math.log(((sums["block"] or 0) + 1) / ((sums["allow"] or 0) + 1)))
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], model: UrlModel | None = None) -> DataFrame:
+    block, allow = F.when(F.col("bad"), F.col("n")).otherwise(0), F.when(F.col("bad"), 0).otherwise(F.col("n"))
+    seeds = labels.sparkSession.createDataFrame([(m + w, 1, 0) for w in SEED_WORDS for m in ("h:", "p:")], "token string, block long, allow long")
+    seen = tokens.join(labels, URL).select("token", block.cast("long").alias("block"), allow.cast("long").alias("allow")).unionByName(seeds)
+    counts = saved(seen.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-token-counts")
+    kinds, blocks, allows = counts.agg(F.count("*"), F.sum("block"), F.sum("allow")).first()
+    size = lambda n: float(n + smooth * (kinds + 1))
+    odds = F.log((F.col("block") + smooth) / size(blocks)) - F.log((F.col("allow") + smooth) / size(allows))
+    b, a = labels.agg(F.coalesce(F.sum(block), F.lit(0)), F.coalesce(F.sum(allow), F.lit(0))).first()
+    return UrlModel(counts.select("token", odds.alias("odds")), math.log((b + 1) / (a + 1)))
+
+
+def url_scores(tokens: DataFrame, model: UrlModel) -> DataFrame:
+    """url1, url2 and score: the probability of block for each url that has a token."""
+    hot = hot_keys(tokens.groupBy("token").agg(F.count("*").alias("n")), tokens.count())
+    met = salted(tokens, hot, "token", "url1").join(at_all_salts(model.odds, hot, "token"), ["token", "salt"])
+    total = met.groupBy(*URL).agg(F.sum("odds").alias("odds"))
+    return total.select(*URL, (1 / (1 + F.exp(-(F.col("odds") + F.lit(model.prior))))).alias("score"))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], teach: Callable[[Column], Column] | None = None) -> DataFrame:
     """Judge the url of every page.
 
-    Reads ``page_id``, ``url`` and, to learn, ``html``; other columns are left
-    out. ``rules`` are (action, host, path); where none fits, the model's
-    verdict is block from a score of 0.5. A null url or one without ``://`` has
-    an empty host and path and is judged by the prior alone. Repeated rows get
-    a row each; an empty table gives no rows.
+    Reads ``page_id``, ``url`` and, to learn words, ``html``; other columns are
+    left out. ``rules`` are (action, host, path); where none fits, naive Bayes
+    gives the verdict: block from a score of 0.5. It learns from the urls that
+    the rules judge (of these only where ``teach`` of the host holds, to
+    measure on others). A null url or one without ``://`` has an empty host
+    and path; it and urls without a known token are judged by the prior alone.
+    Repeated rows get a row each; an empty table gives no rows.
     Returns page_id, host, path, rule (null if none fits), verdict, score.
     """
-    model = model or fit_url_model(pages)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        of = model.scorer()
-        for hosts, paths in batches:
-            yield pd.Series([of(h, p) for h, p in zip(hosts, paths)], dtype=float)
-
     host, path = parse_url(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("match", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))
-    verdict = F.coalesce("match.action", F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW))
-    return rows.select("page_id", "host", "path", F.col("match.rule").alias("rule"), verdict.alias("verdict"), "score")
+    rows = with_url_id(pages.select("page_id", host.alias("host"), path.alias("path")))
+    urls = saved(rows.groupBy(*URL).agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n")), "urls")
+    action = matching_rule(F.col("host"), F.col("path"), rules)["action"]
+    taught = teach(F.col("host")) if teach else F.lit(True)
+    labels = urls.withColumn("action", action).where(F.col("action").isNotNull() & taught).select(*URL, "n", (F.col("action") == BLOCK).alias("bad"))
+    words = saved(word_counts(pages), "url-words")
+    tokens = url_tokens(urls, words)
+    done_with(words)
+    model = fit_url_model(tokens, labels)
+    scores = saved(urls.select(*URL, "n").join(url_scores(tokens, model), URL, "left"), "url-scores")
+    done_with(tokens)
+    hot = hot_keys(scores.select("url1", "n"), rows.count())
+    out = salted(rows, hot, "url1", "page_id").join(at_all_salts(scores.drop("n"), hot, "url1"), ["url1", "url2", "salt"])
+    out = out.withColumn("match", matching_rule(F.col("host"), F.col("path"), rules))
+    score = F.coalesce("score", F.lit(1 / (1 + math.exp(-model.prior))))
+    verdict = F.coalesce("match.action", F.when(score >= 0.5, BLOCK).otherwise(ALLOW))
+    return out.select("page_id", "host", "path", F.col("match.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))

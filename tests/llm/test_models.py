@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from labelassay.llm.decontaminate import BLOCK, answer_of, drop_leaks, find_leaks, lcs, word_codes
 from labelassay.llm.language_id import family, features, fit_svm, identify, keep_identified
 from labelassay.llm.queries import URL_RULES
-from labelassay.llm.quality_cnn import CHUNK, STEP, WIDTH, chunks, fit, score_quality
-from labelassay.llm.url_filter import Segmenter, judge_urls
+from labelassay.llm.quality_cnn import CHUNK, FILTERS, PAD, STEP, WIDTH, QualityModel, chunks, fit, score_quality, slopes_of
+from labelassay.llm.url_filter import SEED_WORDS, best_split, judge_urls
 from labelassay.llm.shingles import NOT_ALNUM, word_hashes
 
 
@@ -38,7 +38,7 @@ def test_urls(spark):
         "http://casino-win.net/en/1", "http://freecasino.net/", "http://oakriver.net/en/2", "http://oak.net", "ftp://h?x/y", "http://#a", "no scheme", "", None, "a://b://c/d", "http://é.net/ü\n/x", "http://" + "long" * 5000 + ".net/",
     ]
     html = "<html><script>var casino=1;</script><p>oak river oak river free water</p></html>"
-    urls += [f"http://oak.net/en/{i}" for i in range(40)] + [f"http://casino-win.net/en/{i}" for i in range(5)]
+    urls += [f"http://oak{i % 7}.org/en/{i}" for i in range(40)] + [f"http://casino-win{i}.com/de/{i}" for i in range(30)] + ["http://casino-win.net/en/3"]
     rows = [(i, u, html if i % 2 else None) for i, u in enumerate(urls)] + [(3, urls[3], html)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as score", "3 as rule")
     got = judge_urls(pages.drop("host", "score", "rule").join(pages.select("page_id", "host").distinct(), "page_id"), URL_RULES).collect()
@@ -59,16 +59,52 @@ def test_urls(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abcd", min_size=1, max_size=9))
 def test_segmenting_is_the_best_of_all_splits(name):
-    segment = Segmenter({"a": 50, "ab": 20, "bc": 10, "abc": 4, "cd": 9, "dab": 2})
+    counts = {"a": 50, "ab": 20, "bc": 10, "abc": 4, "cd": 9, "dab": 2}
+    total = sum(counts.values())
+    costs = {w: np.log(total / n) for w, n in counts.items()}
 
     def cost(word):
-        return segment.cost.get(word, np.log(segment.total / 10) + 2.302585 * len(word))
+        return costs.get(word, np.log(total / 10) + 2.302585 * len(word))
 
     def best(text):
         return min((cost(text[:i]) + (best(text[i:]) if text[i:] else 0) for i in range(1, len(text) + 1)), default=0)
 
-    assert "".join(segment.split(name)) == name
-    assert sum(map(cost, segment.split(name))) == pytest.approx(best(name))
+    got = best_split(name, costs, np.log(total / 10), 3)
+    assert "".join(got) == name
+    assert sum(map(cost, got)) <= best(name) + 1e-9
+
+
+def test_url_scores_are_naive_bayes(spark):
+    """Against plain counting; names are split by the words of the pages."""
+    rows = [(0, "http://oakriver.org/good/7", "oak river good oak river"), (1, "http://example.org/es/pill", "pill"), (2, "http://oak.net/good", None), (3, "http://pillriver.net/es/9", "river"), (4, "http://zz.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tokens = [["h:oak", "h:river", "h:org", "p:good", "p:<num>"], ["h:example", "h:org", "p:es", "p:pill"], ["h:oak", "h:net", "p:good"], ["h:pill", "h:river", "h:net", "p:es", "p:<num>"], ["h:zz", "h:net"]]
+    block = {m + w: 1 for w in SEED_WORDS for m in ("h:", "p:")}
+    allow = dict.fromkeys(tokens[0], 1)
+    for t in tokens[1]:
+        block[t] = block.get(t, 0) + 1
+    kinds = len({*block, *allow})
+    weigh = lambda t: np.log((block.get(t, 0) + 0.5) / (sum(block.values()) + 0.5 * (kinds + 1))) - np.log((allow.get(t, 0) + 0.5) / (sum(allow.values()) + 0.5 * (kinds + 1)))
+    got = {g["page_id"]: g["score"] for g in judge_urls(pages, URL_RULES).collect()}
+    for i, own in enumerate(tokens):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-sum(weigh(t) for t in own if t in block or t in allow))))
+
+
+def test_urls_on_held_out_hosts(spark):
+    """Learned from the rules' own verdicts on some hosts, tried on others."""
+    from pyspark.sql import functions as F
+
+    dice = random.Random(6)
+    rows = []
+    for i in range(400):
+        bad = i % 2
+        path = "/de/" if bad else "/fr/"
+        words = ["slots", "jackpots", "spins"] if bad else ["garden", "history", "music"]
+        rows.append((i, f"http://{dice.choice(words)}{dice.choice(words)}{i % 50}.com{path}{dice.choice(words)}", " ".join(words)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    taught = lambda host: F.pmod(F.xxhash64(host), F.lit(5)) > 0
+    got = judge_urls(pages, URL_RULES, taught).select("score", "verdict", taught(F.col("host")).alias("taught")).where("NOT taught").collect()
+    assert len(got) > 40 and np.mean([(g["score"] >= 0.5) == (g["verdict"] == "block") for g in got]) >= 0.95
 
 
 # ---- quality ------------------------------------------------------------------------------
@@ -102,18 +138,54 @@ def test_quality(spark, with_null_id, empty):
     assert {g["score"] for g in score_quality(with_null_id, labels.limit(0)).collect()} == {0.5}
 
 
-def test_network_slopes():
-    """A step of training lowers the loss, and the same seed gives the same model."""
+def test_training_is_repeatable_and_learns():
     dice = np.random.default_rng(0)
-    samples = [dice.integers(97, 105, (2, CHUNK)).astype(np.uint16) for _ in range(40)] + [dice.integers(33, 40, (2, CHUNK)).astype(np.uint16) for _ in range(40)]
+    made = lambda low, high: "".join(map(chr, dice.integers(low, high, 300)))
+    samples = [made(97, 105) for _ in range(40)] + [made(33, 40) for _ in range(40)]
     labels = np.array([1] * 40 + [0] * 40, np.float32)
     one, two = fit(samples, labels, epochs=10), fit(samples, labels, epochs=10)
     assert np.array_equal(one.tables, two.tables)
-    text = lambda s: bytes(s[0].astype(np.uint8)).decode()
-    p = one.score([text(s) for s in samples])
+    p = one.score(samples)
     assert p[:40].mean() > 0.7 > 0.3 > p[40:].mean()
 
 
+def test_score_is_a_plain_convolution():
+    model = QualityModel.start(0.4, 3)
+    for text in ("", "short", "x" * 126 + "ab", "".join(chr(33 + i * 7 % 90) for i in range(700))):
+        data = list(text.encode())
+        means = []
+        for at in range(0, max(1, -(-(len(data) - CHUNK) // STEP) + 1)):
+            piece = (data[at * STEP : at * STEP + CHUNK] + [PAD] * CHUNK)[:CHUNK]
+            windows = [[sum(float(model.tables[k, piece[i + k], f]) for k in range(WIDTH)) for f in range(FILTERS)] for i in range(0, CHUNK - WIDTH + 1, 2)]
+            means.append([max(0.0, max(w[f] for w in windows) + float(model.bias[f])) for f in range(FILTERS)])
+        x = float(np.mean(means, axis=0) @ model.out + model.shift)
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-5)
+
+
+def test_network_slopes():
+    """Against finite differences of the loss."""
+    dice = np.random.default_rng(2)
+    texts, labels = ["".join(map(chr, dice.integers(97, 123, n))) for n in (20, 150, 400)], np.array([1, 0, 1], np.float32)
+    model = QualityModel.start(0.5, 4)
+    model.tables, model.out, model.bias = model.tables.astype(np.float64), model.out.astype(np.float64), model.bias.astype(np.float64)
+
+    def loss():
+        p = model.score(texts)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    slopes = slopes_of(model, [chunks(t) for t in texts], labels)
+    some = [tuple(i) for i in dice.permutation(np.argwhere(np.abs(slopes[0]) > 1e-4))[:12]]
+    for values, slope, places in ((model.tables, slopes[0], some), (model.bias, slopes[1], [(k,) for k in range(FILTERS)]), (model.out, slopes[2], [(k,) for k in range(FILTERS)])):
+        for at in places:
+            was, step = values[at], 1e-5
+            values[at] = was + step
+            up = loss()
+            values[at] = was - step
+            down = loss()
+            values[at] = was
+            assert (up - down) / (2 * step) == pytest.approx(slope[at], abs=2e-3, rel=2e-2)
+
+
 # ---- language -----------------------------------------------------------------------------
 
 
