@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import located, saved
 
 ROW_BYTES = 16
 SHARDED = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -21,7 +21,7 @@ def _splitters(rows: DataFrame, ranges: int, sample: int, total: int) -> list[in
     chance. The sample is bounded and sets only where ranges end; what they
     hold is counted over all rows.
     """
-    chance = F.pmod(F.xxhash64("key", "doc_id", F.lit(17)), F.lit(1 << 20)) / (1 << 20)
+    chance = F.pmod(F.xxhash64("key", "seed", F.lit(17)), F.lit(1 << 20)) / (1 << 20)
     draws = F.floor(F.col("size") * (sample / total) + chance).cast("int")
     drawn = rows.select("key", draws.alias("n")).where("n > 0").select("key", F.explode(F.sequence(F.lit(1), F.col("n"))))
     at = ", ".join(str(i / ranges) for i in range(1, ranges))
@@ -47,7 +47,7 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
     the bytes of its text (null: none) plus 16; its key is a hash of its text.
     Splitters from a size-weighted sample cut the keys into ranges. A range
     with over twice its share of the bytes is subdivided, between keys, and a
-    key with over half a shard's bytes by doc_id. The resulting units, largest
+    key with over half a shard's bytes by a hash of its rows' places. The resulting units, largest
     first, go to the shard with the fewest bytes. So equal texts share a shard
     unless their group has over half a shard's bytes. Null texts count as
     empty; repeated rows are placed each; an empty table gives no rows.
@@ -58,11 +58,12 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = saved(
-        docs.select(
+        located(docs.select("doc_id", "text")).select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
+            F.xxhash64("at.file", "at.row").alias("seed"),  # tells rows apart that share a doc_id
         ),
         "shard-rows",
     )
@@ -85,8 +86,15 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
         F.when(hot, F.ceil(F.col("bytes") / share)).otherwise(1).cast("int").alias("pieces"),
     )
     whole = rows.join(F.broadcast(overfull), "range", "left_anti").select("*", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("piece"))
-    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("pieces")) + 1).otherwise(0)
-    divided = rows.join(F.broadcast(overfull), "range").join(keys, ["range", "key"]).withColumn("piece", piece.cast("long")).drop("pieces")
+    # A hot key has over half a shard's bytes, so there are at most twice as many as shards: they are
+    # broadcast, and no text's rows meet in one task before they are divided.
+    keys = saved(keys, "shard-keys")
+    hot_ones = F.broadcast(keys.where("pieces > 1"))
+    inside = rows.join(F.broadcast(overfull), "range")
+    piece = (F.pmod(F.xxhash64("seed", F.lit(5)), F.col("pieces")) + 1).cast("long")
+    divided = inside.join(hot_ones, ["range", "key"]).withColumn("piece", piece).drop("pieces")
+    others = inside.join(hot_ones, ["range", "key"], "left_anti").join(keys.where("pieces = 1"), ["range", "key"])
+    divided = divided.unionByName(others.withColumn("piece", F.lit(0).cast("long")).drop("pieces"))
     unit = ["range", "cut", "piece"]
     placed = saved(whole.unionByName(divided), "shard-units")
     units = placed.groupBy(*unit).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # a few for each range
@@ -99,5 +107,5 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
         filled[s] += u["n"]
         heapq.heappush(fullness, (held + u["bytes"], s))
     dealt = spark.createDataFrame(dealt, "range int, cut long, piece long, shard int, before long")
-    rank = F.row_number().over(Window.partitionBy(*unit).orderBy("key", "doc_id", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy(*unit).orderBy("key", "doc_id", "text_crc32", "seed"))
     return placed.withColumn("rank", rank).join(F.broadcast(dealt), unit).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
