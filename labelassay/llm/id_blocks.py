@@ -59,9 +59,14 @@ def _unpack(words: np.ndarray, width: int, length: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits that unsigned numbers below 2**32 need."""
-    return np.frexp(x.astype(np.float64))[1]
+    if not x.size or int(x.max()) < 1 << 16:
+        return _WIDTH[x]
+    return np.where(x >> 16, 16 + _WIDTH[x >> 16], _WIDTH[x & 0xFFFF])
 
 
 def encode_segment(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -75,8 +80,9 @@ def encode_segment(valid: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, i
     low = grid.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
     diff = grid - low[:, None]
     at = min(block - 1, int(np.ceil(percentile * block)) - 1)
-    width = _bits(np.partition(diff, at, axis=1)[:, at]) if n_blocks else np.zeros(0, int)
-    odd = _bits(diff) > width[:, None]
+    bits = _bits(diff)
+    width = np.partition(bits, at, axis=1)[:, at].astype(int) if n_blocks else np.zeros(0, int)
+    odd = bits > width[:, None]
     n_odd = odd.sum(axis=1)
     n_words = -(-block * width // 64)
     starts = np.zeros(n_blocks + 1, np.uint64)
