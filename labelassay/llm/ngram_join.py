@@ -272,19 +272,18 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
     for round_ in range(star_rounds + 1):
         found = saved(components(tried.where("linked").select("a", "b")), "components")
         placed = saved(left.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "prefix-components")
-        dice = F.xxhash64("doc", "token", F.lit(round_))
-        heads = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
-        several = heads.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component", "head")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1")
-        several = saved(several, "mixed-entries")
-        # From here on only entries with several components are read.
-        mixed = saved(placed.join(several.select("token"), "token"), "mixed-prefixes")
+        # From here on only entries with several components are read; which they are takes two numbers a token.
+        ends = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        mixed = saved(placed.join(ends.where("low != high").select("token"), "token"), "mixed-prefixes")
         done_with(placed, found, *own)
-        left, own = mixed.drop("component"), [mixed, several]
-        heavy = several.where((F.col("all") * F.col("all") - F.col("squares")) / 2 > HEAVY * F.col("all"))
+        dice = F.xxhash64("doc", "token", F.lit(round_))
+        heads = mixed.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
+        several = heads.groupBy("token").agg(F.max(F.struct("k", "component", "head")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+        heavy = saved(several.where((F.col("all") * F.col("all") - F.col("squares")) / 2 > HEAVY * F.col("all")), "heavy-entries")
+        left, own = mixed.drop("component"), [mixed, heavy]
         if round_ == star_rounds or heavy.isEmpty():
             break
         # Of each component some entries: its member of the dice there with one of the largest component.
-        heads = mixed.groupBy("token", "component").agg(F.min(F.struct(dice.alias("dice"), "doc", "n", "m")).alias("head"))
         stars = heads.join(heavy.select("token", "top"), "token").where(F.col("component") != F.col("top.component"))
         lot = F.xxhash64("token", "component", F.lit(round_))
         stars = stars.groupBy("component", F.pmod(lot, F.lit(TRIES)).alias("lot")).agg(F.min(F.struct(lot.alias("by"), F.col("head").alias("x"), F.col("top.head").alias("y"))).alias("at"))
