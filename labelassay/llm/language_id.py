@@ -130,19 +130,19 @@ def fit_language_model(docs: DataFrame, rows_per_lang: int = 400, most_rows: int
     """Fit on a bounded sample of labelled rows.
 
     Only ``text`` and non-null ``lang`` of rows whose crc32(doc_id) isn't
-    divisible by ``folds`` are used; of each language ``rows_per_lang`` rows
-    with the least hash of the text, ``most_rows`` in all. Rows count with
-    their whole texts.
+    divisible by ``folds`` are used; of each language ``rows_per_lang`` different
+    texts with a low hash, ``most_rows`` in all. Texts count whole.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id"), folds) & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    rows = rows.withColumn("dice", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("dice", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))).withColumn("key", F.xxhash64("text"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not counts:
         return LanguageModel()
     each = max(1, min(rows_per_lang, most_rows // len(counts)))
     limits = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 1.3 * each / n + 20 / n) * (1 << 30)))))
-    drawn = rows.where(F.col("dice") <= limits[F.col("lang")]).select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").collect()
+    # A text that repeats is drawn with all its rows; one of them is enough.
+    drawn = rows.where(F.col("dice") <= limits[F.col("lang")]).dropDuplicates(["lang", "key"]).select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").collect()
     taken, used = [], dict.fromkeys(counts, 0)
     for row in sorted(drawn, key=lambda r: (r["lang"], bytes(r["x"]))):
         if used[row["lang"]] < each:
