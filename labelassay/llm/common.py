@@ -209,6 +209,21 @@ def maybe_in(bits) -> Callable[[Column], Column]:
     return has
 
 
+# ---- Python workers ----------------------------------------------------------------
+
+#: What operators keep in a Python worker from task to task.
+KEPT_IN_WORKER: list[dict] = []
+
+
+def forget_kept() -> None:
+    """Give back what another operator kept in this worker: Spark reuses workers for all of them."""
+    if any(KEPT_IN_WORKER):
+        for kept in KEPT_IN_WORKER:
+            kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 # ---- batches --------------------------------------------------------------------
 
 

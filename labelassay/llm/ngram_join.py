@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, hot_keys, maybe_in, salted, saved, texts
+from .common import at_all_salts, bloom_bits, bloom_has, by_size, done_with, forget_kept, hot_keys, maybe_in, salted, saved, texts
 from .components import components
 from .shingles import shingle_sets
 
@@ -38,6 +38,7 @@ def _sizes(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for some in by_size(batch, "text"):

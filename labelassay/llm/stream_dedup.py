@@ -13,7 +13,9 @@ from .common import at_all_salts, bloom_bits, bloom_has, done_with, hot_keys, lo
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # Stores of a stream that has ended are closed at the next round of maintenance.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Without this every state partition holds 4 MB of disk for its manifest, however little it has.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",

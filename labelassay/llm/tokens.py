@@ -8,10 +8,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import KEPT_IN_WORKER
+
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 TEXT_BYTES = 1 << 19  # text given to ``encode`` at a time (one document at least)
 _loaded: dict[str, PieceTokenizer] = {}
+KEPT_IN_WORKER.append(_loaded)
 
 
 def _odd_space(text: str) -> bool:
