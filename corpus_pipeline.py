@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelassay.llm.common import saved, table
+from labelassay.llm.common import done_with, saved, table
 from labelassay.llm.decontaminate import drop_leaks
 from labelassay.llm.language_id import keep_identified
 from labelassay.llm.ngram_join import ngram_join
@@ -63,5 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table ``documents``; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done_with(docs)
+        docs = kept
     return docs
