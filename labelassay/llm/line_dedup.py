@@ -145,18 +145,32 @@ def edit_distance(a: str, b: str) -> int:
     return count
 
 
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence of two lists of words (a row of the table is one number)."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    state = full = (1 << len(a)) - 1
+    for x in b:
+        hit = state & where.get(x, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(a) - state.bit_count()
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edit distance / longer length reaches ``similarity``.
 
-    Bounds decide first: replacing word by word is no fewer edits, and letters
-    that one has too many of are no more.
+    Bounds decide first: taking out and putting in the words beside a longest
+    common subsequence of words is no fewer edits, however long these are, and
+    letters that one has too many of are no more.
     """
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer)
     if abs(len(a) - len(b)) > most:
         return False
     one, two = a.split(" "), b.split(" ")
-    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two) if x != y) <= most:
+    common = common_words(one, two)
+    if sum(sum(sorted(map(len, w))[common:]) + len(w) - common for w in (one, two)) <= most:
         return True
     if len(a) > 200:
         left, right = Counter(a), Counter(b)
