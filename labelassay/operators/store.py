@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import REFERENCE_FIELDS
+from ..storage import kept_table
 from .match import candidate_order
 from .verdict import display_brand
 
 PRODUCT = "id long, name string, " + ", ".join(f"{f} string" for f in REFERENCE_FIELDS) + ", created_at string, updated_at string, version long, deleted boolean"
+VERIFICATION = "id long, source_filename string, brand_name string, overall_status string, results_json string, created_at string, updated_at string, version long, deleted boolean"
 HEADER = ("id", "source_filename", "brand_name", "overall_status", "created_at", "updated_at")
 
 
@@ -25,16 +27,20 @@ def blank_to_null(value: Column) -> Column:
 
 
 def numbered(rows: DataFrame, high_water: int, by: str = "seq") -> DataFrame:
-    """``rows`` with new ids after ``high_water`` in the order of ``by``, no partition sorted in one task.
+    """``rows`` with new ids after ``high_water`` in the order of ``by``, gapless and unique; equal ``by`` in the order of input.
 
-    Rows are range-partitioned and numbered in their partition; the partitions' counts, a row for each, give where each begins.
+    Two passes over one written table: rows are range-partitioned by ``by`` (a
+    second key splits frequent values), sorted in their range and written once,
+    so that a row's place in its file is fixed. A count for each file, the only
+    thing that is gathered, gives the number before its first row.
     """
-    spread = rows.repartitionByRange(F.col(by)).withColumn("part", F.spark_partition_id())
-    placed = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(by)))
-    counts = spread.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("part", before.alias("before"))
-    return placed.join(F.broadcast(starts), "part").withColumn("id", (F.col("place") + F.col("before") + high_water).cast("long")).drop("part", "place", "before")
+    tie = F.monotonically_increasing_id().alias("_tie")
+    ranged = rows.select("*", tie).repartitionByRange(by, "_tie").sortWithinPartitions(by, "_tie").drop("_tie").withColumn("_range", F.spark_partition_id())
+    placed = kept_table(ranged, "numbered").select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = placed.groupBy("_range", "_file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("_file", before.alias("_before"))  # a row for each file
+    return placed.join(F.broadcast(starts), "_file").withColumn("id", (F.col("_place") + F.col("_before") + high_water + 1).cast("long")).drop("_file", "_range", "_place", "_before")
 
 
 def next_versions(current: DataFrame, changes: DataFrame, version: int, now: str, high_water: int) -> DataFrame:
@@ -58,6 +64,36 @@ def next_versions(current: DataFrame, changes: DataFrame, version: int, now: str
     return rows.select("id", *fields, "created_at", F.lit(now).alias("updated_at"), F.lit(version).cast("long").alias("version"), "deleted")
 
 
+def changes_of_run(submitted: DataFrame, current: DataFrame) -> DataFrame:
+    """What a run's corrected values change in the library, a row for each row of ``submitted``.
+
+    ``submitted`` has action, seq, product_id, name and the six fields. An
+    ``update`` writes the fields to the product it names and keeps the stored
+    name; any other action creates a product and needs a name that isn't blank.
+    Blank values become null. Returns action, seq, id, name, the fields and
+    ``outcome``: updated, created, not_found or no_name; ``next_versions`` takes
+    the rows of the first two.
+    """
+    known = latest(current).select(F.col("id").alias("product_id"), F.col("name").alias("stored_name"), F.lit(True).alias("known"))
+    update = F.coalesce(F.col("action") == "update", F.lit(False))
+    name = F.when(update, F.col("stored_name")).otherwise(blank_to_null(F.col("name")))
+    outcome = F.when(update, F.when(F.col("known"), "updated").otherwise("not_found")).when(name.isNull(), "no_name").otherwise("created")
+    fields = [blank_to_null(F.col(f)).alias(f) for f in REFERENCE_FIELDS]
+    rows = submitted.select("action", "seq", "product_id", "name", *REFERENCE_FIELDS).join(known, "product_id", "left")
+    return rows.select(F.when(update, "update").otherwise("insert").alias("action"), "seq", F.when(update, F.col("product_id")).cast("long").alias("id"), name.alias("name"), *fields, outcome.alias("outcome"))
+
+
+def upsert_of_run(current: DataFrame, submitted: DataFrame, version: int, now: str, high_water: int) -> DataFrame:
+    """New version rows of the library for a run's ``submitted`` values."""
+    changes = changes_of_run(submitted, current).where("outcome IN ('updated', 'created')")
+    return next_versions(current, changes, version, now, high_water)
+
+
+def empty_store(spark: SparkSession, schema: str = PRODUCT) -> DataFrame:
+    """A store without rows: ``PRODUCT`` or ``VERIFICATION``."""
+    return spark.createDataFrame([], schema)
+
+
 def by_name(products: DataFrame) -> DataFrame:
     """Products in order of their names, only A-Z folded."""
     return products.orderBy(candidate_order(F.col("name")), "id")

@@ -19,6 +19,7 @@ from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
 from ..sources.files import docx_file, images_of, texts_of
+from ..storage import kept_table
 from .inputs import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,10 +397,11 @@ def q30_overall_status(spark, d):
     return by.agg(V.overall_status(F.col("status")).alias("overall"), F.count("*").alias("fields"), F.count_if(F.col("status") == "match").alias("matched"))
 
 
-@query(with_views("", "photo_results") + SUMMARY + ", o AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'match' WHEN 'O' THEN 'mismatch' ELSE 'bad' END AS override FROM orders WHERE o_custkey % 3 = 0) SELECT s.run_id, coalesce(o.override, s.status) AS status, s.value, CASE WHEN o.override IS NOT NULL THEN s.status END AS computed_status, o.override IS NOT NULL AS manual_override FROM summary s LEFT JOIN (SELECT * FROM o WHERE override <> 'bad') o USING (run_id)")
+@query(with_views("", "photo_results") + SUMMARY + ", o AS (SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 3 > 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'match' WHEN o_orderstatus = 'O' THEN 'mismatch' ELSE 'bad' END AS override FROM orders) SELECT s.run_id, coalesce(o.override, s.status) AS status, s.value, CASE WHEN o.override IS NOT NULL THEN s.status END AS computed_status, o.override IS NOT NULL AS manual_override FROM summary s LEFT JOIN (SELECT * FROM o WHERE override <> 'bad') o USING (run_id)")
 def q31_manual_override(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_custkey % 3 = 0")
-    over = orders.select(F.col("o_orderkey").alias("run_id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'match' WHEN 'O' THEN 'mismatch' ELSE 'bad' END").alias("override"))
+    """A row of every order; two thirds set no override, some set one that isn't a status."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    over = orders.select(F.col("o_orderkey").alias("run_id"), F.expr("CASE WHEN o_custkey % 3 > 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'match' WHEN o_orderstatus = 'O' THEN 'mismatch' ELSE 'bad' END").alias("override"))
     return V.apply_overrides(_summary(spark, d), over, ["run_id"]).select("run_id", "status", "value", "computed_status", "manual_override")
 
 
@@ -576,17 +578,17 @@ def _saved(spark, d):
 
 
 @query(with_views("", "photo_results") + SUMMARY + """, l AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 'brand_name' ELSE 'net_contents' END AS field_key, run_id // 2 AS record FROM summary),
-hh AS (SELECT record, coalesce(nullif(max(CASE WHEN field_key = 'brand_name' THEN value END), ''), max(CASE WHEN field_key = 'brand_name' THEN expected END)) AS brand_name, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall_status, max(CASE WHEN field_key = 'net_contents' THEN status END) AS net_status FROM l GROUP BY record)
-SELECT record AS id, 'file ' || CAST(record AS STRING) || '.docx' AS source_filename, CASE WHEN record % 3 = 1 THEN 'Corrected' ELSE brand_name END AS brand_name, CASE WHEN record % 3 = 1 THEN 'pass' ELSE overall_status END AS overall_status, '2024-01-01 00:00:00' AS created_at, CASE WHEN record % 3 = 1 THEN '2024-02-02 00:00:00' ELSE '2024-01-01 00:00:00' END AS updated_at,
- net_status, record % 2 = 0 AS caps_ok, 'text ' || CAST(record AS STRING) AS raw_text FROM hh WHERE record % 3 <> 0""")
+hh AS (SELECT row_number() OVER (ORDER BY record) AS id, record, coalesce(nullif(max(CASE WHEN field_key = 'brand_name' THEN value END), ''), max(CASE WHEN field_key = 'brand_name' THEN expected END)) AS brand_name, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall_status, max(CASE WHEN field_key = 'net_contents' THEN status END) AS net_status FROM l GROUP BY record)
+SELECT id, 'file ' || CAST(record AS STRING) || '.docx' AS source_filename, CASE WHEN id % 3 = 1 THEN 'Corrected' ELSE brand_name END AS brand_name, CASE WHEN id % 3 = 1 THEN 'pass' ELSE overall_status END AS overall_status, '2024-01-01 00:00:00' AS created_at, CASE WHEN id % 3 = 1 THEN '2024-02-02 00:00:00' ELSE '2024-01-01 00:00:00' END AS updated_at,
+ net_status, record % 2 = 0 AS caps_ok, 'text ' || CAST(record AS STRING) AS raw_text FROM hh WHERE id % 3 <> 0""")
 def q42_saved_verifications(spark, d):
-    """Saved, corrected and deleted verifications, read back by id with their payload."""
+    """Verifications that are inserted, corrected and deleted, read back by id with their payload; the second batch of edits is by id."""
     first, later = "2024-01-01 00:00:00", "2024-02-02 00:00:00"
-    saved = _saved(spark, d)
     none = F.lit(None).cast("string")
-    stored = saved.select(F.col("record").alias("id"), F.concat(F.lit("file "), F.col("record").cast("string"), F.lit(".docx")).alias("source_filename"), "brand_name", "overall_status", "results_json", F.lit(first).alias("created_at"), F.lit(first).alias("updated_at"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"))
-    edits = stored.select(F.when(F.col("id") % 3 == 0, "delete").otherwise("update").alias("action"), F.col("id").alias("seq"), "id", none.alias("source_filename"), F.lit("Corrected").alias("brand_name"), F.lit("pass").alias("overall_status"), "results_json").where("id % 3 < 2")
-    changed = S.next_verifications(stored, edits, 2, later, 0)
+    inserts = _saved(spark, d).select(F.lit("insert").alias("action"), F.col("record").alias("seq"), F.lit(None).cast("long").alias("id"), F.concat(F.lit("file "), F.col("record").cast("string"), F.lit(".docx")).alias("source_filename"), "brand_name", "overall_status", "results_json")
+    stored = kept_table(S.next_verifications(S.empty_store(spark, S.VERIFICATION), inserts, 1, first, 0), "verifications")
+    edits = stored.select(F.expr("CASE id % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'keep' END").alias("action"), F.col("id").alias("seq"), "id", none.alias("source_filename"), F.lit("Corrected").alias("brand_name"), F.lit("pass").alias("overall_status"), "results_json")
+    changed = S.next_verifications(stored, edits, 2, later, stored.count())
     found = S.by_id(stored.unionByName(changed), stored.select("id"))
     read = S.decode_results(F.col("results_json"), S.RESULTS)
     return found.select("id", "source_filename", "brand_name", "overall_status", "created_at", "updated_at", read["field_summary"]["net_contents"]["status"].alias("net_status"), read["warning_caps_ok"].alias("caps_ok"), F.get(read["photos"], F.lit(0))["raw_text"].alias("raw_text"))
@@ -648,12 +650,27 @@ def q49_merge_extracted(spark, d):
     return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), S.merge_extracted(F.col("s_name"), extracted).alias("name"))
 
 
+SUBMITTED = """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'create' ELSE 'new' END AS action, s_suppkey AS seq, s_suppkey * 30 AS product_id,
+ CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' ' || s_name || ' ' END AS name, ' Corrected ' AS brand_name, CASE s_suppkey % 5 WHEN 0 THEN '  ' ELSE 'Vodka' END AS class_type,
+ '40% ALC/VOL' AS alcohol_content, CAST(NULL AS STRING) AS net_contents, 'Oak Co, Napa, CA' AS producer_info, '' AS country_of_origin FROM supplier"""
+
+
+@query(with_views(f", s AS ({SUBMITTED}), made AS (SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY seq) AS id, * FROM s WHERE action <> 'update' AND trim(coalesce(name, '')) <> ''), u AS (SELECT s.* FROM s JOIN library l ON l.id = s.product_id WHERE action = 'update') "
+       "SELECT l.id, l.name, CASE WHEN u.seq IS NULL THEN l.brand_name ELSE trim(u.brand_name) END AS brand_name, CASE WHEN u.seq IS NULL THEN l.class_type ELSE nullif(trim(u.class_type), '') END AS class_type, CASE WHEN u.seq IS NULL THEN l.net_contents END AS net_contents, CASE WHEN u.seq IS NULL THEN l.country_of_origin END AS country_of_origin, CASE WHEN u.seq IS NULL THEN '2024-01-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS updated_at FROM library l LEFT JOIN u ON u.product_id = l.id "
+       "UNION ALL SELECT id, trim(name), trim(brand_name), nullif(trim(class_type), ''), NULL, NULL, '2024-02-02 00:00:00' FROM made", "library").replace("part ,", "part,").replace(") , s AS", "), s AS"))
+def q50_upsert_of_run(spark, d):
+    """The library after a run's corrected values: products updated under their stored names, created, or refused."""
+    first, later = "2024-01-01 00:00:00", "2024-02-02 00:00:00"
+    library = view(spark, d, "library")
+    rows = library.select("id", "name", *REFERENCE_FIELDS, F.lit(first).alias("created_at"), F.lit(first).alias("updated_at"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"))
+    spark.read.parquet(f"{d}/supplier.parquet").createOrReplaceTempView("supplier")
+    changed = S.upsert_of_run(rows, spark.sql(SUBMITTED), 2, later, rows.agg(F.max("id")).first()[0] or 0)
+    return S.latest(rows.unionByName(changed)).select("id", "name", "brand_name", "class_type", "net_contents", "country_of_origin", "updated_at")
+
+
 def queries() -> dict[str, Query]:
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     return ORACLES
-
-
-__all__ = ["FIELDS", "oracle_sql", "queries", "token_sort_ratio"]

@@ -120,6 +120,33 @@ def test_numbers_and_versions(spark):
     assert [r["id"] for r in S.by_id(first, spark.createDataFrame([(2,), (2,), (5,)], "id long")).collect()] == [2]
 
 
+def test_numbering_of_large_tables(spark):
+    """More rows than a partition holds, a wide column, and one key that a third of the rows share."""
+    n = 2_000_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**12))).alias("seq"), F.col("id").alias("own"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("wide"))
+    kept = S.numbered(rows, 10)
+    lag = kept.where("id % 100000 = 11 OR id = 10 + " + str(n)).select("id", "seq").orderBy("id").collect()
+    got = kept.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_distinct("own"), F.sum(F.length("wide"))).first()
+    assert tuple(got) == (n, n, 11, n + 10, n, n * 256)
+    assert [r["seq"] for r in lag] == sorted(r["seq"] for r in lag)
+    # Equal keys keep the order of the input.
+    same = kept.where("seq = 7").agg(F.max(F.col("id")) - F.min("id") + 1, F.corr("id", "own")).first()
+    assert same[0] == -(-n // 3) and same[1] > 0.999999
+
+
+def test_upsert_of_run(spark):
+    fields = ["brand_name", "class_type", "alcohol_content", "net_contents", "producer_info", "country_of_origin"]
+    store = spark.createDataFrame([(1, "One", "b", "c", None, None, None, None, "t1", "t1", 1, False), (2, "Two", "b", "c", None, None, None, None, "t1", "t1", 1, True)], S.PRODUCT)
+    given = [("update", 1, 1, "ignored", " new ", " "), ("update", 2, 2, "x", "n", "n"), ("update", 3, None, "x", "n", "n"), ("create", 4, 1, "  ", "n", "n"), (None, 5, None, " Five ", "n", ""), ("create", 6, None, None, "n", "n")]
+    submitted = spark.createDataFrame([(*g, *([None] * 4)) for g in given], "action string, seq long, product_id long, name string, " + ", ".join(f"{f} string" for f in fields))
+    outcomes = {r["seq"]: (r["outcome"], r["name"]) for r in S.changes_of_run(submitted, store).collect()}
+    assert outcomes == {1: ("updated", "One"), 2: ("not_found", None), 3: ("not_found", None), 4: ("no_name", None), 5: ("created", "Five"), 6: ("no_name", None)}
+    now = S.latest(store.unionByName(S.upsert_of_run(store, submitted, 2, "t2", 2)))
+    assert sorted((r["id"], r["name"], r["brand_name"], r["class_type"], r["created_at"], r["updated_at"]) for r in now.collect()) == [(1, "One", "new", None, "t1", "t2"), (3, "Five", "n", None, "t2", "t2")]
+    first = S.upsert_of_run(S.empty_store(spark), submitted, 1, "t1", 0)
+    assert [(r["id"], r["name"]) for r in first.collect()] == [(1, "Five")] and first.schema.simpleString() == store.schema.simpleString()
+
+
 def test_document_images():
     png = lambda w, h: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
     out = io.BytesIO()
