@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -19,47 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-
-LOCAL_SHARED_DIR = "file:///tmp/labelassay-shared"  # only where one machine runs everything
+from ..storage import drop_table, kept_table, remove_path, scratch_path, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_made: list[tuple[SparkSession, str]] = []
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of saved tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = LOCAL_SHARED_DIR
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            remove_path(spark, path)
-        except Exception:  # the session may be gone; nothing is left to clean then
-            return
-
-
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
@@ -82,13 +42,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, and a lost executor costs only the tasks it ran.
     Whole texts go to Python in small Arrow batches.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with settings(spark, ARROW_LIMITS | {"spark.sql.parquet.compression.codec": "zstd"}):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
+    with settings(df.sparkSession, ARROW_LIMITS | {"spark.sql.parquet.compression.codec": "zstd"}):
+        return kept_table(df, name)
 
 
 def done_with(*tables: DataFrame) -> None:
@@ -98,10 +53,7 @@ def done_with(*tables: DataFrame) -> None:
     collected the plan; with a large heap that may be long after, so it is
     asked to collect now.
     """
-    for t in tables:
-        path = _paths.pop(t, None)
-        if path:
-            remove_path(t.sparkSession, path)
+    drop_table(*tables)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()
 
@@ -120,10 +72,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts_for(df: DataFrame, part_bytes: int = 16 << 20) -> int:
-    """Partitions for a shuffle of ``df``: the session's number, more if Spark's estimate of its size asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part_bytes), 1 << 20))
+def parts_for(rows: DataFrame, n_bytes: int, part_bytes: int = 16 << 20) -> int:
+    """Partitions for a shuffle of ``n_bytes``, as counted by the caller: the session's number, more if they ask for it."""
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes))
+
+
+def text_bytes(column: str = "text") -> Column:
+    """An aggregate: bytes of a text column, 16 more for each row."""
+    return F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)) + 16), F.lit(0)).cast("long")
 
 
 def scan_of(docs: DataFrame) -> DataFrame:

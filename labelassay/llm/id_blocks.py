@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, parts_for, saved, scratch_path, texts
+from .common import by_size, parts_for, saved, scratch_path, text_bytes, texts
 from .tokens import TEXT_BYTES, tokenizer
 
 MAGIC = b"PFR1"
@@ -219,7 +219,7 @@ def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0,
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_for(docs, rows.agg(text_bytes()).first()[0]), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     files = saved(ordered.mapInArrow(_writer(folder, vocabulary, end, segment_ids, file_ids), "file string, n_docs long, n_ids long"), "id-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, located, parts_for, texts
+from .common import by_size, located, parts_for, text_bytes, texts
 from .shingles import mix
 from .tokens import TEXT_BYTES, tokenizer
 
@@ -54,8 +54,8 @@ def _cutter(vocabulary: str, end: int, capacity: int, groups: int) -> Callable[[
                     rows += [(doc_id, s, min(capacity, n - s), n, raw[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
                     seeds += [seed] * -(-n // capacity)
                 columns = [*zip(*rows)]
-                # A hash of the row's place and the piece's: the same in whatever order a task meets its rows.
-                dice = mix(np.array(seeds, np.int64).view(np.uint64) ^ mix(np.array(columns[1], np.uint64)))
+                # A hash of the row's place: the same in whatever order a task meets its rows.
+                dice = mix(np.array(seeds, np.int64).view(np.uint64))
                 columns.append((dice % np.uint64(groups)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "start", "length", "doc_tokens", "ids", "pack_group"])
 
@@ -77,20 +77,21 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 2048, g
 
     Reads ``doc_id`` and ``text``; other columns are left out. A document is the
     ids of its text (null: empty) and the end id; it is cut after every
-    ``capacity`` ids, so only its last piece is short. The pieces are dealt
-    by a hash of
-    their row's place into groups of about ``group_docs`` documents, and each group is
-    packed alone by first-fit decreasing. Rows that repeat or share a doc_id
+    ``capacity`` ids, so only its last piece is short. Documents are dealt, with
+    all their pieces, by a hash of their row's place into groups of about
+    ``group_docs`` documents, and each group is packed alone by first-fit
+    decreasing. Rows that repeat or share a doc_id
     are packed each; a null doc_id stays null; an empty table gives no rows.
     Returns a row for each piece: doc_id, start, length, doc_tokens, ids
     (little-endian unsigned 32-bit), sequence_id, offset.
     """
     rows = located(docs.select("doc_id", "text"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("at.file", "at.row").alias("seed"))
-    groups = max(1, -(-rows.count() // group_docs))
+    n_rows, n_bytes = rows.agg(F.count("*"), text_bytes()).first()
+    groups = max(1, -(-n_rows // group_docs))
     pieces = rows.mapInArrow(_cutter(vocabulary, end, capacity, groups), PIECES)
     stride = 1 << 32  # more than a group has pieces
-    pieces = pieces.repartition(parts_for(docs, 8 << 20), "pack_group")
+    pieces = pieces.repartition(parts_for(docs, n_bytes, 8 << 20), "pack_group")
     return pieces.groupBy("pack_group").applyInArrow(_placer(capacity, stride), PACKED)
 
 

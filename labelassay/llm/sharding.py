@@ -47,9 +47,9 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
     the bytes of its text (null: none) plus 16; its key is a hash of its text.
     Splitters from a size-weighted sample cut the keys into ranges. A range
     with over twice its share of the bytes is subdivided, between keys, and a
-    key with over half a shard's bytes by a hash of its rows' places. The resulting units, largest
+    key with more bytes than a shard by a hash of its rows' places. The resulting units, largest
     first, go to the shard with the fewest bytes. So equal texts share a shard
-    unless their group has over half a shard's bytes. Null texts count as
+    unless their group has more than a shard's bytes. Null texts count as
     empty; repeated rows are placed each; an empty table gives no rows.
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot (gapless in
@@ -78,16 +78,16 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, sample:
     # Bytes of a key and of those before it in its range; a hot key is one row here.
     keys = rows.join(F.broadcast(overfull), "range").groupBy("range", "key").agg(F.sum("size").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    hot = F.col("bytes") > half
+    hot, alone = F.col("bytes") > 2 * half, F.col("bytes") > half
     keys = keys.select(
         "range",
         "key",
-        F.when(hot, F.lit(-1)).otherwise(F.floor(F.coalesce(before, F.lit(0)) / share)).cast("long").alias("cut"),
+        # A large group that fits into a shard is a unit of its own.
+        F.when(hot, F.lit(-1)).when(alone, -2 - F.pmod("key", F.lit(1 << 40))).otherwise(F.floor(F.coalesce(before, F.lit(0)) / share)).cast("long").alias("cut"),
         F.when(hot, F.ceil(F.col("bytes") / share)).otherwise(1).cast("int").alias("pieces"),
     )
     whole = rows.join(F.broadcast(overfull), "range", "left_anti").select("*", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("piece"))
-    # A hot key has over half a shard's bytes, so there are at most twice as many as shards: they are
-    # broadcast, and no text's rows meet in one task before they are divided.
+    # A hot key has over a shard's bytes, so there are fewer than shards: they are broadcast, and no text's rows meet in one task before they are divided.
     keys = saved(keys, "shard-keys")
     hot_ones = F.broadcast(keys.where("pieces > 1"))
     inside = rows.join(F.broadcast(overfull), "range")
