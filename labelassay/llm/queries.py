@@ -95,6 +95,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_trees import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fim import fim_digest
 
@@ -102,7 +108,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_ngram_join, op4_quality_cnn, op5_decontaminate, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing, op11_hard_negatives, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_ngram_join, op4_quality_cnn, op5_decontaminate, op6_language_id, op7_id_blocks, op8_sharding, op9_stream_dedup, op10_packing, op11_hard_negatives, op12_simhash_trees, op13_fill_in_middle)}
 
 
 OP9_SQL = """
