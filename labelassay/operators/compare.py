@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FIELDS, REFERENCE_FIELDS, Thresholds
-from ..functions.similarity import partial_ratio, token_sort_ratio
+from ..config import FIELDS, Thresholds
+from ..functions.similarity import partial_ratio, ratio_reaches, sorted_tokens, token_sort_ratio
 from ..functions.text import abv_percent, broad_category, is_blank, normalize_text, producer_keywords, state_of, volume_ml
 
 MATCH, MISMATCH, NOT_FOUND = "match", "mismatch", "not_found"
@@ -128,14 +128,17 @@ def score_shown(score: Column) -> Column:
     return F.concat(F.bround(score, 0).cast("int").cast("string"), F.lit("%"))
 
 
-def values_agree(field: str, a: Column, b: Column, ratio: Column, limits: Thresholds = Thresholds()) -> Column:
-    """Whether two readings of a field agree: no rescue, and the volume's tolerance is of ``b``."""
-    close = ratio >= (limits.warning if field == "health_warning_text" else limits.text)
+def field_close(field: str, a: Column, b: Column, limits: Thresholds = Thresholds()) -> Column:
+    """Whether the ratio that a field is compared by reaches its limit."""
+    if field == "health_warning_text":
+        return field_ratio(field, a, b) >= limits.warning
+    return ratio_reaches(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)), limits.text)
+
+
+def values_agree(field: str, a: Column, b: Column, close: Column, limits: Thresholds = Thresholds()) -> Column:
+    """Whether two readings of a field agree: no rescue, and the volume's tolerance is of ``b``; ``close`` is ``field_close``."""
     if field == "alcohol_content":
         return F.coalesce(F.abs(abv_percent(a) - abv_percent(b)) <= F.lit(limits.abv_points), close)
     if field == "net_contents":
         return F.coalesce(F.when(volume_ml(a).isNotNull() & volume_ml(b).isNotNull(), volume_gap(volume_ml(a), volume_ml(b)) <= F.lit(limits.volume_percent)), close)
     return close
-
-
-__all__ = ["MATCH", "MISMATCH", "NOT_FOUND", "REFERENCE_FIELDS", "compare_field", "scored_pairs", "values_agree"]

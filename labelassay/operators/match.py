@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REFERENCE_FIELDS, WARNING, Thresholds
-from .compare import MATCH, scored_pairs
+from ..storage import kept_table
+from .best import best_of_kinds
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,44 +19,29 @@ def candidate_order(name):
     return F.translate(name, UPPER, LOWER)
 
 
-def field_scores(readings: DataFrame, products: DataFrame, field: str, limits: Thresholds) -> DataFrame:
-    """Status and score of each pair of distinct values of a field: far fewer than pairs of rows."""
-    x = readings.select(F.col(field).alias("x")).distinct()
-    e = products.select(F.col(field).alias("e")).distinct()
-    pairs = scored_pairs(x.join(e), field, limits)
-    return pairs.select(F.col("x").alias(f"x_{field}"), F.col("e").alias(f"e_{field}"), F.col("c.status").alias(f"s_{field}"), F.coalesce("c.score", F.lit(0.0)).alias(f"p_{field}"))
-
-
 def best_matches(readings: DataFrame, products: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """For each reading (photo_id and six fields) the product (id, name and six fields) that fits best.
 
     Most fields matched first, then the sum of the scores in field order, then
-    the product's place in the library. Every product is compared with every
-    reading, as many fields are fuzzy; but comparisons are made on distinct
-    values, and equal sets of reference values are one candidate (its first
-    product). The candidates are joined to readings as a nested loop whose
-    inner side Spark broadcasts if its size is known to be small.
+    the product's place in the library. Equal readings are looked up once, and
+    equal sets of reference values are one candidate (its first product);
+    ``best_of_kinds`` finds the best of each block of candidates, an aggregate
+    the best of all. Without products nothing is matched.
     Returns photo_id, product_id (null if nothing matched), matched_count, score_sum.
     """
     fields = list(REFERENCE_FIELDS)
     place = F.struct(candidate_order(F.col("name")).alias("key"), F.col("id"))
     candidates = products.groupBy(*(F.col(f).alias(f"e_{f}") for f in fields)).agg(F.min(place).alias("place"))
-    kinds = readings.select(*(F.col(f).alias(f"x_{f}") for f in fields)).distinct()
-    pairs = kinds.join(candidates)
-    for f in fields:
-        scores = field_scores(readings, products, f, limits)
-        pairs = pairs.join(scores, pairs[f"x_{f}"].eqNullSafe(scores[f"x_{f}"]) & pairs[f"e_{f}"].eqNullSafe(scores[f"e_{f}"])).drop(scores[f"x_{f}"], scores[f"e_{f}"])
-    matched = reduce(lambda a, b: a + b, [F.when(F.col(f"s_{f}") == MATCH, 1).otherwise(0) for f in fields])
-    score = reduce(lambda a, b: a + b, [F.col(f"p_{f}") for f in fields])
-    ranked = pairs.withColumn("matched", matched).withColumn("score", score)
-    # The best by an aggregate, which combines before the shuffle: the place breaks ties, so it is turned to an order first.
-    top = F.min(F.struct((-F.col("matched")).alias("m"), (-F.col("score")).alias("s"), F.col("place").alias("place"))).alias("top")
-    best = ranked.groupBy(*(f"x_{f}" for f in fields)).agg(top)
+    # Written, so that a kind has the same number wherever it is read.
+    kinds = kept_table(readings.select(*(F.col(f).alias(f"x_{f}") for f in fields)).distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    found = best_of_kinds(kinds, candidates, limits)
+    top = F.min(F.struct((-F.col("matched")).alias("m"), (-F.col("score")).alias("s"), F.struct("place_key", "place_id").alias("place"))).alias("top")
+    best = kinds.join(found.groupBy("kind").agg(top), "kind", "left")
     same = reduce(lambda a, b: a & b, [readings[f].eqNullSafe(best[f"x_{f}"]) for f in fields])
     hit = F.col("top.m") < 0
     return readings.join(best, same).select(
         "photo_id",
-        F.when(hit, F.col("top.place.id")).cast("long").alias("product_id"),
+        F.when(hit, F.col("top.place.place_id")).cast("long").alias("product_id"),
         F.when(hit, -F.col("top.m")).otherwise(0).cast("int").alias("matched_count"),
         F.when(hit, -F.col("top.s")).otherwise(0.0).alias("score_sum"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FIELDS, Thresholds
 from ..functions.text import is_blank
-from .compare import MATCH, MISMATCH, NOT_FOUND, field_ratio, values_agree
+from .compare import MATCH, MISMATCH, NOT_FOUND, field_close, values_agree
 
 DISAGREEMENT = "disagreement"
 
@@ -17,50 +17,65 @@ def group_key(product_id: Column, mode: Column, index: Column) -> Column:
     return F.when(product_id.isNotNull(), F.concat(F.lit("product:"), product_id.cast("string"))).when(mode == "cola", "cola").otherwise(F.concat(F.lit("standalone:"), index.cast("string")))
 
 
-def aggregate_field(comparisons: DataFrame, field: str, keys: list[str], limits: Thresholds = Thresholds()) -> DataFrame:
+def aggregate_field(comparisons: DataFrame, field: str, keys: list[str], limits: Thresholds = Thresholds(), readings: bool = True) -> DataFrame:
     """``group_summary`` of one field, whose rows alone are in ``comparisons``; without ``field_key``."""
-    return group_summary(comparisons.withColumn("field_key", F.lit(field)), keys, limits, (field,)).drop("field_key")
+    return group_summary(comparisons.withColumn("field_key", F.lit(field)), keys, limits, (field,), readings).drop("field_key")
 
 
-def group_summary(comparisons: DataFrame, keys: list[str], limits: Thresholds = Thresholds(), fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def group_summary(comparisons: DataFrame, keys: list[str], limits: Thresholds = Thresholds(), fields: tuple[str, ...] = FIELDS, readings: bool = True) -> DataFrame:
     """One row for each group and ``field_key`` from its photos' readings.
 
     ``comparisons`` has the keys, field_key, index, extracted, expected and
     status. A match of any photo wins, with the first such photo's value.
     Without any reading it is ``not_found``; if all readings agree with the
-    first one, ``mismatch`` with that value, else ``disagreement`` with all
-    readings. Returns the keys, field_key, status, value, source_index,
-    n_values, expected and ``readings`` (those of a disagreement, in order of index).
+    first one, ``mismatch`` with that value, else ``disagreement``. Returns the
+    keys, field_key, status, value, source_index, n_values, expected and, if
+    asked for, ``readings``: those of a disagreement in order of index, a list
+    as long as the group.
+
+    A group's state (first match, first reading, counts) is merged before the
+    shuffle, and readings are compared once for each distinct value.
     """
     keys = [*keys, "field_key"]
-    read = F.filter(F.array_sort(F.collect_list(F.struct("index", "extracted"))), lambda r: ~is_blank(r["extracted"]))
+    matched, read = F.col("status") == MATCH, ~is_blank(F.col("extracted"))
     groups = comparisons.groupBy(*keys).agg(
-        F.min_by(F.struct("extracted", "index"), F.when(F.col("status") == MATCH, F.col("index"))).alias("hit"),
-        F.min(F.when(F.col("status") == MATCH, F.col("index"))).alias("hit_index"),
-        read.alias("read"),
-        F.min_by("expected", "index").alias("expected"),
+        F.min(F.when(matched, F.struct("index", "extracted"))).alias("hit"),
+        F.min(F.when(read, F.struct("index", "extracted"))).alias("first"),
+        F.count_if(read).alias("n"),
+        F.min(F.struct("index", "expected"))["expected"].alias("expected"),
     )
-    first = F.get("read", F.lit(0))["extracted"]
-    others = groups.select(*keys, first.alias("x"), F.explode(F.slice("read", 2, F.greatest(F.size("read") - 1, F.lit(1)))).alias("r")).select(*keys, "x", F.col("r.extracted").alias("e"))
+    found = F.col("hit").isNotNull()
+    # Of the first value itself only further photos count.
+    values = comparisons.where(read).groupBy(*keys, F.col("extracted").alias("e")).agg(F.count("*").alias("times"))
+    others = values.join(groups.where(~found & (F.col("n") > 1)).select(*keys, F.col("first.extracted").alias("x")), keys).where((F.col("e") != F.col("x")) | (F.col("times") > 1))
     x, e, agree = F.col("x"), F.col("e"), F.lit(None)
-    pairs = others.select("field_key", "x", "e").distinct().withColumn("ratio", _ratio_of_any(x, e, fields))
+    pairs = others.select("field_key", "x", "e").distinct().withColumn("close", _close_of_any(x, e, fields, limits))
     for f in fields:
-        agree = F.when(F.col("field_key") == f, values_agree(f, x, e, F.col("ratio"), limits)).otherwise(agree)
+        agree = F.when(F.col("field_key") == f, values_agree(f, x, e, F.col("close"), limits)).otherwise(agree)
     agreed = others.join(pairs.select("field_key", "x", "e", agree.alias("agree")), ["field_key", "x", "e"]).groupBy(*keys).agg(F.bool_and("agree").alias("agree"))
     out = groups.join(agreed, keys, "left")
-    status = F.when(F.col("hit_index").isNotNull(), MATCH).when(F.size("read") == 0, NOT_FOUND).when(F.coalesce("agree", F.lit(True)), MISMATCH).otherwise(DISAGREEMENT)
-    value = F.when(F.col("hit_index").isNotNull(), F.col("hit.extracted")).when(F.coalesce("agree", F.lit(True)), first)
-    index = F.when(F.col("hit_index").isNotNull(), F.col("hit_index")).when(F.coalesce("agree", F.lit(True)), F.get("read", F.lit(0))["index"])
-    return out.select(*keys, status.alias("status"), value.alias("value"), index.alias("source_index"), F.when(status == DISAGREEMENT, F.size("read")).otherwise(0).cast("int").alias("n_values"), "expected", F.when(status == DISAGREEMENT, F.col("read")).alias("readings"))
+    same = F.coalesce("agree", F.lit(True))
+    status = F.when(found, MATCH).when(F.col("n") == 0, NOT_FOUND).when(same, MISMATCH).otherwise(DISAGREEMENT)
+    shown = F.when(found, F.col("hit")).when(same, F.col("first"))
+    out = out.select(*keys, status.alias("status"), shown["extracted"].alias("value"), shown["index"].alias("source_index"), F.when(status == DISAGREEMENT, F.col("n")).otherwise(0).cast("int").alias("n_values"), "expected")
+    return with_readings(out, comparisons, keys) if readings else out
+
+
+def with_readings(summary: DataFrame, comparisons: DataFrame, keys: list[str]) -> DataFrame:
+    """``summary`` with ``readings``: all that photos of a disagreeing group say, in order of index; null for others."""
+    wanted = summary.where(F.col("status") == DISAGREEMENT).select(*keys)
+    said = comparisons.where(~is_blank(F.col("extracted"))).join(wanted, keys, "left_semi")
+    lists = said.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", "extracted"))).alias("readings"))
+    return summary.join(lists, keys, "left")
 
 
-def _ratio_of_any(x: Column, e: Column, fields: tuple[str, ...]) -> Column:
-    """The ratio by ``field_key``; the warning's is worked out only for its rows."""
-    plain = field_ratio("brand_name", x, e)
+def _close_of_any(x: Column, e: Column, fields: tuple[str, ...], limits: Thresholds) -> Column:
+    """``field_close`` by ``field_key``; the warning's is worked out only for its rows."""
     if "health_warning_text" not in fields:
-        return plain
+        return field_close("brand_name", x, e, limits)
     warning = F.col("field_key") == "health_warning_text"
-    return F.when(warning, field_ratio("health_warning_text", F.when(warning, x), F.when(warning, e))).otherwise(plain)
+    text = field_close("brand_name", F.when(~warning, x), F.when(~warning, e), limits)
+    return F.when(warning, field_close("health_warning_text", F.when(warning, x), F.when(warning, e), limits)).otherwise(text)
 
 
 def group_headers(photos: DataFrame) -> DataFrame:

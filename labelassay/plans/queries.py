@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CATEGORY, CATEGORY_KEYWORDS, CLASS_KEYWORDS, CLASS_SUFFIXES, COUNTRY_NAMES, FIELDS, NOISE_WORDS, PRODUCER_VERBS, REFERENCE_FIELDS, STATE_CODES, STATE_NAMES, STATES, WARNING
 from ..functions import extract as X
 from ..functions import text as T
-from ..functions.similarity import partial_ratio, token_sort_ratio
+from ..functions.similarity import partial_ratio
 from ..operators import compare as C
 from ..operators import documents as D
 from ..operators import layout as L
@@ -289,6 +289,21 @@ def q20_partial_ratio(spark, d):
     return view(spark, d, "label_text").select("label_id", partial_ratio(T.normalize_text(x), T.normalize_text(e)).alias("ratio"))
 
 
+WINDOWS = f"""pairs AS (SELECT x, e, CASE WHEN length(x) <= length(e) THEN x ELSE e END AS a, CASE WHEN length(x) <= length(e) THEN e ELSE x END AS b
+  FROM (SELECT DISTINCT {norm('brand_name')} AS x FROM readings) CROSS JOIN (SELECT DISTINCT {norm('class_type')} AS e FROM library)),
+turned AS (SELECT x, e, a, b FROM pairs UNION ALL SELECT x, e, b, a FROM pairs WHERE length(a) = length(b)),
+cut AS (SELECT x, e, a, substr(b, greatest(s, 0) + 1, s + length(a) - greatest(s, 0)) AS part FROM (SELECT *, unnest(range(1 - length(a), length(b))) AS s FROM turned WHERE length(a) > 0)),
+tried AS (SELECT DISTINCT a, part FROM cut), scores AS (SELECT a, part, {ratio('a', 'part')} AS score FROM tried)"""
+
+
+@query(with_views(", " + WINDOWS + " SELECT p.x, p.e, CASE WHEN length(p.a) = 0 THEN CASE WHEN length(p.b) = 0 THEN 100 ELSE 0 END ELSE round(max(score), 6) END AS ratio FROM pairs p LEFT JOIN cut USING (x, e) LEFT JOIN scores s ON s.a = cut.a AND s.part = cut.part GROUP BY p.x, p.e, p.a, p.b", "library", "readings").replace(") , pairs", "), pairs").replace("supplier ,", "supplier,"))
+def q51_partial_ratio_pairs(spark, d):
+    """The best stretch of every brand that was read with every designation of the library."""
+    x = view(spark, d, "readings").select(T.normalize_text(F.col("brand_name")).alias("x")).distinct()
+    e = view(spark, d, "library").select(T.normalize_text(F.col("class_type")).alias("e")).distinct()
+    return x.join(e).withColumn("ratio", F.round(partial_ratio(F.col("x"), F.col("e")), 6))
+
+
 def _compared(spark, d, field, broad=False):
     return C.scored_pairs(_pairs(spark, d, field), field, broad_class=broad).select("x", "e", F.col("c.status").alias("status"), F.round("c.score", 6).alias("score"))
 
@@ -375,7 +390,7 @@ def q28_match_kind(spark, d):
 
 
 def _summary(spark, d):
-    return V.aggregate_field(view(spark, d, "photo_results"), "net_contents", ["run_id"])
+    return V.aggregate_field(view(spark, d, "photo_results"), "net_contents", ["run_id"], readings=False)
 
 
 SUMMARY = f""", g AS (SELECT run_id, min(index) FILTER (WHERE status = 'match') AS hit_index, min_by(extracted, index) FILTER (WHERE status = 'match') AS hit,
@@ -388,7 +403,7 @@ summary AS (SELECT run_id, CASE WHEN hit_index IS NOT NULL THEN 'match' WHEN k =
 
 @query(with_views("", "photo_results") + SUMMARY + " SELECT * FROM summary")
 def q29_group_summary(spark, d):
-    return _summary(spark, d).drop("readings")
+    return _summary(spark, d)
 
 
 @query(with_views("", "photo_results") + SUMMARY + " SELECT run_id % 97 AS batch, CASE WHEN bool_and(status = 'match') THEN 'pass' ELSE 'needs_review' END AS overall, count(*) AS fields, count(*) FILTER (WHERE status = 'match') AS matched FROM summary GROUP BY 1")
@@ -554,20 +569,22 @@ def _compared_run(spark, d):
     """Every photo of every run against its reference, in long form, with its group."""
     readings = view(spark, d, "readings").drop("run_id").withColumn("health_warning_text", F.when(F.col("photo_id") % 3 > 0, WARNING))
     photos = _expected(spark, d).join(readings, "photo_id").withColumn("group_key", V.group_key(F.col("product_id"), F.col("mode"), F.col("index")))
-    # The references are read twice below; without this all products would be matched anew each time.
-    return C.compare_product(photos.persist(), ["run_id", "group_key", "index"], broad_class=F.col("mode") == "cola").persist()
+    # Read several times below: written once, as the matching before it is costly.
+    compared = C.compare_product(kept_table(photos, "run-photos"), ["run_id", "group_key", "index"], broad_class=F.col("mode") == "cola")
+    return kept_table(compared, "run-comparisons")
 
 
 @query()
 def q41_run_summary(spark, d):
     """Each group's seven fields; tests hold it against a plain version."""
-    fields = V.group_summary(_compared_run(spark, d), ["run_id", "group_key"])
-    return fields.drop("readings")
+    return V.group_summary(_compared_run(spark, d), ["run_id", "group_key"], readings=False)
 
 
 def _saved(spark, d):
     """Version rows of saved verifications: a record for each group of photo results, its fields by the run's parity."""
-    fields = _summary(spark, d).withColumn("field_key", F.when(F.col("run_id") % 2 == 0, "brand_name").otherwise("net_contents")).withColumn("record", F.floor(F.col("run_id") / 2))
+    results = view(spark, d, "photo_results").withColumn("field_key", F.lit("net_contents"))
+    fields = V.group_summary(results, ["run_id"], fields=("net_contents",))
+    fields = fields.withColumn("field_key", F.when(F.col("run_id") % 2 == 0, "brand_name").otherwise("net_contents")).withColumn("record", F.floor(F.col("run_id") / 2))
     fields = fields.withColumn("computed_status", F.lit(None).cast("string")).withColumn("manual_override", F.lit(False))
     marks = fields.select("record").distinct().select("record", (F.col("record") % 2 == 0).alias("caps_ok"), F.lit(None).cast("boolean").alias("bold_ok"))
     none = F.lit(None).cast("map<string,string>")

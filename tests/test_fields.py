@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelassay.config import WARNING
 from labelassay.functions import extract as X
 from labelassay.functions import text as T
-from labelassay.functions.similarity import _lcs, best_window, indel_ratio, partial_ratio, token_sort_ratio
+from labelassay.functions.similarity import best_window, indel_ratio, partial_ratio, ratio_reaches, token_sort_ratio
 from labelassay.operators import compare as C
 from labelassay.operators import verdict as V
 
@@ -84,7 +84,6 @@ def test_addresses(spark):
 @settings(max_examples=15, deadline=None)
 @given(st.text(alphabet="abc é", max_size=8), st.text(alphabet="abc é", max_size=8))
 def test_subsequences(spark, a, b):
-    assert _lcs(a, b) == lcs_table(a, b) == _lcs(b, a)
     total = len(a) + len(b)
     want = 100.0 if not total else 200.0 * lcs_table(a, b) / total
     assert value(spark, indel_ratio(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
