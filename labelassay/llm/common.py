@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,34 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..storage import drop_table, kept_table, remove_path, scratch_path, shared_dir
+from ..storage import drop_table, kept_table, remove_path, scratch_path, settings, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for the actions inside; the former ones come back after."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
     This cuts the lineage, and a lost executor costs only the tasks it ran.
     Whole texts go to Python in small Arrow batches.
     """
-    with settings(df.sparkSession, ARROW_LIMITS | {"spark.sql.parquet.compression.codec": "zstd"}):
+    with settings(df.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
         return kept_table(df, name)
 
 
