@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CLASS_KEYWORDS, CLASS_SUFFIXES
-from .text import found, stripped
+from .text import first_by_rank, found, stripped, trie_pattern
 
 # Patterns that decide what is found.
 ABV_AFTER = r"(?iuU)(\d{1,3}(?:\.\d+)?)\s*%\s*ALC(?:OHOL)?\.?\s*(?:BY|/)\s*VOL\.?"
@@ -58,17 +58,22 @@ def strip_trailing_noise(text: Column) -> Column:
     return stripped(F.regexp_replace(text, TRAILING, ""))
 
 
+# At each place the longest designation, its words parted by up to 20 white-space characters, and a base word right after it.
+DESIGNATION = rf"(?iuU){trie_pattern(CLASS_KEYWORDS, r'\s{1,20}')}"
+DESIGNATION_AT = rf"(?=({DESIGNATION}(?:\s+(?:{'|'.join(CLASS_SUFFIXES)})(?![A-Za-z]))?))"
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")  # letters that match these when case is ignored
+
+
 def extract_class_type(text: Column) -> Column:
     """The longest designation that occurs anywhere, with a base word right after it.
 
-    Up to 20 white-space characters may part the words of a designation.
+    Up to 20 white-space characters may part the words of a designation. The
+    text is scanned once for all designations.
     """
-    plain = F.lower(F.translate(F.regexp_replace(text, r"(?U)\s{1,20}", " "), "\u017f", "s"))
-    keyword = F.get(F.filter(F.array(*map(F.lit, CLASS_KEYWORDS)), lambda k: F.contains(plain, k)), F.lit(0))
-    words = F.replace(keyword, F.lit(" "), F.lit(r"\s{1,20}"))
-    suffixes = "|".join(CLASS_SUFFIXES)
-    hit = F.regexp_substr(text, F.concat(F.lit("(?iuU)"), words, F.lit(rf"(?:\s+(?:{suffixes})(?![A-Za-z]))?")))
-    return F.coalesce(F.nullif(strip_trailing_noise(strip_class_label(collapsed(hit))), F.lit("")), F.initcap(keyword))
+    word = lambda h: F.lower(F.translate(F.regexp_replace(F.regexp_extract(h, f"^{DESIGNATION}", 0), r"(?U)\s+", " "), *FOLDED))
+    best = first_by_rank(F.regexp_extract_all(text, F.lit(DESIGNATION_AT), F.lit(1)), CLASS_KEYWORDS, word)
+    keyword = F.get(F.array(*map(F.lit, CLASS_KEYWORDS)), best["rank"])
+    return F.coalesce(F.nullif(strip_trailing_noise(strip_class_label(collapsed(best["hit"]))), F.lit("")), F.initcap(keyword))
 
 
 def extract_fields(text: Column) -> dict[str, Column]:

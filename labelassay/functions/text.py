@@ -7,7 +7,9 @@ match, so every lookup here turns '' into null.
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,15 +127,36 @@ def producer_keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~F.array_contains(noise, w) & ~w.rlike(r"(?U)^\d+$") & (F.length(w) > 1)))
 
 
-EDGE = "\x02"  # stands where a word begins or ends
+def trie_pattern(words: list[str], space: str = " ") -> str:
+    """A pattern for any of the words, the longest that begins at a place; common beginnings are written once."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
 
+    def below(node: dict) -> str:
+        ways = [(space if letter == " " else re.escape(letter)) + below(child) for letter, child in node.items() if letter]
+        if not ways:
+            return ""
+        whole = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{whole})?" if "" in node else whole
 
-def edged(text: str) -> str:
-    return " ".join(EDGE + word + EDGE for word in text.split(" "))
+    return below(trie)
+
+
+def first_by_rank(hits: Column, words: list[str], word: Callable[[Column], Column]) -> Column:
+    """Of ``hits`` the first one whose word (as in ``words``) stands first there, as ``rank`` (from 0) and ``hit``; null without any."""
+    ranks = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, i)))
+    return F.array_min(F.transform(hits, lambda h, i: F.struct(F.coalesce(F.try_element_at(ranks, word(h)), F.lit(len(words))).alias("rank"), i.alias("at"), h.alias("hit"))))
+
+
+# At each place the longest designation that is whole words there.
+CATEGORY_WORDS = rf"(?U)(?=(\b{trie_pattern(CATEGORY_KEYWORDS)}\b))"
 
 
 def broad_category(text: Column) -> Column:
     """Broad category of the longest designation that stands in the text as whole words."""
-    marked = F.regexp_replace(normalize_text(text), r"(?U)\b", EDGE)
-    known = F.array(*(F.struct(F.lit(edged(k)).alias("word"), F.lit(CATEGORY[k]).alias("category")) for k in CATEGORY_KEYWORDS))
-    return F.get(F.filter(known, lambda k: F.contains(marked, k["word"])), F.lit(0))["category"]
+    best = first_by_rank(F.regexp_extract_all(normalize_text(text), F.lit(CATEGORY_WORDS), F.lit(1)), CATEGORY_KEYWORDS, lambda h: h)
+    return F.get(F.array(*(F.lit(CATEGORY[k]) for k in CATEGORY_KEYWORDS)), best["rank"])

@@ -160,12 +160,14 @@ def best_in_block(kind: int, xs: dict[str, Values], es: dict[str, Values], limit
     bound = sum(f.bound[c[rows]] for f, c in zip(fields, codes))
     rows, bound = rows[bound >= reached], bound[bound >= reached]
     order = np.argsort(-bound, kind="stable")
-    for s in range(0, len(order), 64):
-        some = order[s : s + 64]
+    at, size = 0, 64
+    while at < len(order):
+        some = order[at : at + size]
         some = some[bound[some] >= MATCHED * best[0] + best[1] - SLACK]
         if not len(some):
             break
         compare(rows[some])
+        at, size = at + size, 2 * size
     return best
 
 
