@@ -19,7 +19,8 @@ from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
 from ..sources.files import docx_file, images_of, texts_of
-from ..storage import kept_table
+from ..storage import kept_table, scratch_path
+from ..streaming.arrivals import run_arrivals
 from .inputs import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -667,6 +668,23 @@ def q49_merge_extracted(spark, d):
     return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), S.merge_extracted(F.col("s_name"), extracted).alias("name"))
 
 
+@query(f"""WITH e AS (SELECT event_id, {FOLD.format(KEY)} AS k, event_type = 'click' AS bad FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, bad ORDER BY event_id) AS n FROM e)
+SELECT event_id AS doc_id, CASE WHEN bad THEN 'failed' WHEN k = '' OR (n = 1 AND k NOT IN (SELECT {FOLD.format('c_name')} FROM customer)) THEN 'saved' ELSE 'duplicate' END AS outcome FROM f""")
+def q52_stream_dedup(spark, d):
+    """The documents of q43 as a stream of four drops in the order of their ids, with the brands claimed in keyed state."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    docs = events.select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 50).alias("batch_id"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("filename"), F.expr(KEY).alias("brand"), F.when(F.col("event_type") == "click", "unreadable").alias("error"))
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    folder = scratch_path(spark, "arrivals")
+    drop = F.floor((F.col("doc_id") - (least or 0)) * 4 / ((most or 0) - (least or 0) + 1))
+    for k in range(4):
+        docs.where(drop == k).coalesce(1).write.mode("append").parquet(f"{folder}/drops")
+    arrivals = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drops")
+    known = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("key"))
+    return run_arrivals(arrivals, folder, known).select("doc_id", "outcome")
+
+
 SUBMITTED = """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'create' ELSE 'new' END AS action, s_suppkey AS seq, s_suppkey * 30 AS product_id,
  CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' ' || s_name || ' ' END AS name, ' Corrected ' AS brand_name, CASE s_suppkey % 5 WHEN 0 THEN '  ' ELSE 'Vodka' END AS class_type,
  '40% ALC/VOL' AS alcohol_content, CAST(NULL AS STRING) AS net_contents, 'Oak Co, Napa, CA' AS producer_info, '' AS country_of_origin FROM supplier"""
