@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIELDS, PRODUCER_ANCHORS, Thresholds
@@ -18,48 +18,58 @@ def confident_words(words: DataFrame, limits: Thresholds = Thresholds()) -> Data
 
 
 def group_lines(words: DataFrame) -> DataFrame:
-    """A row for each line: text, mean height, top, left and first_seq (the first word's place)."""
+    """A row for each line: text, mean height, top, left and first_seq (the first word's place).
+
+    Words are shuffled by photo, so what follows for each photo needs no further shuffle.
+    """
     line = ["photo_id", "block_num", "par_num", "line_num"]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("left", "word_seq", "text"))), lambda w: w["text"])
-    lines = words.groupBy(*line).agg(F.array_join(ordered, " ").alias("text"), F.avg("height").alias("height"), F.min("top").alias("top"), F.min("left").alias("left"), F.min("word_seq").alias("first_seq"))
+    lines = words.repartition("photo_id").groupBy(*line).agg(F.array_join(ordered, " ").alias("text"), F.avg("height").alias("height"), F.min("top").alias("top"), F.min("left").alias("left"), F.min("word_seq").alias("first_seq"))
     return lines.withColumn("text", stripped(F.col("text"))).where("text != ''")
 
 
-def cluster(lines: DataFrame, start: DataFrame, max_lines: int, gap: float, ratio: float = 0.6, down: bool = True) -> DataFrame:
-    """The lines that belong together with the start line of each photo.
+def photo_lines(lines: DataFrame) -> DataFrame:
+    """photo_id and ``lines``: all lines of a photo in reading order (top, left, first_seq)."""
+    first = ["top", "left", "first_seq"]
+    rest = [c for c in lines.columns if c not in ("photo_id", *first)]
+    return lines.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("lines"))
+
+
+def walk(lines: Column, at: Column, max_lines: int, gap: float, ratio: float = 0.6, down: bool = True) -> Column:
+    """The lines that belong together with the one at place ``at`` (from 0), that one first.
 
-    ``start`` has photo_id and first_seq. From the start, in reading order (or
-    against it), lines are taken while each one's height is within ``ratio`` of
-    the line before and the space between is at most ``gap`` times that line's
-    height. As each step looks only at the neighbour, the first failing line
-    ends the cluster. Returns the lines taken, with ``step`` from 0.
+    Going down (or up), lines are taken while each one's height is within
+    ``ratio`` of the line before and the space between is at most ``gap`` times
+    that line's height; the first that fails ends it, as do ``max_lines``. A null place gives null.
     """
-    order = [F.col("top"), F.col("left"), F.col("first_seq")]
-    placed = lines.withColumn("pos", F.row_number().over(Window.partitionBy("photo_id").orderBy(*order)))
-    origin = placed.join(start.select("photo_id", F.col("first_seq").alias("start_seq")), "photo_id").where("first_seq = start_seq").select("photo_id", F.col("pos").alias("origin"))
-    away = (F.col("pos") - F.col("origin")) if down else (F.col("origin") - F.col("pos"))
-    near = placed.join(origin, "photo_id").withColumn("step", away).where((F.col("step") >= 0) & (F.col("step") < max_lines))
-    w = Window.partitionBy("photo_id").orderBy("step")
-    h, before = F.col("height"), F.lag("height").over(w)
-    space = F.col("top") - (F.lag("top").over(w) + before) if down else F.lag("top").over(w) - (F.col("top") + h)
-    ok = (F.col("step") == 0) | ((h >= before * ratio) & (h <= before / ratio) & (space <= before * gap))
-    kept = near.withColumn("ok", ok).withColumn("all_ok", F.min("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return kept.where("all_ok").drop("ok", "all_ok", "pos", "origin")
+    if down:
+        near = F.slice(lines, at + 1, F.lit(max_lines))
+    else:
+        low = F.greatest(at + 2 - max_lines, F.lit(1))
+        near = F.reverse(F.slice(lines, low, at + 2 - low))
 
+    def step(s: Column, line: Column) -> Column:
+        before = F.element_at(s["taken"], -1)
+        h = before["height"]
+        space = line["top"] - (before["top"] + h) if down else before["top"] - (line["top"] + line["height"])
+        fits = ~s["done"] & (line["height"] >= h * ratio) & (line["height"] <= h / ratio) & (space <= h * gap)
+        fits = F.coalesce(fits, F.lit(False))
+        return F.struct(F.when(fits, F.array_append(s["taken"], line)).otherwise(s["taken"]).alias("taken"), (~fits).alias("done"))
 
-def _joined(lines: DataFrame, order: Column) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), "text")))
-    return lines.groupBy("photo_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("value"))
+    start = F.struct(F.slice(near, 1, 1).alias("taken"), F.lit(False).alias("done"))
+    return F.aggregate(F.slice(near, F.lit(2), F.lit(max_lines)), start, step, lambda s: s["taken"])
 
 
-def brand_names(lines: DataFrame) -> DataFrame:
-    """photo_id and brand_name: the tallest line that is no other field, with what belongs to it."""
-    lines = lines.where(~F.col("text").rlike(NOT_BRAND))
-    best = lines.groupBy("photo_id").agg(F.min(F.struct((-F.col("height")).alias("h"), "top", "first_seq")).alias("best"))
-    start = best.select("photo_id", F.col("best.first_seq").alias("first_seq"))
-    below = cluster(lines, start, 4, 2.5).select("photo_id", "text", F.col("step").alias("o"))
-    above = cluster(lines, start, 4, 2.5, down=False).where("step > 0").select("photo_id", "text", (-F.col("step")).alias("o"))
-    return _joined(below.unionByName(above), F.col("o")).withColumnRenamed("value", "brand_name")
+def cluster(lines: DataFrame, start: DataFrame, max_lines: int, gap: float, ratio: float = 0.6, down: bool = True) -> DataFrame:
+    """The lines that belong together with the start line of each photo, with ``step`` from 0.
+
+    ``start`` has photo_id and first_seq; a start that isn't there gives no lines.
+    """
+    at = F.array_position(F.transform("lines", lambda x: x["first_seq"]), F.col("start_seq"))
+    photos = photo_lines(lines).join(start.select("photo_id", F.col("first_seq").alias("start_seq")), "photo_id")
+    photos = photos.withColumn("at", at.cast("int")).where("at > 0")
+    taken = photos.select("photo_id", F.posexplode(walk(F.col("lines"), F.col("at") - 1, max_lines, gap, ratio, down)).alias("step", "line"))
+    return taken.select("photo_id", "line.*", "step")
 
 
 def has_anchor(text: Column) -> Column:
@@ -70,17 +80,49 @@ def has_anchor(text: Column) -> Column:
     return out
 
 
-def producers(lines: DataFrame) -> DataFrame:
-    """photo_id and producer_info: from the first line with an anchor to the end of the address."""
-    lines = lines.withColumn("anchor", has_anchor(F.col("text")))
-    first = lines.where("anchor").groupBy("photo_id").agg(F.min(F.struct("top", "left", "first_seq")).alias("at"))
-    near = cluster(lines, first.select("photo_id", F.col("at.first_seq").alias("first_seq")), 8, 2.2)
+def _texts(lines: Column) -> Column:
+    return F.transform(lines, lambda x: x["text"])
+
+
+def photo_fields(lines: DataFrame) -> DataFrame:
+    """photo_id, brand_name and producer_info of each photo with lines, from the places of its lines; null where there is none.
+
+    The brand is the tallest line that is no other field, with what belongs to
+    it above and below. The producer goes from the first line with an anchor to
+    the end of the address. A line's text is looked at once, before the lines of a photo are put
+    together; all else is two folds over that list.
+    """
     upper = F.upper("text")
-    stop = ((F.col("step") > 0) & F.col("anchor")) | upper.contains("GOVERNMENT WARNING") | upper.contains("PRODUCT OF")
-    w = Window.partitionBy("photo_id").orderBy("step")
-    ended = F.coalesce(F.max(looks_like_address_end(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    kept = near.withColumn("stopped", F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ended", ended).where("NOT stopped AND NOT ended")
-    return _joined(kept, F.col("step")).select("photo_id", finalize_producer(F.col("value")).alias("producer_info"))
+    seen = lines.select(
+        "photo_id", "top", "left", "first_seq", "text", "height",
+        (~F.col("text").rlike(NOT_BRAND)).alias("free"), has_anchor(F.col("text")).alias("anchor"),
+        (upper.contains("GOVERNMENT WARNING") | upper.contains("PRODUCT OF")).alias("stop"), looks_like_address_end(F.col("text")).alias("ends"),
+    )
+    photos = photo_lines(seen).withColumn("free", F.filter("lines", lambda x: x["free"]))
+    tallest = F.array_min(F.transform("free", lambda x, i: F.struct((-x["height"]).alias("h"), x["top"], x["first_seq"], i.alias("at"))))["at"]
+    anchor = F.array_min(F.transform("lines", lambda x, i: F.when(x["anchor"], i)))
+    photos = photos.withColumn("tallest", tallest).withColumn("anchor", anchor)
+    below, above = walk(F.col("free"), F.col("tallest"), 4, 2.5), walk(F.col("free"), F.col("tallest"), 4, 2.5, down=False)
+    brand = F.concat(_texts(F.reverse(F.slice(above, 2, 4))), _texts(below))
+
+    def step(s: Column, line: Column) -> Column:
+        done = s["done"] | line["stop"] | ((F.size(s["out"]) > 0) & line["anchor"])
+        return F.struct(F.when(done, s["out"]).otherwise(F.array_append(s["out"], line["text"])).alias("out"), (done | line["ends"]).alias("done"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
+    address = F.aggregate(walk(F.col("lines"), F.col("anchor"), 8, 2.2), start, step, lambda s: s["out"])
+    found = photos.select("photo_id", brand.alias("brand"), address.alias("address"))
+    return found.select("photo_id", F.when(F.size("brand") > 0, F.array_join("brand", " ")).alias("brand_name"), F.when(F.size("address") > 0, finalize_producer(F.array_join("address", " "))).alias("producer_info"))
+
+
+def brand_names(lines: DataFrame) -> DataFrame:
+    """photo_id and brand_name of the photos that have one."""
+    return photo_fields(lines).select("photo_id", "brand_name").where("brand_name IS NOT NULL")
+
+
+def producers(lines: DataFrame) -> DataFrame:
+    """photo_id and producer_info of the photos that have one."""
+    return photo_fields(lines).select("photo_id", "producer_info").where("producer_info IS NOT NULL")
 
 
 def label_fields(words: DataFrame, texts: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
@@ -96,6 +138,6 @@ def label_fields(words: DataFrame, texts: DataFrame, limits: Thresholds = Thresh
     lines = group_lines(confident_words(words, limits))
     text = F.col("raw_text")
     out = texts.select("photo_id", extract_producer(text).alias("plain_producer"), *(c.alias(k) for k, c in extract_fields(text).items()))
-    out = out.join(brand_names(lines), "photo_id", "left").join(producers(lines), "photo_id", "left")
+    out = out.join(photo_fields(lines), "photo_id", "left")
     out = out.withColumn("producer_info", F.coalesce(F.nullif("producer_info", F.lit("")), "plain_producer"))
     return out.select("photo_id", *FIELDS)
