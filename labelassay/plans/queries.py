@@ -445,13 +445,12 @@ def _forms(spark, d):
 # A value with the word BRAND in it is read as the next heading, so the brand stays null.
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN replace(p_brand, 'Brand#', 'Mfr ') END AS brand_name, p_type AS class_type, '750 mL' AS net_contents, p_name || ' Co Napa, CA 94558' AS producer_info FROM part")
 def q18_document_fields(spark, d):
-    fields = D.document_fields(F.col("text"))
-    return _forms(spark, d).select("p_partkey", *(fields[k].alias(k) for k in ("brand_name", "class_type", "net_contents", "producer_info")))
+    return D.document_fields(_forms(spark, d), ["p_partkey"]).select("p_partkey", "brand_name", "class_type", "net_contents", "producer_info")
 
 
 @query("SELECT p_partkey, '750 mL' AS net_contents FROM part")
 def q17_labeled_field(spark, d):
-    return _forms(spark, d).select("p_partkey", D.labeled_field(F.col("text"), D.LABELS["net_contents"]).alias("net_contents"))
+    return D.labeled_fields(_forms(spark, d), ["p_partkey"], fields=("net_contents",)).select("p_partkey", "net_contents")
 
 
 @query(with_views("SELECT label_id, CASE label_id % 6 WHEN 0 THEN 'Old River Distilling Co, Frankfort, KY 40601' WHEN 1 THEN 'Hill Cellars, 12 Main Street, Napa, California' WHEN 2 THEN 'Granite Brewing LLC, Portland, Maine 04101' WHEN 3 THEN 'North Import Inc, Edinburgh, Scotland' WHEN 4 THEN 'Maison Claire, Reims, France'"

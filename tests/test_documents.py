@@ -1,4 +1,6 @@
 import io
+import random
+import re
 import zipfile
 
 import numpy as np
@@ -34,8 +36,11 @@ BOXES = "TYPE OF PRODUCT\n[ ] WINE [X] DISTILLED SPIRITS [ ] MALT BEVERAGE\nmade
 
 
 def fields(spark, text):
-    row = spark.createDataFrame([(text,)], "text string").select(*(c.alias(k) for k, c in D.document_fields(F.col("text")).items())).first()
-    return row.asDict()
+    """The fields of a text among others, with an identifier that several share."""
+    rows = [(1, "x", False), (1, text, True), (None, "", False), (1, None, False)]
+    got = D.document_fields(spark.createDataFrame([(i, t, own) for i, t, own in rows], "doc_id long, text string, own boolean"), ["doc_id", "own"])
+    assert got.count() == 4
+    return {k: v for k, v in got.where("own").first().asDict().items() if k not in ("doc_id", "own")}
 
 
 def test_sheet(spark):
@@ -60,6 +65,100 @@ def test_boxes_and_free_text(spark):
     assert set(fields(spark, "").values()) == {None} == set(fields(spark, None).values())
 
 
+ADDRESS = "Birch Vale Winery\n9 Orchard Row\nYakima, WA 98901\n"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        # A sheet with all labels before their values.
+        ("Brand Name: Birch Vale\nClass and Type: Dry Gin\nAlcohol Content: 41% ALC/VOL\nNet Contents: 1 L\nName and Address of Producer: Birch Vale, Yakima, WA\nCountry of Origin: Canada\n", {"brand_name": "Birch Vale", "class_type": "Dry Gin", "alcohol_content": "41% ALC/VOL", "net_contents": "1 L", "producer_info": "Birch Vale, Yakima, WA", "country_of_origin": "Canada"}),
+        # No labels at all.
+        ("Our bourbon whiskey has 41% ALC/VOL (82 PROOF) in 1 L bottles.\nBottled by Birch Vale, Yakima, WA.\n", {"brand_name": None, "class_type": "bourbon whiskey", "alcohol_content": "41% ALC/VOL (82 PROOF)", "net_contents": "1 L", "producer_info": "Birch Vale, Yakima, WA"}),
+        # Labels on lines of their own, blanks, a remark in brackets, instructions at the end.
+        ("7. BRAND NAME\n\nBirch Vale\n\n8. CLASS AND TYPE OF PRODUCT\n\nRiesling\n\n9. NAME AND ADDRESS OF PRODUCER, BOTTLER, OR IMPORTER\n(Include the number)\n\n" + ADDRESS + "\n10. COUNTRY OF ORIGIN\n\nCanada\n\nINSTRUCTIONS: If bottled by\nthe producer, say so.\n", {"brand_name": "Birch Vale", "class_type": "Riesling", "producer_info": "Birch Vale Winery 9 Orchard Row Yakima, WA 98901", "country_of_origin": "Canada"}),
+        # Words of producers in a sentence only.
+        ("Fill in all of it. If bottled by someone other than the\nproducer, name the bottler.\n", {"brand_name": None}),
+        # Noise behind values.
+        ("CLASS AND TYPE OF PRODUCT: Malbec (Back Label)\n\nNAME AND ADDRESS OF PRODUCER: Birch Vale, 9 Orchard Row, Yakima, WA 98901 Rev. 2023-11\n", {"class_type": "Malbec", "producer_info": "Birch Vale, 9 Orchard Row, Yakima, WA 98901"}),
+        # A remark in brackets between label and colon.
+        ("8. NAME AND ADDRESS OF PRODUCER, BOTTLER, OR IMPORTER (Include the number): Birch Vale, Yakima, WA 98901\n", {"producer_info": "Birch Vale, Yakima, WA 98901"}),
+        # The short heading.
+        ("NAME AND ADDRESS\n\n" + ADDRESS, {"producer_info": "Birch Vale Winery 9 Orchard Row Yakima, WA 98901"}),
+        # What follows an address is no heading that is known.
+        ("NAME AND ADDRESS OF PRODUCER\n\n" + ADDRESS + "\nRegistry or Permit Number given by the Office\nXY-1\n", {"producer_info": "Birch Vale Winery 9 Orchard Row Yakima, WA 98901"}),
+        # A designation on two lines.
+        ("CLASS AND TYPE OF PRODUCT\n\nKentucky Straight\nBourbon Whiskey\n\n9. NAME AND ADDRESS OF PRODUCER\n\nBirch Vale, Yakima, WA\n", {"class_type": "Kentucky Straight Bourbon Whiskey", "producer_info": "Birch Vale, Yakima, WA"}),
+        # Boxes.
+        ("7. TYPE OF PRODUCT (Check one)\n\n[ ] WINE   [X] DISTILLED SPIRITS   [ ] MALT BEVERAGE\n\n8. BRAND NAME\n\nBirch Vale\n", {"class_type": "Distilled Spirits", "brand_name": "Birch Vale"}),
+        ("BRAND NAME: Birch Vale (Front Label)\n", {"brand_name": "Birch Vale"}),
+        # A sub-item is the next heading.
+        ("8. NAME AND ADDRESS OF APPLICANT\n\n" + ADDRESS + "\n8A. MAILING ADDRESS (Only if different)\n\nPO Box 5\nYakima, WA 98902\n", {"producer_info": "Birch Vale Winery 9 Orchard Row Yakima, WA 98901"}),
+        # The heading goes on in capitals; a state's full name.
+        ("8. NAME AND ADDRESS OF APPLICANT AS SHOWN ON PERMIT OR BREWER'S NOTICE\n\nBirch Vale Winery\nYakima, Washington 98901 Rev. 2023-11\n", {"producer_info": "Birch Vale Winery Yakima, Washington 98901"}),
+    ],
+)
+def test_thirteen_forms(spark, text, want):
+    got = fields(spark, text)
+    assert {k: got[k] for k in want} == want
+
+
+def plain_value(text, patterns, most, address):
+    """The labeled value of one field, line by line."""
+    heads = re.compile("|".join(p for own in D.LABELS.values() for p in own), re.I)
+    state = re.compile(r"\b\d{5}\b|\b(?:WA|OR)\b|(?i:\bFrance\b)")
+    lines = (text or "").splitlines()
+
+    def heading(x):
+        letters = [c for c in x if c.isalpha()]
+        return bool(re.match(r"\(?\d{1,2}[A-Za-z]?[.)]\s", x) or heads.search(x) or (len(letters) >= 4 and "".join(letters).isupper() and len(x) <= 80))
+
+    def under(i):
+        rest, out, gap, begun = [x.strip() for x in lines[i + 1 :]], [], 0, False
+        for x in rest:
+            if not x:
+                gap += begun
+                if gap == 2:
+                    break
+                continue
+            begun, gap = True, 0
+            if x[0] == "(" and x[-1] == ")":
+                continue
+            if heading(x):
+                break
+            out.append(x)
+            if len(out) == most or (address and state.search(x)):
+                break
+        return " ".join(out)
+
+    for p in patterns:
+        for i, line in enumerate(lines):
+            if hit := re.search(p, line, re.I):
+                after = re.sub(r"\([^)]*\)", " ", line[hit.end() :])
+                rest = after.strip(" \t:-.,")
+                value = None
+                if same := re.match(r"\s*[:\-]\s*(.+)", after, re.S):
+                    value = same[1].strip()
+                elif not rest or (any(c.isalpha() for c in rest) and all(c.isupper() for c in rest if c.isalpha())):
+                    value = under(i)
+                if value:
+                    return value
+    return None
+
+
+def test_labeled_fields_of_random_forms(spark):
+    dice = random.Random(8)
+    pieces = ["BRAND NAME", "Brand Name: Oak", "brand - Elm", "BRAND NAME (all of it)", "BRAND NAME: (none)", "CLASS AND TYPE", "Class: Gin", "TYPE OF PRODUCT", "NET CONTENTS", "NET CONTENTS:", "8. NAME AND ADDRESS OF APPLICANT", "NAME & ADDRESS", "Name and Address of Producer/Bottler: Oak, Salem, OR", "COUNTRY OF ORIGIN", "ALCOHOL CONTENT", "40% ALC/VOL", "(a remark)", "(8. REMARK)", "", "", "  ", "Oak River", "12 Long Lane", "Salem, OR 97301", "CAPITALS ONLY", "made in France", "750 mL", "9. NEXT", "brandy of class"]
+    texts = ["\n".join(dice.choice(pieces) for _ in range(dice.randint(1, 14))) for _ in range(400)]
+    got = D.labeled_fields(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5), ["doc_id"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        for f, patterns in D.LABELS.items():
+            most, address = D.UNDER.get(f, (1, False))
+            assert r[f] == plain_value(texts[r["doc_id"]], patterns, most, address), (f, texts[r["doc_id"]])
+    assert sum(r["producer_info"] is not None for r in got) > 50
+
+
 @pytest.mark.parametrize(
     "text, producer",
     [("x\nBottled by Oak Co, Salem, OR\nmore", "Oak Co, Salem, OR"), ("Bottled by\nOak Co\n\n12 Lane\nSalem OR 97301\nmore", "Oak Co 12 Lane Salem OR 97301"), ("Imported by Oak\n\n\nSalem OR", "Oak"), ("Brewed by: Oak\nGOVERNMENT WARNING x", "Oak"), ("Bottled by", ""), ("none", None)],
