@@ -107,6 +107,11 @@ def compare_product(rows: DataFrame, keys: list[str], limits: Thresholds = Thres
     broad = F.coalesce(broad_class, F.lit(False)) if broad_class is not None else F.lit(False)
     fields = [F.struct(F.lit(f).alias("field_key"), F.col(f).alias("extracted"), F.col(f"expected_{f}").alias("expected")) for f in FIELDS]
     long = rows.select(*keys, broad.alias("broad"), F.explode(F.array(*fields)).alias("f")).select(*keys, "broad", "f.*")
+    return compare_long(long, keys, limits)
+
+
+def compare_long(long: DataFrame, keys: list[str], limits: Thresholds = Thresholds()) -> DataFrame:
+    """``long`` (keys, field_key, extracted, expected and ``broad``) with status and score; each distinct pair is compared once."""
     x, e = F.col("x"), F.col("e")
     pairs = long.select(F.col("field_key").alias("of"), F.col("extracted").alias("x"), F.col("expected").alias("e"), F.col("broad").alias("wide")).distinct()
     pairs = pairs.withColumn("warning", F.col("of") == "health_warning_text")

@@ -15,6 +15,7 @@ from ..operators import compare as C
 from ..operators import documents as D
 from ..operators import layout as L
 from ..operators import match as M
+from ..operators import redecide as R
 from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
@@ -684,6 +685,26 @@ def q52_stream_dedup(spark, d):
     return run_arrivals(arrivals, folder, known).select("doc_id", "outcome")
 
 
+EDITED = "CASE o_custkey % 3 WHEN 0 THEN ' 750 mL' WHEN 1 THEN '2 L' ELSE '  ' END"
+CHANGED = "CASE o_orderstatus WHEN 'F' THEN 'match' WHEN 'O' THEN 'mismatch' ELSE '' END"
+FULL = with_views("", "photo_results").replace("photo_results AS (", "stored AS (", 1) + f""", edits AS (SELECT o_orderkey AS run_id, nullif(trim({EDITED}), '') AS v FROM orders WHERE o_custkey % 10 = 0),
+photo_results AS (SELECT s.run_id, s.index, CASE WHEN e.run_id IS NULL THEN extracted ELSE v END AS extracted, expected, CASE WHEN e.run_id IS NULL THEN status WHEN v IS NULL THEN 'not_found' WHEN v = '750 mL' THEN 'match' ELSE 'mismatch' END AS status
+  FROM stored s LEFT JOIN edits e ON e.run_id = s.run_id AND s.index = 1)"""
+
+
+@query(FULL + SUMMARY + f", o AS (SELECT o_orderkey AS run_id, nullif({CHANGED}, '') AS override FROM orders WHERE o_custkey % 10 < 2) SELECT s.run_id, coalesce(o.override, s.status) AS status, s.value, s.source_index, s.n_values, CASE WHEN o.override IS NOT NULL THEN s.status END AS computed_status, o.override IS NOT NULL AS manual_override FROM summary s LEFT JOIN o USING (run_id)")
+def q53_redecide(spark, d):
+    """All decisions after a list of edits (the first photo of every tenth customer's orders) and overrides, worked out anew only where they touch."""
+    stored = view(spark, d, "photo_results").withColumn("field_key", F.lit("net_contents"))
+    decided = kept_table(R.undecided(V.group_summary(stored, ["run_id"], fields=("net_contents",), readings=False)), "decided")
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_orderkey", "run_id")
+    there = stored.where("index = 1").select("run_id", "index", "expected")
+    edits = orders.where("o_custkey % 10 = 0").join(there, "run_id").select("run_id", "index", F.lit("net_contents").alias("field_key"), F.expr(EDITED).alias("extracted"), "expected")
+    changes = orders.where("o_custkey % 10 < 2").select("run_id", F.lit("net_contents").alias("field_key"), F.expr(CHANGED).alias("override"))
+    new = R.redecided(stored, decided, edits, changes.join(decided.select("run_id"), "run_id", "left_semi"), ["run_id"], fields=("net_contents",))
+    return R.with_new(decided, new, ["run_id"]).select("run_id", "status", "value", "source_index", "n_values", "computed_status", "manual_override")
+
+
 SUBMITTED = """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'create' ELSE 'new' END AS action, s_suppkey AS seq, s_suppkey * 30 AS product_id,
  CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' ' || s_name || ' ' END AS name, ' Corrected ' AS brand_name, CASE s_suppkey % 5 WHEN 0 THEN '  ' ELSE 'Vodka' END AS class_type,
  '40% ALC/VOL' AS alcohol_content, CAST(NULL AS STRING) AS net_contents, 'Oak Co, Napa, CA' AS producer_info, '' AS country_of_origin FROM supplier"""
