@@ -19,7 +19,7 @@ from ..operators import redecide as R
 from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
-from ..sources.files import docx_file, images_of, texts_of
+from ..sources.files import docx_file, images_of, read_documents, texts_of, write_files
 from ..storage import kept_table, scratch_path
 from ..streaming.arrivals import run_arrivals
 from .inputs import view, with_views
@@ -504,7 +504,7 @@ def q37_heading_bold(spark, d):
     words = parts.select("photo_id", word).select("*", (F.col("word_seq") * 16).alias("left"), F.lit(0).alias("top"), F.lit(16).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("block_num"))
     dark, light = F.lit("00"), F.lit("FF")
     solid = F.concat(F.repeat(dark, 8), F.repeat(light, 8))
-    thin = F.rpad(F.repeat(F.concat(dark, F.repeat(light, F.col("gap"))), 4), 32, "FF")
+    thin = F.substring(F.repeat(F.concat(dark, F.repeat(light, F.col("gap"))), 16), 1, 32)
     row = F.concat(F.repeat(solid, 2), F.repeat(thin, 6))
     tiles = parts.select("photo_id", F.lit(128).alias("w"), F.lit(8).alias("h"), F.unhex(F.repeat(row, 8)).alias("px"))
     return heading_bold(word_density(words, tiles))
@@ -685,6 +685,16 @@ def q52_stream_dedup(spark, d):
     return run_arrivals(arrivals, folder, known).select("doc_id", "outcome")
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 > 0 THEN p_name || chr(10) || p_type END AS text, CASE WHEN p_partkey % 10 = 0 THEN 'Unsupported document type: .txt' END AS error FROM part")
+def q54_document_files(spark, d):
+    """A DOCX file for each part, one in ten with another extension, written to a folder and read back."""
+    folder = scratch_path(spark, "documents")
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    name = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 10 == 0, ".txt").when(F.col("p_partkey") % 10 == 1, ".DOCX").otherwise(".docx"))
+    kept_table(write_files(parts.select(name.alias("name"), docx_file(F.array("p_name", "p_type")).alias("content")), folder), "written-files")
+    return read_documents(spark, folder).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "text", "error")
+
+
 EDITED = "CASE o_custkey % 3 WHEN 0 THEN ' 750 mL' WHEN 1 THEN '2 L' ELSE '  ' END"
 CHANGED = "CASE o_orderstatus WHEN 'F' THEN 'match' WHEN 'O' THEN 'mismatch' ELSE '' END"
 FULL = with_views("", "photo_results").replace("photo_results AS (", "stored AS (", 1) + f""", edits AS (SELECT o_orderkey AS run_id, nullif(trim({EDITED}), '') AS v FROM orders WHERE o_custkey % 10 = 0),

@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import posixpath
 import struct
+import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -103,11 +104,70 @@ READERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "pdf": pdf_text
 IMAGES: dict[str, Callable[[bytes], list[bytes]]] = {"docx": docx_images, "pdf": pdf_images}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, text and error of all files in a folder, by their extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return texts_of(files.select("path", kind.alias("kind"), "content"))
+#: The largest file that is opened.
+MOST_BYTES = 60 << 20
+
+
+def _of_kinds(kinds: Iterable[str]) -> str:
+    """A file name pattern for some extensions, in capitals or not."""
+    any_case = lambda kind: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in kind)
+    return "*.{" + ",".join(map(any_case, sorted(kinds))) + "}"
+
+
+def _scan(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """path, kind (the extension), length and content of all files in a folder and those below it."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(path)
+    return files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), "length", "content")
+
+
+def document_files(spark: SparkSession, path: str, kinds: Iterable[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, kind and content of the files in a folder that a reader opens.
+
+    Other extensions are left out when files are listed, and larger files by a
+    filter that the scan gets, before a byte of them is read. Files are dealt to tasks by their sizes.
+    """
+    return _scan(spark, path, _of_kinds(READERS if kinds is None else kinds)).where(F.col("length") <= most_bytes).select("path", "kind", "content")
+
+
+def read_documents(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, text and error of all files in a folder, by their extension.
+
+    What isn't opened (another kind, or more than ``most_bytes``) has its error;
+    that scan reads no contents.
+    """
+    opened = texts_of(document_files(spark, path, most_bytes=most_bytes))
+    known = F.col("kind").isin(*READERS)
+    error = F.when(known, F.concat(F.lit("File is larger than "), F.lit(str(most_bytes)), F.lit(" bytes"))).otherwise(F.concat(F.lit("Unsupported document type: ."), "kind"))
+    others = _scan(spark, path).where(~known | (F.col("length") > most_bytes))
+    return opened.unionByName(others.select("path", F.lit(None).cast("string").alias("text"), error.alias("error")))
+
+
+def read_images(spark: SparkSession, path: str, side: int = 150, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, number, width, height and image of the photos inside the files of a folder (see ``images_of``)."""
+    return images_of(document_files(spark, path, IMAGES, most_bytes), side)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``content`` as the file ``name`` into a folder of a shared store; name and bytes of each.
+
+    A file gets its name when it is whole, so a task may run twice.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{root}/{name}")
+            yield pd.DataFrame({"name": batch["name"], "bytes": batch["content"].map(len)})
+
+    return files.select("name", "content").mapInPandas(write, "name string, bytes long")
 
 
 def texts_of(files: DataFrame) -> DataFrame:

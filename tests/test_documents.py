@@ -1,9 +1,12 @@
 import io
 import random
 import re
+import sys
+import types
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from labelassay.operators import documents as D
 from labelassay.operators import store as S
 from labelassay.operators.heading import heading_bold, ink_share, word_density
 from labelassay.operators.layout import brand_names, cluster, confident_words, group_lines, producers
+from labelassay.sources import files
 from labelassay.sources.files import docx_text, read_documents
 
 SHEET = "Brand Name: Oak River\nClass/Type: Straight Rye (aged)\nAlcohol Content: 45% (90 PROOF)\nNet Contents - 750 mL\nName and Address of Producer: Oak River Co, Salem, OR 97301\nCountry of Origin: USA\n"
@@ -35,7 +39,7 @@ same
 BOXES = "TYPE OF PRODUCT\n[ ] WINE [X] DISTILLED SPIRITS [ ] MALT BEVERAGE\nmade by NAME AND ADDRESS in a sentence\n"
 
 
-def fields(spark, text):
+def fields_of(spark, text):
     """The fields of a text among others, with an identifier that several share."""
     rows = [(1, "x", False), (1, text, True), (None, "", False), (1, None, False)]
     got = D.document_fields(spark.createDataFrame([(i, t, own) for i, t, own in rows], "doc_id long, text string, own boolean"), ["doc_id", "own"])
@@ -44,12 +48,12 @@ def fields(spark, text):
 
 
 def test_sheet(spark):
-    got = fields(spark, SHEET)
+    got = fields_of(spark, SHEET)
     assert got == {"brand_name": "Oak River", "class_type": "Straight Rye", "alcohol_content": "45%", "net_contents": "750 mL", "producer_info": "Oak River Co, Salem, OR 97301", "country_of_origin": "USA"}
 
 
 def test_form(spark):
-    got = fields(spark, FORM)
+    got = fields_of(spark, FORM)
     assert got["brand_name"] == "Copper Hill"
     assert got["class_type"] == "Kentucky Straight Bourbon Whiskey"
     assert got["net_contents"] == "750 mL"
@@ -58,11 +62,11 @@ def test_form(spark):
 
 
 def test_boxes_and_free_text(spark):
-    got = fields(spark, BOXES)
+    got = fields_of(spark, BOXES)
     assert got["class_type"] == "Distilled Spirits" and got["producer_info"] is None
-    got = fields(spark, "A fine bourbon whiskey at 45% ALC/VOL in 750 ML. Product of Canada")
+    got = fields_of(spark, "A fine bourbon whiskey at 45% ALC/VOL in 750 ML. Product of Canada")
     assert (got["brand_name"], got["class_type"], got["net_contents"], got["country_of_origin"]) == (None, "bourbon whiskey", "750 ML", "Canada")
-    assert set(fields(spark, "").values()) == {None} == set(fields(spark, None).values())
+    assert set(fields_of(spark, "").values()) == {None} == set(fields_of(spark, None).values())
 
 
 ADDRESS = "Birch Vale Winery\n9 Orchard Row\nYakima, WA 98901\n"
@@ -99,7 +103,7 @@ ADDRESS = "Birch Vale Winery\n9 Orchard Row\nYakima, WA 98901\n"
     ],
 )
 def test_thirteen_forms(spark, text, want):
-    got = fields(spark, text)
+    got = fields_of(spark, text)
     assert {k: got[k] for k in want} == want
 
 
@@ -209,6 +213,82 @@ def test_docx(spark, tmp_path):
     assert got["b.txt"][1] == "Unsupported document type: .txt" and got["c.docx"][0] is None and got["c.docx"][1]
 
 
+class StubPage:
+    def __init__(self, text, images, broken=False):
+        self.text, self.own, self.broken = text, images, broken
+
+    def extract_text(self):
+        return self.text
+
+    @property
+    def images(self):
+        if self.broken:
+            raise KeyError("/XObject")
+        return [type("Image", (), {"data": i})() for i in self.own]
+
+
+def stub_reader(**how):
+    """A PDF library with the interface that the source uses."""
+
+    class PdfReader:
+        def __init__(self, stream):
+            raw = stream.read()
+            if raw != b"%PDF":
+                raise ValueError("no PDF header")
+            self.is_encrypted = how.get("locked", False)
+            self.pages = how["pages"]
+
+        def decrypt(self, password):
+            assert password == ""
+            return how.get("opens", 0)
+
+    module = types.ModuleType("pypdf")
+    module.PdfReader = PdfReader
+    return module
+
+
+def test_pdf(monkeypatch):
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    pages = [StubPage("Brand Name: Oak", [png(300, 200), png(20, 20), b"odd"]), StubPage(None, [png(9, 9)], broken=True), StubPage("end", [png(151, 150)])]
+    monkeypatch.setitem(sys.modules, "pypdf", stub_reader(pages=pages))
+    assert files.pdf_text(b"%PDF") == "Brand Name: Oak\n\nend"
+    assert [files.image_size(i) for i in files.pdf_images(b"%PDF")] == [(300, 200), (20, 20), None, (151, 150)]
+    rows = lambda kind, content: pd.DataFrame([("a", kind, content)], columns=["path", "kind", "content"])
+    assert next(files._texts(iter([rows("pdf", b"%PDF")]))).values.tolist() == [["a", "Brand Name: Oak\n\nend", None]]
+    assert next(files._texts(iter([rows("pdf", b"broken")]))).values.tolist() == [["a", None, "no PDF header"]]
+    found = next(files._images(iter([rows("pdf", b"%PDF")])))
+    assert found[["number", "width", "height"]].values.tolist() == [[0, 300, 200], [1, 20, 20], [3, 151, 150]]
+    assert next(files._images(iter([rows("pdf", b"broken")]))).empty
+    # An empty password may open a locked file.
+    monkeypatch.setitem(sys.modules, "pypdf", stub_reader(pages=pages, locked=True, opens=1))
+    assert files.pdf_text(b"%PDF").startswith("Brand Name")
+    monkeypatch.setitem(sys.modules, "pypdf", stub_reader(pages=pages, locked=True))
+    with pytest.raises(ValueError, match="locked"):
+        files.pdf_text(b"%PDF")
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(ValueError, match="needs pypdf"):
+        files.pdf_text(b"%PDF")
+
+
+def test_folders(spark, tmp_path):
+    """Only files of known kinds and of a size that is allowed are opened; the scan gets the limit."""
+    below = tmp_path / "x.docx.d"
+    below.mkdir()
+    (tmp_path / "a.Docx").write_bytes(b"?" * 5)
+    (below / "b.docx").write_bytes(b"?" * 50)
+    (below / "c.txt").write_bytes(b"x")
+    (below / "none").write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in read_documents(spark, f"file://{tmp_path}", most_bytes=20).collect()}
+    assert got["b.docx"] == "File is larger than 20 bytes" and got["c.txt"] == "Unsupported document type: .txt" and got["none"] == "Unsupported document type: ." and "zip" in got["a.Docx"] and len(got) == 4
+    plan = files.document_files(spark, f"file://{tmp_path}", most_bytes=20)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^]]*LessThanOrEqual\(length,20\)", plan)
+    assert files.document_files(spark, f"file://{tmp_path}").count() == 2
+    # Errors of what isn't opened come from a scan without contents.
+    whole = read_documents(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert sum("content:binary" in line for line in whole.split("\n") if "ReadSchema" in line) == 1
+    assert files.read_images(spark, f"file://{tmp_path}").collect() == []
+
+
 def test_heading_bold(spark):
     px = np.full((100, 700), 255, np.uint8)
     rows, at = [], 0
