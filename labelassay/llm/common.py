@@ -137,6 +137,17 @@ def bloom_has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 != 0
 
 
+def hash_of_longs(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit numbers (int64)."""
+    prime = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed values of XXH64
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = turn(ids.view(np.uint64) * prime[1], 31) * prime[0] ^ (np.uint64(42 + 8) + prime[4])
+    h = turn(h, 27) * prime[0] + prime[3]
+    h = (h ^ (h >> np.uint64(33))) * prime[1]
+    h = (h ^ (h >> np.uint64(29))) * prime[2]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def maybe_in(bits) -> Callable[[Column], Column]:
     """A filter that lets an xxhash64 pass if it may be among those of broadcast ``bloom_bits``."""
 

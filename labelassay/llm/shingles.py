@@ -77,6 +77,25 @@ def _piece_hashes(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np
     return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]), starts
 
 
+def polynomial_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums over the bytes of a text, from which ``part_hashes`` has the hash of any part."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
+    return total
+
+
+def part_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all parts of ``length`` bytes, by their first byte."""
+    n = len(sums) - length
+    return mix((sums[length:] - sums[:n]) * _power(_INVERSE, n))
+
+
+def whole_hashes(texts: list[str]) -> np.ndarray:
+    """The hash of each text as one part."""
+    sums = (polynomial_sums(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for t in texts)
+    return mix(np.array([s[-1] for s in sums], np.uint64))
+
+
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of every text.
 

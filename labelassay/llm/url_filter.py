@@ -11,11 +11,13 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_all_salts, bloom_bits, done_with, hot_keys, lower_ascii, maybe_in, salted, saved
+from .common import at_all_salts, bloom_bits, bloom_has, done_with, hash_of_longs, hot_keys, lower_ascii, salted, saved
+from .shingles import part_hashes, polynomial_sums, whole_hashes
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -63,16 +65,19 @@ def best_split(name: str, cost: dict[str, float], unknown: float, longest: int)
 
     An unknown word of n letters counts as ``10 / (total * 10**n)``, with
     ``unknown`` = log(total / 10), so a name is cut up only where its parts are
-    known words. ``longest`` is the length of the longest known word.
+    known words. ``longest`` is the length of the longest known word; only
+    lengths that known words have are tried.
     """
     n, known = len(name), cost.get
+    lengths = sorted({len(w) for w in cost if len(w) <= longest}, reverse=True)
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
     letter = 2.302585
     low, at = 0.0, 0  # where an unknown word had best begin: each of its letters costs the same
     for end in range(1, n + 1):
         best[end], back[end] = low + unknown + letter * end, at
-        for start in range(max(0, end - longest), end):
-            price = known(name[start:end])
+        for length in lengths:
+            start = end - length
+            price = known(name[start:end]) if start >= 0 else None
             if price is not None and best[start] + price < best[end]:
                 best[end], back[end] = best[start] + price, start
         if best[end] - letter * end < low:
@@ -92,29 +97,54 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return words.unionByName(seeds).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def known_parts(name: str, lengths: np.ndarray, bits: np.ndarray) -> list[str]:
+    """The distinct parts of a name that may be words, by their hashes: only parts as long (in bytes) as some word.
+
+    Running sums give the hashes of all parts of one length at once, so a name
+    of n letters costs n steps for each length that words have, and only parts
+    that the filter lets pass are made.
+    """
+    raw = np.frombuffer(name.encode("utf-8", "surrogatepass"), np.uint8)
+    sums = polynomial_sums(raw)
+    out: dict[bytes, None] = {}
+    for k in lengths[lengths <= len(raw)].tolist():
+        hit = np.flatnonzero(bloom_has(bits, hash_of_longs(part_hashes(sums, k))))
+        out.update((raw[i : i + k].tobytes(), None) for i in hit.tolist())
+    return [p for x in out if (p := x.decode("utf-8", "ignore")).encode("utf-8", "surrogatepass") == x]
+
+
 def segment(names: DataFrame, words: DataFrame) -> DataFrame:
     """name and parts: each of ``names`` (letters) split by the counts ``words`` (word, n).
 
     Of every name all parts that may be words (by a Bloom filter) are looked up
     in the table of counts, so no vocabulary is held anywhere and none is cut.
+    The driver gets the filter's bits and the lengths that words have.
     """
-    total, longest = words.agg(F.sum("n"), F.max(F.length("word"))).first()
+
+    @F.pandas_udf("long")
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(whole_hashes(batch.tolist()).view(np.int64))
+
+    keyed = saved(words.select("n", F.length("word").alias("letters"), F.octet_length("word").alias("bytes"), key("word").alias("id")), "url-word-keys")
+    total, longest, kinds = keyed.agg(F.sum("n"), F.max("letters"), F.count("*")).first()
     total, longest = total or 1, longest or 1
-    ids = words.select(F.xxhash64("word").alias("id"))
-    bits = names.sparkSession.sparkContext.broadcast(bloom_bits(ids, words.count()))
+    lengths = np.array(sorted(r["bytes"] for r in keyed.select("bytes").distinct().collect()), np.int64)  # as many as the root of twice the words' bytes at most
+    share = names.sparkSession.sparkContext.broadcast
+    bits, lengths = share(bloom_bits(keyed.select("id"), kinds)), share(lengths)
+    done_with(keyed)
 
     @F.pandas_udf("array<string>")
     def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda x: [*{x[i : i + k] for i in range(len(x)) for k in range(1, min(longest, len(x) - i) + 1)}])
+            yield batch.map(lambda x: known_parts(x, lengths.value, bits.value))
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for name, known, cost in batches:
             yield pd.Series([best_split(x, {} if k is None else dict(zip(k, c)), math.log(total / 10), longest) for x, k, c in zip(name, known, cost)])
 
-    parts = names.select("name", F.explode(inside("name")).alias("word"))
-    parts = saved(parts.where(maybe_in(bits)(F.xxhash64(F.xxhash64("word")))), "url-name-parts")
+    parts = saved(names.select("name", F.explode(inside("name")).alias("word")), "url-name-parts")
     hot = hot_keys(parts.groupBy("word").agg(F.count("*").alias("n")), parts.count())
     known = salted(parts, hot, "word", "name").join(at_all_salts(words, hot, "word"), ["word", "salt"])
     known = known.groupBy("name").agg(F.collect_list("word").alias("known"), F.collect_list(F.log(F.lit(float(total)) / F.col("n"))).alias("cost"))

@@ -1,16 +1,19 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from labelassay.llm.common import bloom_bits, hash_of_longs
 from labelassay.llm.decontaminate import BLOCK, answer_of, drop_leaks, find_leaks, lcs, word_codes
 from labelassay.llm.language_id import family, features, fit_svm, identify, keep_identified
 from labelassay.llm.queries import URL_RULES
 from labelassay.llm.quality_cnn import CHUNK, FILTERS, PAD, STEP, WIDTH, QualityModel, chunks, fit, score_quality, slopes_of
-from labelassay.llm.url_filter import SEED_WORDS, best_split, judge_urls
-from labelassay.llm.shingles import NOT_ALNUM, word_hashes
+from labelassay.llm.shingles import NOT_ALNUM, whole_hashes, word_hashes
+from labelassay.llm.url_filter import SEED_WORDS, best_split, judge_urls, known_parts, segment
 
 
 # ---- urls ---------------------------------------------------------------------------------
@@ -74,6 +77,27 @@ def test_segmenting_is_the_best_of_all_splits(name):
     assert sum(map(cost, got)) <= best(name) + 1e-9
 
 
+def test_parts_of_names_are_those_that_words_may_be(spark):
+    """Against all substrings; a name and a page word of 20,000 letters cost no more than their lengths."""
+    dice = random.Random(3)
+    words = ["oak", "river", "ü", "éa", "a", *("".join(dice.choice("aorkév") for _ in range(dice.randint(1, 9))) for _ in range(60)), "v" * 20_000]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    ids = spark.createDataFrame([(int(h),) for h in whole_hashes(words).view(np.int64)], "id long")
+    assert [r[0] for r in ids.select(F.xxhash64("id")).collect()] == hash_of_longs(whole_hashes(words).view(np.int64)).tolist()
+    bits, lengths = bloom_bits(ids, len(words)), np.array(sorted({len(w.encode()) for w in words}))
+    for name in ["oakriver", "x", "aüéa", *("".join(dice.choice("aorkév") for _ in range(60)) for _ in range(5))]:
+        found = known_parts(name, lengths, bits)
+        inside = {name[i:j] for i in range(len(name)) for j in range(i + 1, len(name) + 1)}
+        assert inside & {*words} <= {*found} <= inside and len(found) == len({*found})
+    long = "v" * 19_990 + "oak" + "river" * 4
+    began = time.monotonic()
+    assert "oak" in known_parts(long, lengths, bits) and "v" * 20_000 in known_parts("v" * 20_001, lengths, bits)
+    names = spark.createDataFrame([(long,), ("v" * 20_001,), ("oakriver",)], "name string")
+    got = {r["name"]: r["parts"] for r in segment(names, frame.groupBy("word").count().withColumnRenamed("count", "n")).collect()}
+    assert got["oakriver"] == ["oak", "river"] and "".join(got[long]) == long and got[long][-4:] == ["river"] * 4
+    assert time.monotonic() - began < 60
+
+
 def test_url_scores_are_naive_bayes(spark):
     """Against plain counting; names are split by the words of the pages."""
     rows = [(0, "http://oakriver.org/good/7", "oak river good oak river"), (1, "http://example.org/es/pill", "pill"), (2, "http://oak.net/good", None), (3, "http://pillriver.net/es/9", "river"), (4, "http://zz.net/", "")]
@@ -92,8 +116,6 @@ def test_url_scores_are_naive_bayes(spark):
 
 def test_urls_on_held_out_hosts(spark):
     """Learned from the rules' own verdicts on some hosts, tried on others."""
-    from pyspark.sql import functions as F
-
     dice = random.Random(6)
     rows = []
     for i in range(400):
