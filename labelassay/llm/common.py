@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -165,13 +167,20 @@ def maybe_in(bits) -> Callable[[Column], Column]:
 KEPT_IN_WORKER: list[dict] = []
 
 
+def trim_heap() -> None:
+    """Give memory that was freed back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget_kept() -> None:
     """Give back what another operator kept in this worker: Spark reuses workers for all of them."""
     if any(KEPT_IN_WORKER):
         for kept in KEPT_IN_WORKER:
             kept.clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim_heap()
 
 
 # ---- batches --------------------------------------------------------------------

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .common import KEPT_IN_WORKER
+from .common import KEPT_IN_WORKER, trim_heap
 
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -33,7 +33,7 @@ class PieceTokenizer:
     batch. Texts that hold a special token's string are encoded in one go.
     """
 
-    def __init__(self, path: str, keep: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 100_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,6 +54,7 @@ class PieceTokenizer:
         """Ids of all pieces, each with the space before it."""
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {}
+            trim_heap()
         new, old = self.new, self.old
         missing = [p for p in pieces if p not in new]
         if old and missing:
