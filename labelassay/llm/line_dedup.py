@@ -21,7 +21,7 @@ from .shingles import mix, word_hashes
 _NOT_WORD = re.compile(r"[\W_]+")
 _ODD = re.compile(r"[^\w\x00-\x7f]")
 _SPACED = {c: " " for c in range(128) if not chr(c).isalnum()}
-DISTANCE = 4  # bits; the blocks find every pair within this
+DISTANCE = 3  # bits; the blocks find every pair within this
 MORE_BLOCKS = 2  # than ``DISTANCE``: so many blocks are a key
 REACH = 10  # bits; pairs that meet under a key are compared up to this
 SIMILARITY = 0.75
@@ -54,19 +54,21 @@ def distinct_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(hashes[new]), of[new]
 
 
-def group_keys(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key of each group of ``GROUP_WORDS`` words or more.
+def group_keys(n: int, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` lines and each group its key, and whether it has one: from ``GROUP_WORDS`` words on.
 
     A word's group are the leading bits of its hash, so a word that is
     replaced changes two of the four groups at most, wherever it stands; a
     line with one changed word keeps two groups and more.
     """
-    if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    group = (hashes >> np.uint64(62)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])]))
-    enough = np.diff(first, append=len(hashes)) >= GROUP_WORDS
-    return of[first][enough], mix(np.add.reduceat(mix(hashes), first) + group[first].astype(np.uint64))[enough]
+    keys, there = np.zeros((n, GROUPS), np.uint64), np.zeros((n, GROUPS), bool)
+    if len(hashes):
+        group = (hashes >> np.uint64(62)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])]))
+        at = of[first], group[first]
+        keys[at] = mix(np.add.reduceat(mix(hashes), first) + group[first].astype(np.uint64))
+        there[at] = np.diff(first, append=len(hashes)) >= GROUP_WORDS
+    return keys, there
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
@@ -99,7 +101,7 @@ def _ids(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) for n in lines], np.uint64).view(np.int64)
 
 
-_LINE = "doc_id long, file long, row long, number int, line long, simhash long, groups array<long>, words string"
+_LINE = "doc_id long, file long, row long, number int, line long, simhash long, " + ", ".join(f"g{k} long" for k in range(GROUPS)) + ", words string"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +114,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = [some.column(c).take(pa.array(of)) for c in ("doc_id", "file", "row")]
                 numbers = pa.array([k for own in found for k, _ in own], pa.int32())
                 words = distinct_words(lines)
-                line, key = group_keys(*words)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(lines)))])
-                groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*rows, numbers, pa.array(_ids(lines)), pa.array(_simhashes(len(lines), *words).view(np.int64)), groups, pa.array(lines, pa.string())], names=["doc_id", "file", "row", "number", "line", "simhash", "groups", "words"])
+                keys, there = group_keys(len(lines), *words)
+                groups = [pa.array(keys[:, k].view(np.int64), mask=~there[:, k]) for k in range(GROUPS)]
+                yield pa.RecordBatch.from_arrays([*rows, numbers, pa.array(_ids(lines)), pa.array(_simhashes(len(lines), *words).view(np.int64)), *groups, pa.array(lines, pa.string())], names=["doc_id", "file", "row", "number", "line", "simhash", *(f"g{k}" for k in range(GROUPS)), "words"])
 
 
 def _keys(simhash: Column, blocks: int, distance: int, bits: int = 64) -> Column:
@@ -128,8 +129,8 @@ def _keys(simhash: Column, blocks: int, distance: int, bits: int = 64) -> Column
     return F.array(*keys)
 
 
-def _near() -> Column:
-    return F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= F.col("most")
+def _apart() -> Column:
+    return F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -217,24 +218,26 @@ def _similar(pairs: DataFrame, occurrences: DataFrame, similarity: float) -> Dat
 
 def line_groups(occurrences: DataFrame, per_line: DataFrame, distance: int, reach: int, similarity: float) -> DataFrame:
     """The group of each line that has a near copy (node, component)."""
-    met_at = lambda keys, most: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(most).alias("most")))
-    keys = F.concat(met_at(_keys(F.col("simhash"), distance + MORE_BLOCKS, distance), reach), met_at(F.transform("groups", lambda g: F.xxhash64(F.lit(-1), g)), GROUP_REACH))
-    keyed = per_line.select("line", "simhash", F.explode(keys).alias("k")).select("line", "simhash", "k.*")
+    # The last bit of a key tells what kind it is, and so the bits that its pairs may differ in.
+    blocks = F.transform(_keys(F.col("simhash"), distance + MORE_BLOCKS, distance), lambda k: F.shiftleft(k, 1))
+    groups = F.filter(F.array(*(F.shiftleft(f"g{k}", 1).bitwiseOR(F.lit(1)) for k in range(GROUPS))), lambda k: k.isNotNull())
+    keyed = per_line.select("line", "simhash", F.explode(F.concat(blocks, groups)).alias("key"))
+    most = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, GROUP_REACH).otherwise(reach)
     # Under a key each line looks at the few lines after it. A key with more lines is crowded: there first a
     # star, then what is left.
     after = f"collect_list(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN 1 FOLLOWING AND {FEW} FOLLOWING)"
-    met = keyed.selectExpr("key", "line", "simhash", "most", f"{after} AS after", "first_value(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line) AS head", "count(*) OVER (PARTITION BY key) AS k")
-    near = F.filter("after", lambda y: F.bit_count(F.col("simhash").bitwiseXOR(y["simhash"])) <= F.col("most"))
-    met = met.where("k > 1").select("key", "line", "simhash", "most", "head", "k", F.transform(near, lambda y: y["line"]).alias("near"))
+    met = keyed.selectExpr("key", "line", "simhash", f"{after} AS after", "first_value(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line) AS head", "count(*) OVER (PARTITION BY key) AS k")
+    near = F.filter("after", lambda y: F.bit_count(F.col("simhash").bitwiseXOR(y["simhash"])) <= most)
+    met = met.where("k > 1").select("key", "line", "simhash", "head", "k", F.transform(near, lambda y: y["line"]).alias("near"))
     met = saved(met.where((F.size("near") > 0) | (F.col("k") > FEW)), "met-lines")
-    many = met.where(F.col("k") > FEW).select("key", "line", "simhash", "most", "head")
+    many = met.where(F.col("k") > FEW).select("key", "line", "simhash", "head")
     pairs = met.select(F.col("line").alias("a"), F.explode("near").alias("b"))
-    star = many.select(F.col("head.line").alias("x"), F.col("head.simhash").alias("ha"), F.col("line").alias("y"), F.col("simhash").alias("hb"), "most")
-    star = star.where((F.col("x") < F.col("y")) & _near()).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    star = many.select(F.col("head.line").alias("x"), F.col("head.simhash").alias("ha"), F.col("line").alias("y"), F.col("simhash").alias("hb"), "key")
+    star = star.where((F.col("x") < F.col("y")) & (_apart() <= most)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = saved(pairs.union(star).distinct(), "line-pairs")
     many = saved(many.drop("head"), "crowded-keys")
     done_with(met)
-    side = lambda rows, c, x, h, *more: rows.select("key", F.col("component").alias(c), F.col("line").alias(x), F.col("simhash").alias(h), *more)
+    side = lambda rows, c, x, h: rows.select("key", F.col("component").alias(c), F.col("line").alias(x), F.col("simhash").alias(h))
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = _similar(pairs, occurrences, similarity)
     found = saved(components(tried.where("linked").select("a", "b")), "line-components")
@@ -243,7 +246,7 @@ def line_groups(occurrences: DataFrame, per_line: DataFrame, distance: int, reac
     several = parts.groupBy("key").count().where("count > 1").select("key")
     parts = saved(parts.join(several, "key"), "mixed-keys")
     across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").where("ca < cb")
-    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb", "most"), ["key", "cb"]).where(_near()))
+    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb"), ["key", "cb"]).where(_apart() <= most))
     rest = saved(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-lines")
     done_with(many, placed, parts)
     if not rest.isEmpty():
@@ -267,7 +270,7 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, reach: int = REACH, si
 
     Reads ``doc_id`` and ``text``; other columns are left out. Lines end at a
     line feed. Normalised, two lines are compared when their SimHashes agree in
-    two of six blocks (``DISTANCE`` + ``MORE_BLOCKS``) and differ in at most ``reach`` bits, which holds for
+    two of five blocks (``DISTANCE`` + ``MORE_BLOCKS``) and differ in at most ``reach`` bits, which holds for
     all pairs within ``distance`` bits, or when a group of their words (see
     ``group_keys``) is the same and they differ in at most ``GROUP_REACH``
     bits. Neither depends on how many lines there are. They link when their edit similarity (1 - edit distance / longer length, in characters)
@@ -289,7 +292,7 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, reach: int = REACH, si
     )
     occurrences = saved(rows.mapInArrow(_hashed, _LINE), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "file", "row", "number")
-    per_line = saved(occurrences.groupBy("line").agg(F.first("simhash").alias("simhash"), F.first("groups").alias("groups"), F.min(place).alias("first"), F.count("*").alias("k")), "distinct-lines")
+    per_line = saved(occurrences.groupBy("line").agg(F.first("simhash").alias("simhash"), *(F.first(f"g{k}").alias(f"g{k}") for k in range(GROUPS)), F.min(place).alias("first"), F.count("*").alias("k")), "distinct-lines")
     places = _kept_places(per_line, line_groups(occurrences, per_line, distance, reach, similarity))
 
     hot = hot_keys(places.select("line", F.col("k").alias("n")), occurrences.count())

@@ -176,7 +176,8 @@ def test_line_dedup(spark, word, few, monkeypatch):
     places = [(i, n, k, s) for n, (i, t) in enumerate(rows) for k, s in _lines(t or "")]
     forms = sorted({s for *_, s in places})
     hashes = simhashes(forms)
-    groups = [{*group_keys(*distinct_words([f]))[1].tolist()} for f in forms]
+    keys, there = group_keys(len(forms), *distinct_words(forms))
+    groups = [{*k[t].tolist()} for k, t in zip(keys, there)]
     links = [(a, b) for a, b in combinations(range(len(forms)), 2) if meet(hashes[a], hashes[b], groups[a], groups[b]) and alike(forms[a], forms[b])]
     assert links
     component = joined(range(len(forms)), links)
@@ -238,10 +239,9 @@ def test_group_keys():
     lines = ["", "a b c d", " ".join(f"w{dice.randrange(10**6)}" for _ in range(40))]
     own = lines[2].split(" ")
     own[7] = "changed"
-    of, keys = group_keys(*distinct_words([*lines, " ".join(own), " ".join(reversed(own))]))
-    by = defaultdict(set)
-    for i, k in zip(of.tolist(), keys.tolist()):
-        by[i].add(k)
+    lines += [" ".join(own), " ".join(reversed(own))]
+    keys, there = group_keys(len(lines), *distinct_words(lines))
+    by = [{*k[t].tolist()} for k, t in zip(keys, there)]
     assert not by[0] and len(by[1]) <= 1 and len(by[2]) == 4 and by[3] == by[4] and 2 <= len(by[2] & by[3]) <= 3
 
 
