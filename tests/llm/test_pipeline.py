@@ -1,6 +1,5 @@
 """Each stage against a plain version of it, on its own input."""
 
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -57,12 +56,26 @@ def test_stages(spark, sf_dir, tmp_path):
     assert seen == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "packing"]
 
 
-def test_run(spark, sf_dir):
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    assert rows and all(zlib.crc32(bytes(r["ids"])) >= 0 and r["length"] * 4 == len(r["ids"]) for r in rows)
+def test_run(spark, with_null_id, tmp_path):
+    """All stages in a row against their plain versions in a row, with a null id and a repeated row."""
+    item = with_null_id.where("doc_id = 40").first()["text"]
+    with_null_id.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in with_null_id.collect() if any(map(str.isalpha, r["text"] or ""))]
+    last = {}
+    for doc_id, text in rows:
+        last[text] = max(last.get(text, -1), -1 if doc_id is None else doc_id)
+    kept = {i: t for t, i in last.items()}
+    assert -1 not in kept and len(kept) == len(last) < len(rows)
+    component = brute([{"doc_id": i, "text": t} for i, t in kept.items()])[1]
+    kept = {i: t for i, t in kept.items() if component[i] == i and item.lower().rstrip(".") not in t.lower()}
+    library, pieces = PieceTokenizer(vocabulary()), defaultdict(bytes)
+    for r in corpus_pipeline.run(spark, f"file://{tmp_path}").orderBy("doc_id", "start").collect():
+        pieces[r["doc_id"]] += bytes(r["ids"])
+    assert dict(pieces) == {i: np.array(library.library.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for i, t in kept.items()}
 
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
