@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,6 +20,7 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if str(root) in on_path or app in _shipped:
         return
-    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(), Path(__file__).parent.name), "zip", root, Path(__file__).parent.name)
-    spark.sparkContext.addPyFile(zipped)
+    folder = tempfile.mkdtemp()  # the driver's own; Spark hands the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, Path(__file__).parent.name), "zip", root, Path(__file__).parent.name))
     _shipped.add(app)
