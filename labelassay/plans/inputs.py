@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import WARNING
-from ..session import ship_package
+from ..session import dealt, ship_package
 
 CLASS = """CASE p_size % 7 WHEN 0 THEN 'Kentucky Straight Bourbon Whiskey' WHEN 1 THEN 'Red Wine' WHEN 2 THEN 'Pale Ale'
  WHEN 3 THEN 'London Dry Gin' WHEN 4 THEN 'Wine' WHEN 5 THEN 'Chardonnay' ELSE 'Distilled Spirits' END"""
@@ -75,6 +75,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``part``, dealt over tasks."""
+    ship_package(spark)
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL after the derived inputs it reads."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " " + sql

@@ -22,7 +22,7 @@ from ..operators.heading import heading_bold, word_density
 from ..sources.files import docx_file, images_of, read_documents, texts_of, write_files
 from ..storage import kept_table, scratch_path
 from ..streaming.arrivals import run_arrivals
-from .inputs import view, with_views
+from .inputs import dealt_parts, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -634,7 +634,7 @@ def q44_tristate_and_score(spark, d):
 def q45_document_images(spark, d):
     """Photos inside documents: by relationships, large enough; a third of the files are broken."""
     png = lambda w, h: F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(w), 8, "0")), F.unhex(F.lpad(F.hex(h), 8, "0")))
-    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), F.array(png(100 + F.col("p_size") * 5, F.lit(160)), png(F.lit(200), F.lit(150)), png(F.lit(149), F.lit(900))).alias("photos"), (F.col("p_partkey") % 3 > 0).alias("sound"))
+    parts = dealt_parts(spark, d).select(F.col("p_partkey").cast("string").alias("path"), F.array(png(100 + F.col("p_size") * 5, F.lit(160)), png(F.lit(200), F.lit(150)), png(F.lit(149), F.lit(900))).alias("photos"), (F.col("p_partkey") % 3 > 0).alias("sound"))
     files = parts.select("path", F.lit("docx").alias("kind"), F.when(F.col("sound"), docx_file(F.array(F.lit("x")), F.col("photos"))).otherwise(F.lit(b"no file")).alias("content"))
     return images_of(files).select("path", "number", "width", "height")
 
