@@ -19,7 +19,7 @@ from ..operators import redecide as R
 from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
-from ..sources.files import docx_file, images_of, read_documents, texts_of, write_files
+from ..sources.files import docx_file, images_of, read_folders, texts_of, write_files
 from ..storage import kept_table, scratch_path
 from ..streaming.arrivals import run_arrivals
 from .inputs import dealt_parts, view, with_views
@@ -687,12 +687,12 @@ def q52_stream_dedup(spark, d):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 10 > 0 THEN p_name || chr(10) || p_type END AS text, CASE WHEN p_partkey % 10 = 0 THEN 'Unsupported document type: .txt' END AS error FROM part")
 def q54_document_files(spark, d):
-    """A DOCX file for each part, one in ten with another extension, written to a folder and read back."""
+    """A DOCX file for each part, one in ten with another extension, written to folders of some thousands and read back."""
     folder = scratch_path(spark, "documents")
-    parts = spark.read.parquet(f"{d}/part.parquet")
-    name = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 10 == 0, ".txt").when(F.col("p_partkey") % 10 == 1, ".DOCX").otherwise(".docx"))
+    parts = dealt_parts(spark, d)
+    name = F.concat(F.floor(F.col("p_partkey") / 4096).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 10 == 0, ".txt").when(F.col("p_partkey") % 10 == 1, ".DOCX").otherwise(".docx"))
     kept_table(write_files(parts.select(name.alias("name"), docx_file(F.array("p_name", "p_type")).alias("content")), folder), "written-files")
-    return read_documents(spark, folder).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "text", "error")
+    return read_folders(spark, folder).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "text", "error")
 
 
 EDITED = "CASE o_custkey % 3 WHEN 0 THEN ' 750 mL' WHEN 1 THEN '2 L' ELSE '  ' END"
