@@ -35,6 +35,11 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that costs much: worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -107,8 +112,12 @@ def looks_like_address_end(line: Column) -> Column:
 
 def trim_to_address_end(text: Column) -> Column:
     """Up to the last ZIP code, state or country; unchanged without one."""
-    upto = found(text, rf"(?sU)^(.*(?:{ZIP}|{CODE}|{NAME}|{COUNTRY}))", 1)
-    return F.coalesce(F.btrim(upto, F.lit(" ,.-")), text)
+
+    def trimmed(text: Column) -> Column:
+        upto = F.regexp_extract(text, rf"(?sU)^(.*(?:{ZIP}|{CODE}|{NAME}|{COUNTRY}))", 1)
+        return once(upto, lambda upto: F.when(upto != "", F.btrim(upto, F.lit(" ,.-"))).otherwise(text))
+
+    return once(text, trimmed)
 
 
 def strip_producer_phrase(text: Column) -> Column:
@@ -117,7 +126,7 @@ def strip_producer_phrase(text: Column) -> Column:
 
 
 def finalize_producer(text: Column) -> Column:
-    return F.when(text == "", text).otherwise(trim_to_address_end(strip_producer_phrase(text)))
+    return once(text, lambda text: F.when(text == "", text).otherwise(trim_to_address_end(strip_producer_phrase(text))))
 
 
 def producer_keywords(text: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import extract_abv, extract_checkbox_class, extract_class_type, extract_country, extract_net_contents, strip_class_label, strip_trailing_noise
-from ..functions.text import finalize_producer, looks_like_address_end, stripped, trim_to_address_end
-from .layout import has_anchor
+from ..functions.text import finalize_producer, looks_like_address_end, once, stripped, trim_to_address_end
+from .layout import any_anchor, has_anchor
 
 # How forms head each field, the most telling pattern first.
 ROLE = r"(?:PRODUCER|BOTTLER|IMPORTER|PERMITTEE|APPLICANT)"
@@ -57,28 +57,31 @@ def _capture(lines: Column, first: Column, limit: int, stop, last) -> Column:
     it; ``stop`` ends before a line and ``last`` after it."""
 
     def step(s: Column, raw: Column) -> Column:
-        line = stripped(raw)
-        blank = line == ""
+        return F.when(s["done"], s).otherwise(once(stripped(raw), lambda line: after(s, line)))
+
+    def after(s: Column, line: Column) -> Column:
         on_blank = _next(s, s["out"], F.when(s["started"], s["blanks"] + 1).otherwise(0), s["started"], s["started"] & (s["blanks"] >= 1))
         grown = F.array_append(s["out"], line)
         taken = _next(s, grown, F.lit(0), F.lit(True), last(line) | (F.size(grown) >= limit))
         ended = _next(s, s["out"], F.lit(0), F.lit(True), F.lit(True))
-        here = F.when(stop(line), ended).otherwise(taken)
-        return F.when(s["done"], s).when(blank, on_blank).otherwise(here)
+        return F.when(line == "", on_blank).when(stop(line), ended).otherwise(taken)
 
     return F.aggregate(lines, _start(first), step, lambda s: stripped(F.array_join(s["out"], " ")))
 
 
 def extract_producer(text: Column) -> Column:
     """The first line with a producer's phrase and the address lines under it ('' for a bare phrase)."""
-    lines = F.transform(text_lines(text), stripped)
-    marked = F.transform(lines, lambda x, i: F.struct(has_anchor(x).alias("hit"), i.alias("i"), x.alias("x")))
-    at = F.get(F.filter(marked, lambda m: m["hit"]), F.lit(0))
-    upper = F.upper
-    below = F.slice(lines, at["i"] + 2, 7)
-    stop = lambda x: has_anchor(x) | upper(x).contains("GOVERNMENT WARNING") | upper(x).contains("PRODUCT OF")
-    long_form = _capture(below, at["x"], 5, stop, looks_like_address_end)
-    return finalize_producer(F.when(looks_like_address_end(at["x"]), stripped(at["x"])).otherwise(long_form))
+    stop = lambda x: once(F.upper(x), lambda u: any_anchor(u) | u.contains("GOVERNMENT WARNING") | u.contains("PRODUCT OF"))
+
+    def from_line(at: Column, lines: Column) -> Column:
+        long_form = _capture(F.slice(lines, at["i"] + 2, 7), at["x"], 5, stop, looks_like_address_end)
+        return finalize_producer(F.when(looks_like_address_end(at["x"]), stripped(at["x"])).otherwise(long_form))
+
+    def of_lines(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(has_anchor(x).alias("hit"), i.alias("i"), x.alias("x"))), lambda m: m["hit"])
+        return once(F.get(marked, F.lit(0)), lambda at: F.when(at.isNotNull(), from_line(at, lines)))
+
+    return once(F.transform(text_lines(text), stripped), of_lines)
 
 
 #: Of each field how many lines a value under its label may have, and whether it ends where an address does.

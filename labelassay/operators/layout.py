@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIELDS, PRODUCER_ANCHORS, Thresholds
-from ..functions.text import finalize_producer, looks_like_address_end, stripped
+from ..functions.text import finalize_producer, looks_like_address_end, once, stripped
 
 NOT_BRAND = r"(?iu)GOVERNMENT WARNING|PRODUCED|BOTTLED|IMPORTED|DISTILLED|VINTED|BREWED|PRODUCT OF|PROOF|ALC|VOL|%"
 
@@ -73,7 +73,11 @@ def cluster(lines: DataFrame, start: DataFrame, max_lines: int, gap: float, rati
 
 
 def has_anchor(text: Column) -> Column:
-    upper = F.upper(text)
+    return once(F.upper(text), any_anchor)
+
+
+def any_anchor(upper: Column) -> Column:
+    """Whether a text in capitals has a producer's phrase."""
     out = F.lit(False)
     for phrase in PRODUCER_ANCHORS:
         out = out | upper.contains(phrase)
