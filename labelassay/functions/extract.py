@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CLASS_KEYWORDS, CLASS_SUFFIXES
-from .text import first_by_rank, found, stripped, trie_pattern
+from .text import first_by_rank, found, once, stripped, trie_pattern
 
 # Patterns that decide what is found.
 ABV_AFTER = r"(?iuU)(\d{1,3}(?:\.\d+)?)\s*%\s*ALC(?:OHOL)?\.?\s*(?:BY|/)\s*VOL\.?"
@@ -72,8 +72,9 @@ def extract_class_type(text: Column) -> Column:
     """
     word = lambda h: F.lower(F.translate(F.regexp_replace(F.regexp_extract(h, f"^{DESIGNATION}", 0), r"(?U)\s+", " "), *FOLDED))
     best = first_by_rank(F.regexp_extract_all(text, F.lit(DESIGNATION_AT), F.lit(1)), CLASS_KEYWORDS, word)
-    keyword = F.get(F.array(*map(F.lit, CLASS_KEYWORDS)), best["rank"])
-    return F.coalesce(F.nullif(strip_trailing_noise(strip_class_label(collapsed(best["hit"]))), F.lit("")), F.initcap(keyword))
+    keyword = lambda best: F.initcap(F.get(F.array(*map(F.lit, CLASS_KEYWORDS)), best["rank"]))
+    clean = lambda best: strip_trailing_noise(strip_class_label(collapsed(best["hit"])))
+    return once(best, lambda best: once(clean(best), lambda hit: F.when(hit != "", hit).otherwise(keyword(best))))
 
 
 def extract_fields(text: Column) -> dict[str, Column]:
