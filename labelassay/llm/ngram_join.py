@@ -23,6 +23,7 @@ MOST_MATCHES = 4
 SALT_ROWS = 4096
 HEAVY = 8  # pairs for each row of an index entry from which stars are tried first
 TRIES = 8  # pairs that a component tries in a round of stars
+PARITY_WORDS = 8  # 64-bit words of a set's parity bits
 NULL_ID = (1 << 63) - 1
 
 
@@ -31,11 +32,27 @@ def needed(n: np.ndarray | int, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-# ---- pass 1: set sizes, set digests, and a count of shingles by hash ------------------
+# ---- pass 1: set sizes, set digests, parity bits, and a count of shingles by hash ------
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``PARITY_WORDS`` words (int64) for each set: a bit is 1 if an odd number of its shingles fall on it.
+
+    Shingles of both sets cancel out, so two sets differ by at least as many
+    shingles as their bits do.
+    """
+    bits = 64 * PARITY_WORDS
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * bits
+    own += (np.concatenate(sets) >> np.uint64(24)).astype(np.int64) & (bits - 1)
+    odd = np.bincount(own, minlength=len(sets) * bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(len(sets), PARITY_WORDS)
+
+
+_BITS = [f"bits{i}" for i in range(PARITY_WORDS)]
 
 
 def _sizes(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), *((b, pa.int64()) for b in _BITS), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
@@ -47,11 +64,11 @@ def _sizes(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 counts[at] += times.astype(np.uint32)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 none = [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *map(pa.array, np.ascontiguousarray(parities(sets).T)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
         if counts.any():
             parts = [zlib.compress(counts[i : i + CHUNK].astype("<i8").tobytes(), 1) for i in range(0, SKETCH, CHUNK)]
             none = [None] * len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), *(pa.array(none, pa.int64()) for _ in _BITS), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -175,6 +192,13 @@ def _may_link(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _bits_may_link(percent: int) -> Column:
+    """Whether two sets' parity bits leave them few enough differing shingles (their sizes less twice the overlap of a link); without bits they may."""
+    both = F.col("nx") + F.col("ny")
+    differing = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in _BITS), F.lit(0))
+    return F.coalesce(differing, F.lit(0)) <= both - 2 * F.ceil(percent * both / (100 + percent))
+
+
 def _met(pairs: DataFrame, percent: int, *more: Column) -> DataFrame:
     """Pairs whose sizes fit: how often they meet in their prefixes (``met``) and must meet (``matches``).
 
@@ -212,14 +236,20 @@ def _members_and_parts(mixed: DataFrame, percent: int) -> DataFrame:
     parts = rows.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("reach").alias("reach"), F.count("*").alias("k"))
     one, two = (parts.toDF("token", f"c{x}", f"least{x}", f"reach{x}", f"k{x}") for x in "ab")
     across = one.join(two, "token").where("(ka < kb OR ka = kb AND ca < cb) AND leasta <= reachb AND leastb <= reacha").select("token", "ca", "cb", "leastb", "reachb")
-    left = rows.select("token", F.col("component").alias("ca"), *_of("x"), F.col("reach").alias("reachx"))
+    left = rows.select("token", F.col("component").alias("ca"), *_of("x"), *(F.col(b).alias(f"{b}x") for b in _BITS), F.col("reach").alias("reachx"))
     return across.join(left, ["token", "ca"]).where("nx <= reachb AND leastb <= reachx").drop("leastb", "reachb")
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows of an entry in different components, each in the other's reach."""
-    right = mixed.select("token", F.col("component").alias("cb"), *_of("y"), _reach(percent).alias("reachy"))
-    return _members_and_parts(mixed, percent).join(right, ["token", "cb"]).where("ny <= reachx AND nx <= reachy")
+    """Pairs (x, y) of rows of an entry in different components, each in the other's reach, whose parity bits allow a link.
+
+    Members of components that share an entry and don't link are as many pairs
+    as the square of the components; the bits decide within the join, so that
+    they aren't rows.
+    """
+    right = mixed.select("token", F.col("component").alias("cb"), *_of("y"), *(F.col(b).alias(f"{b}y") for b in _BITS), _reach(percent).alias("reachy"))
+    pairs = _members_and_parts(mixed, percent).join(right, ["token", "cb"]).where(F.expr("ny <= reachx AND nx <= reachy") & _bits_may_link(percent))
+    return pairs.drop(*(f"{b}{x}" for b in _BITS for x in "xy"))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
@@ -247,11 +277,10 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id"))
-    first = saved(rows.drop("hash").mapInArrow(_sizes(words), "doc_id long, n long, digest binary, chunk int, counts binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16))), "shingle-sizes")
+    first = saved(rows.drop("hash").mapInArrow(_sizes(words), f"doc_id long, n long, digest binary, {', '.join(f'{b} long' for b in _BITS)}, chunk int, counts binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16))), "shingle-sizes")
     classed = _classes(first.where("chunk IS NULL").select("doc_id", "n", "digest"))
     leaders = classed.where("n > 0").select(F.col("class_id").alias("id")).distinct()
     counts = spark.sparkContext.broadcast(_sketch(first.where("chunk IS NOT NULL").select("chunk", "counts", "slice")))
-    done_with(first)
     bits = spark.sparkContext.broadcast(bloom_bits(leaders, leaders.count()))
     index = rows.mapInArrow(_prefixes(words, percent, counts, bits), "token long, salt int, doc long, packed long")
 
@@ -296,12 +325,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star
             break
 
     # What is left: all pairs from different components of an entry.
-    pairs = _across(mixed, percent)
+    # A doc_id that several rows share has several sets, and no bits: all its pairs pass.
+    parity = first.where("n > 0").groupBy(F.col("doc_id").alias("doc")).agg(*(F.when(F.count("*") == 1, F.min(b)).alias(b) for b in _BITS))
+    pairs = _across(mixed.join(parity, "doc"), percent)
     turned = F.col("x") > F.col("y")
     pairs = pairs.select(*(F.when(turned, F.col(f"{k}{p}")).otherwise(F.col(f"{k}{q}")).alias(f"{k}{out}") for k in ("", "n", "m", "p") for p, q, out in (("y", "x", "a"), ("x", "y", "b"))))
     met = _met(pairs, percent).unionByName(begun).groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("matches").alias("matches"))
     rest = saved(met.where("met >= matches").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
-    done_with(*own)
+    done_with(first, *own)
     if not rest.isEmpty():
         tried = tried.unionByName(_checked(rows, rest, words, percent))
 

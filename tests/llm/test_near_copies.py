@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from labelassay.llm.line_dedup import DISTANCE, GROUP_REACH, MORE_BLOCKS, REACH, _lines, distinct_words, edit_distance, group_keys, line_dedup, normalise, similar, simhashes
-from labelassay.llm.ngram_join import SKETCH, needed, ngram_join, prefix
+from labelassay.llm.ngram_join import _BITS, SKETCH, _across, needed, ngram_join, parities, prefix
 from labelassay.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,3 +307,25 @@ def test_linked_sets_meet_inside_the_prefixes_of_their_pair(both, only_a, only_b
     assert len(met) >= m
     reach = lambda n, place, own: (n - place + own - 1) * 175 / 75 - n
     assert all(len(b) <= reach(len(a), at_a[t], ma) + 1e-9 and len(a) <= reach(len(b), at_b[t], mb) + 1e-9 for t in met)
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+def test_sets_differ_by_at_least_their_parity_bits(both, only_a, only_b):
+    a, b = both | only_a, both | only_b
+    x, y = parities([np.array(sorted(s), np.uint64) for s in (a, b)])
+    assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+
+
+def test_components_of_an_entry_that_cannot_link_are_no_pairs(spark):
+    """120 sets share 40 of their 100 shingles and one differs from the first by a few: of 7260 pairs a row for each link, few others."""
+    dice = np.random.default_rng(5)
+    new = lambda n: dice.integers(0, 1 << 64, n, np.uint64)
+    shared = new(40)
+    sets = [np.concatenate([shared, new(60)]) for _ in range(120)]
+    sets.append(np.concatenate([sets[0][:95], new(5)]))
+    rows = [(1, i, 100, 1, 0, i, *bits) for i, bits in enumerate(parities(sets).tolist())]
+    mixed = spark.createDataFrame(rows, "token long, doc long, n long, m long, place long, component long, " + ", ".join(f"{b} long" for b in _BITS))
+    found = {(min(r.x, r.y), max(r.x, r.y)) for r in _across(mixed, 75).collect()}
+    assert (0, 120) in found and len(found) < 200
+    unknown = mixed.withColumns({b: F.lit(None).cast("long") for b in _BITS})  # no bits: a doc_id with several sets
+    assert _across(unknown, 75).count() == 121 * 120 // 2
