@@ -20,7 +20,7 @@ from ..operators import store as S
 from ..operators import verdict as V
 from ..operators.heading import heading_bold, word_density
 from ..sources.files import docx_file, images_of, read_folders, texts_of, write_files
-from ..storage import kept_table, scratch_path
+from ..storage import drop_table, kept_table, scratch_path
 from ..streaming.arrivals import run_arrivals
 from .inputs import dealt_parts, view, with_views
 
@@ -583,8 +583,10 @@ def q41_run_summary(spark, d):
 
 def _saved(spark, d):
     """Version rows of saved verifications: a record for each group of photo results, its fields by the run's parity."""
-    results = view(spark, d, "photo_results").withColumn("field_key", F.lit("net_contents"))
-    fields = V.group_summary(results, ["run_id"], fields=("net_contents",))
+    # Both are read several times below: written once, as is what the summary reads.
+    results = kept_table(view(spark, d, "photo_results").withColumn("field_key", F.lit("net_contents")), "photo-results")
+    fields = kept_table(V.group_summary(results, ["run_id"], fields=("net_contents",)), "summaries")
+    drop_table(results)
     fields = fields.withColumn("field_key", F.when(F.col("run_id") % 2 == 0, "brand_name").otherwise("net_contents")).withColumn("record", F.floor(F.col("run_id") / 2))
     fields = fields.withColumn("computed_status", F.lit(None).cast("string")).withColumn("manual_override", F.lit(False))
     marks = fields.select("record").distinct().select("record", (F.col("record") % 2 == 0).alias("caps_ok"), F.lit(None).cast("boolean").alias("bold_ok"))
