@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, parts_for, saved, scratch_path, text_bytes, texts
+from ..session import dealt
+from .common import by_size, forget_kept, parts_for, saved, scratch_path, text_bytes, texts
 from .tokens import TEXT_BYTES, tokenizer
 
 MAGIC = b"PFR1"
@@ -225,31 +226,52 @@ def write_id_blocks(docs: DataFrame, vocabulary: str, folder: str, end: int = 0,
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-            before = 0
-            for segment in segments(memoryview(raw.as_buffer())):
-                valid, doc_ids, counts, ids = decode_segment(segment)
-                ends = np.cumsum(counts)
-                own = memoryview(ids.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path.rsplit("/", 1)[-1]] * len(counts), pa.string()),
-                        pa.array(doc_ids, pa.int64(), mask=valid == 0),
-                        pa.array(before + ends - counts, pa.int64()),
-                        pa.array([own[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
-                    ],
-                    names=["file", "doc_id", "inside", "ids"],
-                )
-                before += int(ends[-1])
+def _whole_read(stream, n: int) -> bytes:
+    """The next ``n`` bytes, also where a store hands out fewer at a time; fewer only at the end."""
+    raw = stream.read(n)
+    while 0 < len(raw) < n and (more := stream.read(n - len(raw))):
+        raw += more
+    return raw
+
+
+def _segments_of(stream) -> Iterator[bytes]:
+    """The segments of an open file, one at a time."""
+    while head := _whole_read(stream, HEAD.itemsize):
+        yield head + _whole_read(stream, int(np.frombuffer(head, HEAD)[0]["bytes"]) - len(head))
+
+
+def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        forget_kept()  # the tokenizer and its pieces
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, before in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+                with store.open_input_stream(f"{path}/{name}") as stream:
+                    for segment in _segments_of(stream):
+                        valid, doc_ids, counts, ids = decode_segment(memoryview(segment))
+                        ends = np.cumsum(counts)
+                        own = memoryview(ids.astype("<u4").tobytes())
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(doc_ids, pa.int64(), mask=valid == 0),
+                                pa.array(before + ends - counts, pa.int64()),
+                                pa.array([own[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
+                            ],
+                            names=["doc_id", "start", "ids"],
+                        )
+                        before += int(ends[-1])
+
+    return read
 
 
 def read_id_blocks(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Documents from the files: doc_id, start (ids before it), ids (little-endian unsigned 32-bit)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content")
-    docs = files.mapInArrow(_read, "file string, doc_id long, inside long, ids binary")
-    return docs.join(manifest.select("file", F.col("start").alias("before")), "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "ids")
+    """Documents from the files: doc_id, start (ids before it), ids (little-endian unsigned 32-bit).
+
+    Files are dealt over tasks, and a task holds one segment of them at a time.
+    """
+    return dealt(manifest.select("file", "start")).mapInArrow(_reader(folder), "doc_id long, start long, ids binary")
 
 
 def id_block_digest(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:

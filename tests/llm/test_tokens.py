@@ -2,10 +2,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from labelassay.llm import id_blocks, tokens
 from labelassay.llm.id_blocks import decode_segment, encode_segment, id_block_digest, segments
 from labelassay.llm.packing import first_fit_decreasing, pack, pack_digest
 from labelassay.llm.queries import vocabulary
@@ -106,3 +108,20 @@ def test_packing(with_null_id, library):
 def test_packing_digest(empty, docs):
     assert pack_digest(empty, vocabulary()).collect() == []
     assert pack_digest(docs, vocabulary()).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_id_files_are_read_a_segment_at_a_time(tmp_path, monkeypatch):
+    """A file of millions of ids went whole through the JVM, beside the tokenizer's pieces that the worker kept."""
+    counts = np.array([3, 0, 4])
+    parts = [encode_segment(np.array([1, 0, 1]), np.array([7, 0, 9]) + k, counts, np.arange(7, dtype=np.uint32) + k) for k in range(5)]
+    (tmp_path / "a.pfr").write_bytes(b"".join(parts))
+    monkeypatch.setitem(tokens._loaded, "other", object())
+    held, whole = [], id_blocks._whole_read
+    monkeypatch.setattr(id_blocks, "_whole_read", lambda stream, n: held.append(n) or whole(stream, n))
+    manifest = pa.RecordBatch.from_pylist([{"file": "a.pfr", "start": 100}])
+    read = list(id_blocks._reader(f"file://{tmp_path}")(iter([manifest])))
+    assert len(read) == 5 and max(held) < len(parts[0]) and not tokens._loaded
+    for k, batch in enumerate(read):
+        assert batch.column("doc_id").to_pylist() == [7 + k, None, 9 + k]
+        assert batch.column("start").to_pylist() == [100 + 7 * k, 103 + 7 * k, 103 + 7 * k]
+        assert [np.frombuffer(x, "<u4").tolist() for x in batch.column("ids").to_pylist()] == [[k, k + 1, k + 2], [], [k + 3, k + 4, k + 5, k + 6]]
