@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, located, parts_for, text_bytes, texts
+from .common import by_size, located, parts_for, text_bytes
 from .shingles import mix
 from .tokens import TEXT_BYTES, tokenizer
 
@@ -48,7 +48,7 @@ def _cutter(vocabulary: str, end: int, capacity: int, groups: int) -> Callable[[
         for batch in batches:
             for some in by_size(batch, "text", TEXT_BYTES):
                 rows, seeds = [], []
-                for doc_id, seed, raw in zip(*(some.column(c).to_pylist() for c in ("doc_id", "seed")), library.encode(texts(some))):
+                for doc_id, seed, raw in zip(*(some.column(c).to_pylist() for c in ("doc_id", "seed")), library.encode(some.column("text"))):
                     raw += tail
                     n = len(raw) // 4
                     rows += [(doc_id, s, min(capacity, n - s), n, raw[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]

@@ -32,6 +32,25 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert library.encode(texts) == [library.whole(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n'-,.sSt1\u00e9\u00df\u00d7\u2028\u2003\u4e2d\u0436\x1f\x85\t", max_size=30), max_size=6))
+def test_cut_pieces_give_the_ids_of_whole_texts(texts):
+    own = test_cut_pieces_give_the_ids_of_whole_texts
+    own.kept = library = getattr(own, "kept", None) or PieceTokenizer(vocabulary(), keep=20)
+    column = pa.array(["x", *texts, None, "", "It's (all) a-b.\nT\u00eate 12, 'tis <|endoftext|>.\n\nNo"]).slice(1)
+    assert library.encode(column) == [library.whole(t or "") for t in column.to_pylist()]
+
+
+def test_a_word_reaches_the_library_once_whatever_mark_follows():
+    """Pieces were cut at spaces alone: a word was encoded anew with each mark or line after it."""
+    library, seen = PieceTokenizer(vocabulary()), []
+    spaced = library._encode_spaced
+    library._encode_spaced = lambda words: seen.extend(words) or spaced(words)
+    text = "so thingon, thingon. thingon; (thingon) thingon\nso thingon:\nso thingon"
+    assert library.encode([text, text + "."]) == [library.whole(text), library.whole(text + ".")]
+    assert seen == [b" thingon"] and b"thingon" in library.new
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=300), max_size=4))
 def test_blocks_round_trip(docs):
