@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import dealt
-from .common import by_size, forget_kept, parts_for, saved, scratch_path, text_bytes, texts
+from .common import by_size, forget_kept, parts_for, saved, scratch_path, text_bytes, trim_heap
 from .tokens import TEXT_BYTES, tokenizer
 
 MAGIC = b"PFR1"
@@ -193,7 +193,7 @@ def _writer(folder: str, vocabulary: str, end: int, segment_ids: int, file_ids:
 
         for batch in batches:
             for some in by_size(batch, "text", TEXT_BYTES):
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(texts(some))):
+                for doc_id, raw in zip(some.column("doc_id").to_pylist(), library.encode(some.column("text"))):
                     held.append((doc_id is not None, doc_id or 0, raw + tail))
                     held_ids += len(raw) // 4 + 1
                     if held_ids >= segment_ids:
@@ -204,6 +204,9 @@ def _writer(folder: str, vocabulary: str, end: int, segment_ids: int, file_ids:
             flush()
         if out:
             yield close()
+        # Spark hands tasks to idle workers in turn, so all of an executor's workers would keep pieces.
+        library.forget_pieces()
+        trim_heap()
 
     return write
 

@@ -120,6 +120,9 @@ class PieceTokenizer:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def forget_pieces(self) -> None:
+        self.new, self.old = {}, {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 

@@ -144,3 +144,15 @@ def test_id_files_are_read_a_segment_at_a_time(tmp_path, monkeypatch):
         assert batch.column("doc_id").to_pylist() == [7 + k, None, 9 + k]
         assert batch.column("start").to_pylist() == [100 + 7 * k, 103 + 7 * k, 103 + 7 * k]
         assert [np.frombuffer(x, "<u4").tolist() for x in batch.column("ids").to_pylist()] == [[k, k + 1, k + 2], [], [k + 3, k + 4, k + 5, k + 6]]
+
+
+def test_a_written_task_leaves_no_pieces_in_its_worker(tmp_path, monkeypatch):
+    """Idle workers take tasks in turn: each of an executor's kept up to two dictionaries of pieces."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls()), "partitionId": lambda self: 0}))
+    library = tokens.tokenizer(vocabulary())
+    rows = pa.RecordBatch.from_pylist([{"doc_id": 3, "text": "one two, three"}, {"doc_id": None, "text": None}])
+    made = list(id_blocks._writer(f"file://{tmp_path}", vocabulary(), 0, 250_000, 8_000_000)(iter([rows])))
+    assert made[0].column("n_docs").to_pylist() == [2]
+    assert tokens.tokenizer(vocabulary()) is library and not library.new and not library.old
