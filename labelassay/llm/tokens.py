@@ -15,6 +15,7 @@ from .common import KEPT_IN_WORKER, trim_heap
 #: Unicode's spaces beyond ASCII, in UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 TEXT_BYTES = 4 << 20  # text given to ``encode`` at a time (one document at least)
+CALL = 5000  # pieces given to the library in one call, which holds far more memory than their text
 _loaded: dict[str, PieceTokenizer] = {}
 KEPT_IN_WORKER.append(_loaded)
 
@@ -138,8 +139,9 @@ class PieceTokenizer:
             asked = [pieces[k] for k in missing]
             fresh = {p: ids for p, ids in zip(asked, map(self.old.get, asked)) if ids is not None}
         for some, ids_of in zip(_words_and_rest([pieces[k] for k in missing if pieces[k] not in fresh]), (self._encode_spaced, self._encode_words, self._encode_rest)):
-            if some:
-                fresh.update(zip(some, ids_of(some), strict=True))
+            for k in range(0, len(some), CALL):
+                own = some[k : k + CALL]
+                fresh.update(zip(own, ids_of(own), strict=True))
         for k in missing:
             found[k] = fresh[pieces[k]]
         self.new.update(fresh)
