@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, located, parts_for, text_bytes
+from .common import by_size, located, parts_for, text_bytes, trim_heap
 from .shingles import mix
 from .tokens import TEXT_BYTES, tokenizer
 
@@ -58,6 +58,9 @@ def _cutter(vocabulary: str, end: int, capacity: int, groups: int) -> Callable[[
                 dice = mix(np.array(seeds, np.int64).view(np.uint64))
                 columns.append((dice % np.uint64(groups)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "start", "length", "doc_tokens", "ids", "pack_group"])
+        # Spark hands tasks to idle workers in turn, so all of an executor's workers would keep pieces.
+        library.forget_pieces()
+        trim_heap()
 
     return cut
 

@@ -156,3 +156,20 @@ def test_a_written_task_leaves_no_pieces_in_its_worker(tmp_path, monkeypatch):
     made = list(id_blocks._writer(f"file://{tmp_path}", vocabulary(), 0, 250_000, 8_000_000)(iter([rows])))
     assert made[0].column("n_docs").to_pylist() == [2]
     assert tokens.tokenizer(vocabulary()) is library and not library.new and not library.old
+
+
+def test_a_packed_task_leaves_no_pieces_in_its_worker():
+    from labelassay.llm.packing import _cutter
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words, more words", None], "seed": [5, 6]})
+    rows = [r for b in _cutter(vocabulary(), 1, 4, 2)([batch]) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in rows} == {1, 2}
+    kept = tokens.tokenizer(vocabulary())
+    assert not kept.new and not kept.old
+
+
+def test_a_state_store_takes_little_memory():
+    """An executor may hold hundreds of stores; each takes an eighth of a write buffer (64 MB by default) at once."""
+    from labelassay.llm.stream_dedup import STATE_ON_DISK
+
+    assert int(STATE_ON_DISK["spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB"]) <= 8
