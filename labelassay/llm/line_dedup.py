@@ -20,7 +20,7 @@ from .shingles import mix, word_hashes
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _ODD = re.compile(r"[^\w\x00-\x7f]")
-_SPACED = {c: " " for c in range(128) if not chr(c).isalnum()}
+_SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 DISTANCE = 3  # bits; the blocks find every pair within this
 MORE_BLOCKS = 2  # than ``DISTANCE``: so many blocks are a key
 REACH = 10  # bits; pairs that meet under a key are compared up to this
@@ -33,9 +33,9 @@ GROUP_REACH = 24  # bits, for pairs that meet under the words of a group
 def normalise(line: str) -> str:
     """Lower case; each run of other characters than letters and digits is one space."""
     line = line.lower()
-    if _ODD.search(line):
+    if not line.isascii() and _ODD.search(line):
         return _NOT_WORD.sub(" ", line).strip()
-    return " ".join(line.translate(_SPACED).split())  # the same, faster
+    return b" ".join(line.encode().translate(_SPACED).split()).decode()  # the same, faster
 
 
 #: For each byte its eight bits as the eight bytes of a number, so that sums count bits.
@@ -223,38 +223,55 @@ def line_groups(occurrences: DataFrame, per_line: DataFrame, distance: int, reac
     groups = F.filter(F.array(*(F.shiftleft(f"g{k}", 1).bitwiseOR(F.lit(1)) for k in range(GROUPS))), lambda k: k.isNotNull())
     keyed = per_line.select("line", "simhash", F.explode(F.concat(blocks, groups)).alias("key"))
     most = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, GROUP_REACH).otherwise(reach)
-    # Under a key each line looks at the few lines after it. A key with more lines is crowded: there first a
-    # star, then what is left.
-    after = f"collect_list(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN 1 FOLLOWING AND {FEW} FOLLOWING)"
-    met = keyed.selectExpr("key", "line", "simhash", f"{after} AS after", "first_value(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line) AS head", "count(*) OVER (PARTITION BY key) AS k")
-    near = F.filter("after", lambda y: F.bit_count(F.col("simhash").bitwiseXOR(y["simhash"])) <= most)
-    met = met.where("k > 1").select("key", "line", "simhash", "head", "k", F.transform(near, lambda y: y["line"]).alias("near"))
-    met = saved(met.where((F.size("near") > 0) | (F.col("k") > FEW)), "met-lines")
-    many = met.where(F.col("k") > FEW).select("key", "line", "simhash", "head")
-    pairs = met.select(F.col("line").alias("a"), F.explode("near").alias("b"))
-    star = many.select(F.col("head.line").alias("x"), F.col("head.simhash").alias("ha"), F.col("line").alias("y"), F.col("simhash").alias("hb"), "key")
-    star = star.where((F.col("x") < F.col("y")) & (_apart() <= most)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = saved(pairs.union(star).distinct(), "line-pairs")
-    many = saved(many.drop("head"), "crowded-keys")
-    done_with(met)
-    side = lambda rows, c, x, h: rows.select("key", F.col("component").alias(c), F.col("line").alias(x), F.col("simhash").alias(h))
-    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = _similar(pairs, occurrences, similarity)
+    close = lambda of: F.bit_count(F.col("simhash").bitwiseXOR(of["simhash"])) <= most
+    # Under a key each line looks at the few lines after it; a key with more lines is crowded. Most lines that
+    # meet are in one group, so first a line is only tried with the first line of its key and the next one within
+    # reach; then, where a key still has lines of several components, with those of other components.
+    after = f"collect_list(struct(*)) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN 1 FOLLOWING AND {FEW} FOLLOWING) AS after"
+    met = keyed.selectExpr("*", after, "first_value(struct(line, simhash)) OVER (PARTITION BY key ORDER BY line) AS head", "count(*) OVER (PARTITION BY key) AS k").where("k > 1")
+    met = met.withColumn("next", F.get(F.filter("after", close), F.lit(0))["line"]).drop("after").selectExpr("*", "count(next) OVER (PARTITION BY key) AS some")
+    met = met.where((F.col("some") > 0) | (F.col("k") > FEW)).select("key", "line", "simhash", "k", "next", F.when(close(F.col("head")), F.col("head.line")).alias("head"))
+    met = saved(met, "met-lines")
+    first = met.select(F.col("head").alias("a"), F.col("line").alias("b")).union(met.select("line", "next")).where("a < b")
+    tried = _similar(saved(first.distinct(), "line-pairs"), occurrences, similarity)
     found = saved(components(tried.where("linked").select("a", "b")), "line-components")
-    placed = saved(many.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
-    parts = placed.select("key", "component").distinct()
-    several = parts.groupBy("key").count().where("count > 1").select("key")
-    parts = saved(parts.join(several, "key"), "mixed-keys")
-    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").where("ca < cb")
-    pairs = ordered(across.join(side(placed, "ca", "x", "ha"), ["key", "ca"]).join(side(placed, "cb", "y", "hb"), ["key", "cb"]).where(_apart() <= most))
-    rest = saved(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-lines")
-    done_with(many, placed, parts)
+    mixed = _mixed(met.select("key", "line", "simhash", "k"), found)
+    done_with(met)
+    others = F.filter("after", lambda y: close(y) & (y["component"] != F.col("component")))
+    pairs = mixed.selectExpr("*", after).select(F.col("line").alias("a"), F.explode(F.transform(others, lambda y: y["line"])).alias("b"))
+    rest = _untried(pairs, tried)
     if not rest.isEmpty():
         tried = tried.unionByName(_similar(rest, occurrences, similarity))
         found = saved(components(tried.where("linked").select("a", "b")), "line-components")
+    crowded = mixed.where(F.col("k") > FEW).drop("component")
+    if not crowded.isEmpty():
+        crowded = _mixed(crowded, found)
+        parts = saved(crowded.select("key", "component").distinct(), "mixed-keys")
+        across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").where("ca < cb")
+        side = lambda c, x, h: crowded.select("key", F.col("component").alias(c), F.col("line").alias(x), F.col("simhash").alias(h))
+        pairs = across.join(side("ca", "x", "ha"), ["key", "ca"]).join(side("cb", "y", "hb"), ["key", "cb"]).where(_apart() <= most)
+        rest = _untried(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), tried)
+        done_with(crowded, parts)
+        if not rest.isEmpty():
+            tried = tried.unionByName(_similar(rest, occurrences, similarity))
+            found = saved(components(tried.where("linked").select("a", "b")), "line-components")
+    done_with(mixed)
     return found
 
 
+def _mixed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the keys with lines of several components, and the component of each."""
+    placed = saved(met.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-keys")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    out = saved(placed.join(several, "key"), "mixed-lines")
+    done_with(placed)
+    return out
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    return saved(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross-lines")
+
+
 def _kept_places(per_line: DataFrame, groups: DataFrame) -> DataFrame:
     """line and first: of each line that occurs, or whose group occurs, more than once, the place that stays."""
     lines = per_line.select("line", "k", "first").join(groups.withColumnRenamed("node", "line"), "line", "left")

@@ -329,3 +329,21 @@ def test_components_of_an_entry_that_cannot_link_are_no_pairs(spark):
     assert (0, 120) in found and len(found) < 200
     unknown = mixed.withColumns({b: F.lit(None).cast("long") for b in _BITS})  # no bits: a doc_id with several sets
     assert _across(unknown, 75).count() == 121 * 120 // 2
+
+
+def test_near_copies_of_one_line_are_few_pairs(spark, word, monkeypatch):
+    """Of 150 near copies of a line each is tried with a few others, not with all or 32 of them."""
+    from labelassay.llm import line_dedup as module
+
+    dice, tried, plain = random.Random(6), [], module._similar
+    monkeypatch.setattr(module, "_similar", lambda pairs, *more: tried.append(pairs.count()) or plain(pairs, *more))
+    base = [word(dice) for _ in range(40)]
+    rows = []
+    for i in range(150):
+        own = base.copy()
+        own[dice.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sum(r["n_dropped"] for r in got) == 149
+    print("tried", tried)
+    assert sum(tried) < 16 * 150
