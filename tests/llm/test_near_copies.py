@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from labelassay.llm.common import BLOOM_CHUNK, bloom_bits, bloom_has
 from labelassay.llm.line_dedup import DISTANCE, GROUP_REACH, MORE_BLOCKS, REACH, _lines, distinct_words, edit_distance, group_keys, line_dedup, normalise, similar, simhashes
 from labelassay.llm.ngram_join import _BITS, SKETCH, _across, needed, ngram_join, parities, prefix
 from labelassay.llm.shingles import shingle_sets
@@ -347,3 +348,18 @@ def test_near_copies_of_one_line_are_few_pairs(spark, word, monkeypatch):
     assert sum(r["n_dropped"] for r in got) == 149
     print("tried", tried)
     assert sum(tried) < 16 * 150
+
+
+def test_bloom_words_reach_the_driver_in_chunks(spark, monkeypatch):
+    """The driver got a row for each word of the filter, up to four million."""
+    ids, seen = spark.range(20_000), []
+    hashes = np.array([r[0] for r in ids.select(F.xxhash64("id")).collect()])
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(ids), name, lambda self, f=getattr(type(ids), name): seen.append(len(out := f(self))) or out)
+    bits = bloom_bits(ids, 20_000)
+    assert bloom_has(bits, hashes).all()
+    assert np.bitwise_count(bits).sum() == len(np.unique(np.mod(hashes, len(bits) * 32)))
+    assert sum(seen) == len(bits) // BLOOM_CHUNK == 2
+    small = bloom_bits(ids.limit(3), 3)
+    assert np.bitwise_count(small).sum() == 3 and len(small) < BLOOM_CHUNK
+    assert not bloom_bits(ids.limit(0), 0).any()
